@@ -1,0 +1,25 @@
+"""Hook for user code on bounded chunks of rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+
+def map_chunks(
+    rows: DataFrame,
+    process: Callable[[pd.DataFrame], pd.DataFrame],
+    schema: T.StructType | str,
+    chunk_size: int = 50,
+) -> DataFrame:
+    """Apply ``process`` to at most ``chunk_size`` rows at a time, in parallel, over Arrow."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), chunk_size):
+                yield process(batch.iloc[start : start + chunk_size])
+
+    return rows.mapInPandas(run, schema)
