@@ -65,7 +65,7 @@ def _lines(texts: Column, old: Column | None = None) -> Column:
 
 def record_text(promo: Column) -> Column:
     """Bold title, perk, price and dates, one line each; missing fields are skipped."""
-    return let(_escaped(promo), _lines)
+    return let(_escaped(promo), lambda t: _lines(t))
 
 
 def change_text(previous: Column, current: Column) -> Column:
