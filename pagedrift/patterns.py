@@ -49,6 +49,13 @@ def java_regex(pattern: str) -> str:
     return _rewrite(pattern, WORD_EDGE)
 
 
+def collapsed_regex(pattern: str) -> str:
+    """Like :func:`java_regex`, for texts in which every run of blanks is one space."""
+    return java_regex(
+        pattern.replace(r"\s+", " ").replace(r"\s*", " ?").replace(r"\s", " ")
+    )
+
+
 def re2_regex(pattern: str) -> str:
     """The same pattern for an RE2 engine, whose ``\\b`` is ASCII already."""
     return _rewrite(pattern, r"\b")
