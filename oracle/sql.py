@@ -594,3 +594,49 @@ SQL["window_quota"] = """select user_id, bucket, event_id, ts,
  row_number() over (partition by user_id, bucket order by ts, event_id) <= 2 as allowed
 from (select *, cast(floor(epoch_ms(ts) / 3600000) as bigint) as bucket from events)"""
 SQL["map_chunks"] = """select doc_id, len(regexp_extract_all(text, '[^ ]+')) as n_words from documents"""
+
+# --- runs and streams ------------------------------------------------------------------
+def listed(side: str, valid: str) -> str:
+    """Records of the pages that are diffed, one row each."""
+    touched = f"""(select c.url, c.promos as cur, p.promos as old from
+ (select * from {states('curr')} where {STATE_OK}) c
+ join (select * from {states('prev')} where {valid}) p on p.url_key = c.url_key where p.hash <> c.hash)"""
+    return f"""(select url, pos, p.id as id, p.title as title, p.perk as perk, p.dates as dates, p.price as price
+ from (select url, unnest({side}) as p, generate_subscripts({side}, 1) - 1 as pos from {touched}))"""
+
+
+def snapshot_rows(valid: str) -> str:
+    old, cur = listed("old", valid), listed("cur", valid)
+    pairs = S.with_clean(
+        "(select c.url, c.id, c.pos, "
+        + ", ".join(f"p.{f} as previous_{f}, c.{f} as current_{f}" for f in FIELDS)
+        + f" from {cur} c join {old} p on p.url = c.url and p.id = c.id)",
+        ("previous_", "current_"),
+    )
+    return f"""(select url, id, pos, case when {S.equal_records('previous_', 'current_')} then 'same' else 'changed' end
+   as change_type, {SIDES}, {S.material_edit('previous_', 'current_')} as material from {pairs}
+union all select url, id, pos, 'added', {", ".join(f"null, {f}" for f in FIELDS)}, {S.material_promo('')}
+  from {cur} c where not exists (select 1 from {old} p where p.url = c.url and p.id = c.id)
+union all select url, id, pos, 'removed', {", ".join(f"{f}, null" for f in FIELDS)}, {S.material_promo('')}
+  from {old} p where not exists (select 1 from {cur} c where p.url = c.url and p.id = c.id))"""
+
+
+SNAP_COUNTS = "(select url, " + ", ".join(
+    f"count(*) filter (change_type = '{k}' and material) as n_{k}" for k in ("added", "changed", "removed")
+) + f" from {snapshot_rows(STATE_OK)} group by url)"
+SQL["snapshot_run"] = f"""select url, first_run, n_added + n_changed + n_removed > 0 as has_changes,
+ n_added, n_changed, n_removed, case when first_run then 'Initial state captured'
+  else {S.change_sentence('No material changes detected')} end as summary
+from (select c.url, p.url_key is null as first_run, coalesce(n_added, 0) as n_added,
+  coalesce(n_changed, 0) as n_changed, coalesce(n_removed, 0) as n_removed
+ from (select * from {states('curr')} where {STATE_OK}) c
+ left join (select * from {states('prev')} where {STATE_OK}) p on p.url_key = c.url_key
+ left join {SNAP_COUNTS} n on n.url = c.url)"""
+SQL["stream_run"] = SQL["snapshot_run"]
+SQL["stream_changes"] = f"""select url, id, pos, change_type, {SIDES} from {snapshot_rows(STATE_OK)}
+where change_type <> 'same' and material"""
+SQL["stream_quota"] = """select user_id, bucket, event_id, ts,
+ row_number() over (partition by user_id, bucket order by ts, event_id) <= 2 as allowed
+from (select *, cast(floor(epoch_ms(ts) / 3600000) as bigint) as bucket from events)"""
+SQL["quota_expiry"] = """select user_id, time_bucket(interval 1 hour, ts) as window_start, count(*) as n_requests
+from events group by 1, 2 having time_bucket(interval 1 hour, ts) + interval 1 hour <= (select max(ts) from events)"""

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import material_change, material_promo, promo_equal
 from ..schemas import FIELDS
+from .common import compute_once
 
 CHANGE_TYPES = ("added", "changed", "removed")
 
@@ -58,9 +59,7 @@ def classify(current: DataFrame, previous: DataFrame, keys: Sequence[str]) -> Da
         .otherwise("changed")
     )
     gone = removed_promos(current, previous, keys)
-    return now.select(
-        *keys, "pos", kind.alias("change_type"), "previous", "current"
-    ).unionByName(
+    return compute_once(now, "change_type", kind).unionByName(
         gone.select(*keys, "pos", F.lit("removed").alias("change_type"), record().alias("previous")),
         allowMissingColumns=True,
     )

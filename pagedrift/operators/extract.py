@@ -18,6 +18,7 @@ from ..functions.text import (
     trim_blanks,
 )
 from ..schemas import FIELDS
+from .common import compute_once
 
 
 def selector_classes(selector: Column) -> Column:
@@ -156,8 +157,5 @@ def extract_promos(pages: DataFrame, selector: Column | str, mode: str = "lazy")
     """One row per record: the page's columns, ``pos`` of its container and the record fields."""
     blocks = explode_containers(pages, selector, mode)
     keep = [c for c in blocks.columns if c != "block"]
-    return (
-        blocks.select(*keep, F.explode_outer(F.array(block_promo(F.col("block")))).alias("promo"))
-        .where(F.col("promo").isNotNull())
-        .select(*keep, "promo.*")
-    )
+    found = compute_once(blocks, "promo", block_promo(F.col("block")))
+    return found.where(F.col("promo").isNotNull()).select(*keep, "promo.*")

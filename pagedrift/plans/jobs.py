@@ -17,6 +17,8 @@ from ..schemas import FIELDS, PROMO_DDL
 from ..session import configure, shared_folder, spread
 from ..sources import tables
 from ..sources.derived import AS_OF, DOMAINS, derived
+from ..streaming import keyed, quotas, runs
+from .run import run_snapshots
 
 Job = Callable[[SparkSession, str], DataFrame]
 JOBS: dict[str, Job] = {}
@@ -798,3 +800,85 @@ def map_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         return chunk[["doc_id"]].assign(n_words=chunk["text"].str.count(r"[^ ]+"))
 
     return chunks.map_chunks(_documents(spark, sf_dir, "text"), words, "doc_id long, n_words long")
+
+
+# --- runs and streams ------------------------------------------------------------
+
+@job
+def snapshot_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_snapshots(
+        _states(spark, sf_dir, "curr"), _states(spark, sf_dir, "prev")
+    ).results
+
+
+def _drop(spark: SparkSession, sf_dir: str, side: str, source: str) -> None:
+    rows = derived(spark, sf_dir, f"snapshots_{side}").select("url", "ts", "promos")
+    rows.write.mode("append").parquet(source)
+
+
+@job
+def stream_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two drops of snapshots, the second after a restart from the checkpoint."""
+    source, out = shared_folder(spark, "drops"), shared_folder(spark, "runs")
+    for side in ("prev", "curr"):
+        _drop(spark, sf_dir, side, source)
+        runs.start_runs(runs.read_snapshots(spark, source), out).awaitTermination()
+    return spark.read.parquet(f"{out}/results").where("run_id = 1").drop("run_id")
+
+
+@job
+def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, out = shared_folder(spark, "drops"), shared_folder(spark, "keyed")
+    for side in ("prev", "curr"):
+        _drop(spark, sf_dir, side, source)
+        changes = keyed.stream_changes(runs.read_snapshots(spark, source))
+        (
+            changes.writeStream.format("parquet")
+            .option("checkpointLocation", f"{out}/checkpoint")
+            .trigger(availableNow=True)
+            .start(f"{out}/changes")
+            .awaitTermination()
+        )
+    return _flat(spark.read.parquet(f"{out}/changes"))
+
+
+def _event_stream(spark: SparkSession, sf_dir: str, source: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Events as a file stream in two drops, the second half of the month after the first."""
+    events = tables.read_table(spark, sf_dir, "events").select(
+        "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")
+    )
+    middle = F.lit("2024-01-16 00:20:00").cast("timestamp")
+    drops = [events.where(F.col("ts") < middle), events.where(F.col("ts") >= middle)]
+    drops[0].write.mode("append").parquet(source)
+    return spark.readStream.schema(events.schema).parquet(source), drops
+
+
+@job
+def stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, out = shared_folder(spark, "requests"), shared_folder(spark, "quota")
+    requests, drops = _event_stream(spark, sf_dir, source)
+    for later in (False, True):
+        if later:
+            drops[1].write.mode("append").parquet(source)
+        quotas.start_decisions(
+            requests, out, "user_id", "ts", "event_id", limit=2, window_ms=3_600_000
+        ).awaitTermination()
+    rows = spark.read.parquet(f"{out}/decisions").drop("run_id")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@job
+def quota_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, out = shared_folder(spark, "requests"), shared_folder(spark, "counters")
+    requests, drops = _event_stream(spark, sf_dir, source)
+    drops[1].write.mode("append").parquet(source)
+    (
+        quotas.expiring_counts(requests, "user_id", "ts", "1 hour")
+        .writeStream.format("parquet")
+        .option("checkpointLocation", f"{out}/checkpoint")
+        .trigger(availableNow=True)
+        .start(f"{out}/counts")
+        .awaitTermination()
+    )
+    rows = spark.read.parquet(f"{out}/counts")
+    return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
