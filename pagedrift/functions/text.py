@@ -28,27 +28,37 @@ def collapse_blanks(col: Column) -> Column:
     return F.regexp_replace(col, P.java_regex(r"\s+"), " ")
 
 
+TRIM = (r"\A\s+|\s+\z", "")
+NORMALIZE = (*[(p, "") for p in P.NORMALIZE_REMOVALS], *P.NORMALIZE_COLLAPSE, TRIM)
+FILTER_NOISE = (
+    *[(p, "") for p in P.NOISE_REMOVALS], (r"\s+", " "), (P.NOISE_EDGE_MARKS, ""), TRIM,
+)
+
+
+def replace_in_order(col: Column, steps: tuple[tuple[str, str], ...]) -> Column:
+    """Apply (pattern, replacement) steps one after the other; null counts as ''.
+
+    The steps are one SQL lambda, so a long chain is one expression to send and to analyse.
+    """
+    body = "coalesce(t, '')"
+    for pattern, replacement in steps:
+        body = f'regexp_replace({body}, r"{P.java_regex(pattern)}", "{replacement}")'
+    return F.element_at(F.call_function("transform", F.array(col), F.expr(f"t -> {body}")), 1)
+
+
 def normalize_text(col: Column) -> Column:
     """Drop dates, times, tracking codes, counters and update notes; tidy blanks."""
-    out = F.coalesce(col, F.lit(""))
-    for pattern in P.NORMALIZE_REMOVALS:
-        out = remove(out, pattern)
-    for pattern, replacement in P.NORMALIZE_COLLAPSE:
-        out = F.regexp_replace(out, P.java_regex(pattern), replacement)
-    return trim_blanks(out)
+    return replace_in_order(col, NORMALIZE)
 
 
 def filter_noise(col: Column) -> Column:
     """Drop urgency, call-to-action, disclaimer and social-proof phrases."""
-    out = F.coalesce(col, F.lit(""))
-    for pattern in P.NOISE_REMOVALS:
-        out = remove(out, pattern)
-    return trim_blanks(remove(collapse_blanks(out), P.NOISE_EDGE_MARKS))
+    return replace_in_order(col, FILTER_NOISE)
 
 
 def clean_text(col: Column) -> Column:
     """The comparable form of a field: normalised, then without noise."""
-    return filter_noise(normalize_text(col))
+    return replace_in_order(col, NORMALIZE + FILTER_NOISE)
 
 
 def content_hash(col: Column) -> Column:
@@ -105,10 +115,9 @@ def escape_markup(col: Column) -> Column:
     out = F.coalesce(col, F.lit(""))
     for char, entity in P.ESCAPES:
         out = F.replace(out, F.lit(char), F.lit(entity))
-    for pattern in P.UNSAFE_ESCAPED:
-        out = remove(out, pattern)
-    for mark in P.MARKDOWN_MARKS:
-        out = F.replace(out, F.lit(mark), F.lit("\\" + mark))
+    out = replace_in_order(out, tuple((pattern, "") for pattern in P.UNSAFE_ESCAPED))
+    # Every mark gets a backslash in front.
+    out = F.regexp_replace(out, "([" + "".join(P.MARKDOWN_MARKS) + "])", r"\\$1")
     return F.substring(out, 1, P.MESSAGE_TEXT_LIMIT)
 
 

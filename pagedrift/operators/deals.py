@@ -50,9 +50,9 @@ def _search(
     return F.when(text.rlike(P.collapsed_regex(needs)), found).otherwise(none)
 
 
-def _dollar_within(limit: int) -> str:
-    """A dollar sign follows in the same sentence, at most ``limit`` characters ahead."""
-    return r"(?=[^.!?$]{0," + str(limit) + r"}+\$)"
+def _dollar_within(limit: int, stops: str = ".!?") -> str:
+    """A dollar sign follows before any of ``stops``, at most ``limit`` characters ahead."""
+    return r"(?=[^" + stops + r"$]{0," + str(limit) + r"}+\$)"
 
 
 A_PRICE = r"\$[\d,]"
@@ -240,7 +240,8 @@ def _hotel_like(text: Column, pattern: str) -> Column:
         )
 
     # From the start of a match to its price: two runs of 80 and 40, a hotel word, a run of 100.
-    found = _search(text, pattern, A_PRICE, _dollar_within(300), HOTEL_STARTS)
+    # The hotel word may hold a full stop (``st. regis``).
+    found = _search(text, pattern, A_PRICE, _dollar_within(300, "!?"), HOTEL_STARTS)
     return F.filter(F.transform(found, read), lambda d: d.isNotNull())
 
 

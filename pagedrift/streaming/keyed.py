@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.policy import snapshot_valid
 from ..functions.text import clean_text, promos_hash
 from ..operators.diff import material_changes
 from ..schemas import FIELDS
@@ -106,7 +107,8 @@ def stream_changes(snapshots: DataFrame) -> DataFrame:
             ).alias("clean"),
         ),
     )
-    rows = snapshots.select(
+    valid = snapshot_valid(promos_hash(F.col("promos")), F.col("ts").cast("string"), F.col("promos"))
+    rows = snapshots.where(valid).select(
         "url",
         F.unix_micros("ts").alias("ts"),
         promos_hash(F.col("promos")).alias("hash"),
