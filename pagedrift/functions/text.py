@@ -20,19 +20,20 @@ def remove(col: Column, pattern: str) -> Column:
 
 
 def trim_blanks(col: Column) -> Column:
-    """Trim every Unicode blank; the built-in ``trim`` only knows the space."""
-    return F.regexp_replace(col, P.java_regex(r"\A\s+|\s+\z"), "")
+    """Trim every Unicode blank; the built-in default only trims the space."""
+    return F.btrim(col, F.lit(P.BLANK_CHARS))
+
+
+# Runs of blanks to one space.  A single space stays as it is, so it need not match.
+COLLAPSE = (r"\s{2,}|[^\S ]", " ")
 
 
 def collapse_blanks(col: Column) -> Column:
-    return F.regexp_replace(col, P.java_regex(r"\s+"), " ")
+    return F.regexp_replace(col, P.java_regex(COLLAPSE[0]), COLLAPSE[1])
 
 
-TRIM = (r"\A\s+|\s+\z", "")
-NORMALIZE = (*[(p, "") for p in P.NORMALIZE_REMOVALS], *P.NORMALIZE_COLLAPSE, TRIM)
-FILTER_NOISE = (
-    *[(p, "") for p in P.NOISE_REMOVALS], (r"\s+", " "), (P.NOISE_EDGE_MARKS, ""), TRIM,
-)
+NORMALIZE = (*[(p, "") for p in P.NORMALIZE_REMOVALS], *P.NORMALIZE_COLLAPSE)
+FILTER_NOISE = (*[(p, "") for p in P.NOISE_REMOVALS], COLLAPSE, (P.NOISE_EDGE_MARKS, ""))
 
 
 def replace_in_order(col: Column, steps: tuple[tuple[str, str], ...]) -> Column:
@@ -48,17 +49,17 @@ def replace_in_order(col: Column, steps: tuple[tuple[str, str], ...]) -> Column:
 
 def normalize_text(col: Column) -> Column:
     """Drop dates, times, tracking codes, counters and update notes; tidy blanks."""
-    return replace_in_order(col, NORMALIZE)
+    return trim_blanks(replace_in_order(col, NORMALIZE))
 
 
 def filter_noise(col: Column) -> Column:
     """Drop urgency, call-to-action, disclaimer and social-proof phrases."""
-    return replace_in_order(col, FILTER_NOISE)
+    return trim_blanks(replace_in_order(col, FILTER_NOISE))
 
 
 def clean_text(col: Column) -> Column:
     """The comparable form of a field: normalised, then without noise."""
-    return replace_in_order(col, NORMALIZE + FILTER_NOISE)
+    return filter_noise(normalize_text(col))
 
 
 def content_hash(col: Column) -> Column:

@@ -29,25 +29,42 @@ def _find_all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(P.java_regex(pattern)), F.lit(group))
 
 
+# Where a text may be cut without cutting a match: at the end of sentences, but not inside
+# cents or after the ``st.`` of a hotel name.
+SENTENCE = r"[.!?]"
+SENTENCE_WITH_CENTS = r"[!?]|(?<![sS][tT])\.(?!\d\d)"
+
+
 def _search(
     text: Column,
     pattern: str,
-    needs: str,
+    needs: Sequence[str],
+    split: str = SENTENCE,
     ahead: str = "",
     starts: dict[str, str] | None = None,
     group: int = 0,
 ) -> Column:
     """Every match in a text of collapsed blanks, found faster than by the bare pattern.
 
-    The three helpers only cut the search short; the matches are the same without them:
-    ``needs`` is part of every match, ``ahead`` is a look-ahead that holds at every match start,
-    and ``starts`` gives for a word group of the pattern how its words begin.
+    The helpers only cut the search short; the matches are the same without them.  No match
+    reaches over a ``split``, so only pieces that hold all of ``needs`` (parts of every match)
+    are searched.  ``ahead`` is a look-ahead that holds at every match start, and ``starts``
+    gives for a word group of the pattern how its words begin.
     """
     for words, begin in (starts or {}).items():
         pattern = pattern.replace(words, f"(?={begin}){words}")
-    found = F.regexp_extract_all(text, F.lit(P.collapsed_regex(ahead + pattern)), F.lit(group))
-    none = F.array().cast("array<string>")
-    return F.when(text.rlike(P.collapsed_regex(needs)), found).otherwise(none)
+    full = F.lit(P.collapsed_regex(ahead + pattern))
+
+    def worth_it(piece: Column) -> Column:
+        out = piece.rlike(P.collapsed_regex(needs[0]))
+        for need in needs[1:]:
+            out = out & piece.rlike(P.collapsed_regex(need))
+        return out
+
+    pieces = F.filter(F.split(text, split), worth_it)
+    return F.flatten(
+        F.transform(pieces, lambda piece: F.regexp_extract_all(piece, full, F.lit(group)))
+    )
 
 
 def _dollar_within(limit: int, stops: str = ".!?") -> str:
@@ -58,11 +75,12 @@ def _dollar_within(limit: int, stops: str = ".!?") -> str:
 A_PRICE = r"\$[\d,]"
 HOTEL_STARTS = {"(?:" + P.HOTEL_WORDS: r"[c-ilmprsw][aehilmnortuy][abdeilmnrstu.\s]"}
 PACKAGE_STARTS = {"(?:package|vacation|getaway|escape|deal)": "[degpv][aes]"}
-CREDIT_STARTS = {r"(?:\$\d+[^.!?]{20,200}resort": "[$wi]"}
+CREDIT_STARTS = {r"(?:\$\d+[^.!?]{20,200}resort": r"[$wi][\dan]"}
 
 
 def _find(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract(text, P.java_regex(pattern), group)
+    """First match in a text of collapsed blanks, '' for none."""
+    return F.regexp_extract(text, P.collapsed_regex(pattern), group)
 
 
 def _some(col: Column) -> Column:
@@ -151,7 +169,9 @@ def price_mentions(html: Column) -> Column:
         return let(parts, build)
 
     def all_prices(page: Column) -> Column:
-        found = _search(page, P.PRICE_MENTION, A_PRICE, _dollar_within(40))
+        found = _search(
+            page, P.PRICE_MENTION, [A_PRICE], SENTENCE_WITH_CENTS, _dollar_within(40)
+        )
         kept = F.filter(F.transform(found, label), lambda c: F.length(c).between(11, 79))
         return F.slice(kept, 1, P.CAP_PRICES)
 
@@ -164,7 +184,7 @@ def place_mentions(html: Column, places: Sequence[str] = P.PLACES) -> Column:
     def all_places(text: Column) -> Column:
         found = F.concat(
             *[
-                _search(text, r"(?i)[^.!?]{20,80}" + place + r"[^.!?]{0,40}", "(?i)" + place)
+                _search(text, r"(?i)[^.!?]{20,80}" + place + r"[^.!?]{0,40}", ["(?i)" + place])
                 for place in places
             ]
         )
@@ -211,7 +231,7 @@ def _deal_title(description: Column) -> Column:
     )
 
 
-def _hotel_like(text: Column, pattern: str) -> Column:
+def _hotel_like(text: Column, pattern: str, words: str) -> Column:
     def read(match: Column) -> Column:
         description = trim_blanks(_find(match, pattern, 1))
         start = F.greatest(F.instr(text, match) - 100, F.lit(1))
@@ -241,12 +261,17 @@ def _hotel_like(text: Column, pattern: str) -> Column:
 
     # From the start of a match to its price: two runs of 80 and 40, a hotel word, a run of 100.
     # The hotel word may hold a full stop (``st. regis``).
-    found = _search(text, pattern, A_PRICE, _dollar_within(300, "!?"), HOTEL_STARTS)
+    found = _search(
+        text, pattern, [A_PRICE, words], SENTENCE_WITH_CENTS, _dollar_within(300, "!?"), HOTEL_STARTS
+    )
     return F.filter(F.transform(found, read), lambda d: d.isNotNull())
 
 
 def hotel_deals(text: Column) -> Column:
-    return F.concat(_hotel_like(text, P.HOTEL_DEAL), _hotel_like(text, P.PLACE_DEAL))
+    return F.concat(
+        _hotel_like(text, P.HOTEL_DEAL, "(?i)" + P.HOTEL_WORDS),
+        _hotel_like(text, P.PLACE_DEAL, "(?i)" + P.HOTEL_PLACES),
+    )
 
 
 def package_deals(text: Column) -> Column:
@@ -262,7 +287,7 @@ def package_deals(text: Column) -> Column:
     return F.filter(
         F.transform(
             _search(
-                text, P.PACKAGE_DEAL, r"(?i)from\s+\$", _dollar_within(300), PACKAGE_STARTS
+                text, P.PACKAGE_DEAL, [r"(?i)from\s+\$"], SENTENCE, _dollar_within(300), PACKAGE_STARTS
             ),
             read,
         ),
@@ -284,7 +309,7 @@ def savings_deals(text: Column) -> Column:
         )
 
     return F.filter(
-        F.transform(_search(text, P.SAVINGS_DEAL, r"(?i)\ssave\s"), read), lambda d: d.isNotNull()
+        F.transform(_search(text, P.SAVINGS_DEAL, [r"(?i)\ssave\s"]), read), lambda d: d.isNotNull()
     )
 
 
@@ -329,7 +354,7 @@ def credit_deals(text: Column) -> Column:
         )
 
     needs = r"(?i)resort\s+(?:credit|fee)|included\s+extras"
-    found = _search(text, P.CREDIT_DEAL, needs, starts=CREDIT_STARTS, group=1)
+    found = _search(text, P.CREDIT_DEAL, [needs], starts=CREDIT_STARTS, group=1)
     return F.filter(F.transform(found, read), lambda d: d.isNotNull())
 
 

@@ -7,11 +7,18 @@ expression goes through :func:`java_regex` before it reaches Spark.
 
 from __future__ import annotations
 
+import re
+
 # Blanks that trimming and ``\s`` cover (written so that it fits into a class).
 BLANKS = (
     r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
     r"\x{202F}\x{205F}\x{3000}\x{FEFF}"
 )
+BLANK_CHARS = (
+    "\t\n\x0b\f\r \u00a0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 WORD_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 LINE_REST = r"[^\n\r\x{2028}\x{2029}]"
 
@@ -25,6 +32,9 @@ def _rewrite(pattern: str, edge: str) -> str:
         if pair == r"\s":
             out.append(BLANKS if in_class else f"[{BLANKS}]")
             i += 2
+        elif pattern.startswith(r"[^\S ]", i):
+            out.append("[" + BLANKS.replace(" ", "") + "]")
+            i += 6
         elif pair == r"\S":
             out.append(f"[^{BLANKS}]")
             i += 2
@@ -44,9 +54,23 @@ def _rewrite(pattern: str, edge: str) -> str:
     return "".join(out)
 
 
+def _leading_edge(pattern: str) -> str:
+    """A word edge at the very start, before a word character, as a cheap test.
+
+    The character itself is looked at first: that settles nearly every position.
+    """
+    found = re.match(r"(\(\?i\))?\\b(?:(\\d|\[A-Z0-9\]|[a-z])|\(\?:((?:[a-z][^|()]*\|?)+)\))", pattern)
+    if not found:
+        return pattern
+    flags, atom, words = found.groups()
+    first = atom or "[" + "".join(sorted({w[0] for w in words.split("|")})) + "]"
+    start = (flags or "") + f"(?={first})(?<!\\w)"
+    return start + pattern[len(flags or "") + 2 :]
+
+
 def java_regex(pattern: str) -> str:
     """The pattern with ASCII word edges and wide blanks spelled out for Java."""
-    return _rewrite(pattern, WORD_EDGE)
+    return _rewrite(_leading_edge(pattern), WORD_EDGE)
 
 
 def collapsed_regex(pattern: str) -> str:
@@ -76,7 +100,7 @@ NORMALIZE_REMOVALS = (
     r"(?i)\([^)]*(?:updated|modified|posted)[^)]*\)",
 )
 NORMALIZE_COLLAPSE = (
-    (r"[ \t]+", " "),
+    (r"[ \t]{2,}|\t", " "),
     (r"\n\s*\n\s*", "\n"),
 )
 

@@ -110,7 +110,7 @@ def test_deals(values):
         "<p>Maui: Ocean View Resort and Spa with breakfast daily $1,299.00 per person. </p>"
         "<p>The great and sunny family getaway by the lake from $450.</p>"
         "<p>Members booking the mountain lodge tour save up to $75 today.</p>"
-        "<p>All included extras such as parking and wifi for two guests.</p>"
+        "<p>Every guest gets all included extras such as parking and wifi for two guests.</p>"
     )
     found = column(values, deals.generic_deals, html)
     assert found[0]["location"] == "Maui" and found[0]["price"] == "$1,299.00"
@@ -143,19 +143,25 @@ def test_faster_searches_find_the_same(spark):
 
     rng = random.Random(7)
     words = ("the grand Hotel inn $5 $1,200.50 from save up to 10% resort credit fee waived package "
-             "Maui cancun included extras deal vacation . ! st. regis four seasons a of with").split()
-    texts = [(" ".join(rng.choices(words, k=rng.randrange(5, 120))),) for _ in range(300)]
+             "Maui cancun included extras deal vacation . ! today. $900.50 St. REGIS 2.15 st. regis four seasons a of with").split()
+    texts = [(" ".join(rng.choices(words, k=rng.randrange(5, 160))),) for _ in range(600)]
     frame = spark.createDataFrame(texts, "t string")
     t = F.col("t")
-    ahead, hotel_ahead = deals._dollar_within(300), deals._dollar_within(300, "!?")
+    near, far, hotel = (deals._dollar_within(*a) for a in ((40,), (300,), (300, "!?")))
+    cents = deals.SENTENCE_WITH_CENTS
     pairs = {
-        "hotel": (P.HOTEL_DEAL, deals._search(t, P.HOTEL_DEAL, deals.A_PRICE, hotel_ahead, deals.HOTEL_STARTS)),
-        "place": (P.PLACE_DEAL, deals._search(t, P.PLACE_DEAL, deals.A_PRICE, hotel_ahead, deals.HOTEL_STARTS)),
-        "package": (P.PACKAGE_DEAL, deals._search(t, P.PACKAGE_DEAL, r"(?i)from\s+\$", ahead, deals.PACKAGE_STARTS)),
-        "savings": (P.SAVINGS_DEAL, deals._search(t, P.SAVINGS_DEAL, r"(?i)\ssave\s")),
+        "hotel": (P.HOTEL_DEAL, deals._search(
+            t, P.HOTEL_DEAL, [deals.A_PRICE, "(?i)" + P.HOTEL_WORDS], cents, hotel, deals.HOTEL_STARTS)),
+        "place": (P.PLACE_DEAL, deals._search(
+            t, P.PLACE_DEAL, [deals.A_PRICE, "(?i)" + P.HOTEL_PLACES], cents, hotel)),
+        "package": (P.PACKAGE_DEAL, deals._search(
+            t, P.PACKAGE_DEAL, [r"(?i)from\s+\$"], deals.SENTENCE, far, deals.PACKAGE_STARTS)),
+        "savings": (P.SAVINGS_DEAL, deals._search(t, P.SAVINGS_DEAL, [r"(?i)\ssave\s"])),
         "credit": (P.CREDIT_DEAL, deals._search(
-            t, P.CREDIT_DEAL, r"(?i)resort\s+(?:credit|fee)|included\s+extras", starts=deals.CREDIT_STARTS)),
-        "price": (P.PRICE_MENTION, deals._search(t, P.PRICE_MENTION, deals.A_PRICE, deals._dollar_within(40))),
+            t, P.CREDIT_DEAL, [r"(?i)resort\s+(?:credit|fee)|included\s+extras"], starts=deals.CREDIT_STARTS)),
+        "price": (P.PRICE_MENTION, deals._search(t, P.PRICE_MENTION, [deals.A_PRICE], cents, near)),
+        "mention": (r"(?i)[^.!?]{20,80}maui[^.!?]{0,40}", deals._search(
+            t, r"(?i)[^.!?]{20,80}maui[^.!?]{0,40}", ["(?i)maui"])),
     }
     row = frame.agg(
         *[F.sum(F.size(fast)).alias(f"n_{name}") for name, (_, fast) in pairs.items()],
