@@ -166,9 +166,9 @@ def promo_equal(previous: Column, current: Column) -> Column:
 
 
 def material_change(previous: Column, current: Column) -> Column:
+    texts = F.array(*[F.array(previous[f], current[f]) for f in ("title", "perk")])
     return ~(
-        similar_text(previous["title"], current["title"])
-        & similar_text(previous["perk"], current["perk"])
+        F.forall(texts, lambda p: similar_text(p[0], p[1]))
         & similar_price(previous["price"], current["price"])
         & similar_dates(previous["dates"], current["dates"])
     )

@@ -87,16 +87,23 @@ def change_union(current: DataFrame, previous: DataFrame, keys: Sequence[str]) -
 def is_material() -> Column:
     """Whether a change row matters: its record for added and removed, its edit for changed."""
     previous, current = F.col("previous"), F.col("current")
+    kind = F.col("change_type")
     return (
-        F.when(F.col("change_type") == "added", material_promo(current))
-        .when(F.col("change_type") == "removed", material_promo(previous))
-        .when(F.col("change_type") == "changed", material_change(previous, current))
+        F.when(kind.isin("added", "removed"), material_promo(F.coalesce(current, previous)))
+        .when(kind == "changed", material_change(previous, current))
         .otherwise(False)
     )
 
 
+def mark_material(classified: DataFrame) -> DataFrame:
+    """The rows with ``material``, for use by several of the functions below."""
+    return compute_once(classified, "material", is_material())
+
+
 def material_changes(changes: DataFrame) -> DataFrame:
-    return changes.where(is_material())
+    """The change rows that matter (unchanged records never do)."""
+    marked = changes if "material" in changes.columns else mark_material(changes)
+    return marked.where("material").drop("material")
 
 
 def change_sentence(added: Column, removed: Column, changed: Column, none: str) -> Column:
@@ -137,10 +144,10 @@ def count_changes(classified: DataFrame, by: Sequence[str], material: bool = Fal
     Give it :func:`classify` rows: unchanged records keep their source in the result, so no
     join back to a list of sources is needed.
     """
-    counts_as = F.col("counts") if material else F.lit(True)
-    rows = classified
+    rows, counts_as = classified, F.lit(True)
     if material:
-        rows = rows.select(*by, "change_type", is_material().alias("counts"))
+        rows = classified if "material" in classified.columns else mark_material(classified)
+        counts_as = F.col("material")
     counts = rows.groupBy(*by).agg(
         *[
             F.count_if((F.col("change_type") == kind) & counts_as).alias(f"n_{kind}")

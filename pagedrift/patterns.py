@@ -8,6 +8,7 @@ expression goes through :func:`java_regex` before it reaches Spark.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 # Blanks that trimming and ``\s`` cover (written so that it fits into a class).
 BLANKS = (
@@ -68,6 +69,7 @@ def _leading_edge(pattern: str) -> str:
     return start + pattern[len(flags or "") + 2 :]
 
 
+@lru_cache(maxsize=None)
 def java_regex(pattern: str) -> str:
     """The pattern with ASCII word edges and wide blanks spelled out for Java."""
     return _rewrite(_leading_edge(pattern), WORD_EDGE)

@@ -761,7 +761,7 @@ def page_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- digests ---------------------------------------------------------------------
 
 def _change_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classified = _classified(spark, sf_dir)
+    classified = diff.mark_material(_classified(spark, sf_dir))
     sources = diff.count_changes(classified, ["url"], material=True).select(
         "*",
         F.when(F.col("n_changed") > 3, F.col("url")).alias("name"),

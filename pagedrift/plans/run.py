@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.diff import classify, count_changes, material_changes
+from ..operators.diff import classify, count_changes, mark_material, material_changes
 from ..operators.extract import page_promos
 from ..operators.state import newest_pages, state_valid, with_previous_state
 from ..operators.targets import pages_with_targets
@@ -65,10 +65,12 @@ def run_snapshots(current: DataFrame, stored: DataFrame, min_records: int = 0) -
     touched = fresh.where(
         (F.col("previous.hash") != F.col("hash")) & (F.size("promos") >= min_records)
     )
-    classified = classify(
-        explode_promos(touched, "promos"),
-        explode_promos(touched.select("url", F.col("previous.promos").alias("old")), "old"),
-        KEYS,
+    classified = mark_material(
+        classify(
+            explode_promos(touched, "promos"),
+            explode_promos(touched.select("url", F.col("previous.promos").alias("old")), "old"),
+            KEYS,
+        )
     )
     counts = count_changes(classified, ["url"], material=True)
     results = fresh.select("url", F.col("previous").isNull().alias("first_run"), "hash", "last_seen")
