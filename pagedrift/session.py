@@ -32,7 +32,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.conf.get("spark.master", "").partition("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         return tempfile.mkdtemp(prefix=f"pagedrift-{purpose}-")
     return f"{base.rstrip('/')}/pagedrift/{purpose}-{uuid.uuid4().hex}"
