@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .merkle import op1_merkle
+from .simhash import op7_simhash
 from .warc import OP9_SQL, op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_merkle": op1_merkle,
+    "op7_simhash": op7_simhash,
     "op9_warc": op9_warc,
 }
 SQL: dict[str, str] = {
