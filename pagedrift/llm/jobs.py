@@ -6,15 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op3_decontaminate
 from .merkle import op1_merkle
+from .quality import op10_quality
+from .secrets import OP2_SQL, op2_secrets
 from .simhash import op7_simhash
 from .warc import OP9_SQL, op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_merkle": op1_merkle,
+    "op2_secrets": op2_secrets,
+    "op3_decontaminate": op3_decontaminate,
     "op7_simhash": op7_simhash,
     "op9_warc": op9_warc,
+    "op10_quality": op10_quality,
 }
 SQL: dict[str, str] = {
+    "op2_secrets": OP2_SQL,
     "op9_warc": OP9_SQL,
 }
