@@ -61,31 +61,51 @@ def written_at(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark, purpose)}-{uuid.uuid4().hex[:8]}"
 
 
-def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
-           per_bucket: int = 4096) -> DataFrame:
-    """Number the rows of each key from 0, without bringing a key into one task.
-
-    The order is that of a hash of ``order``, then ``order`` itself; rows equal in all of it get
-    their numbers in any order.  Rows are dealt by (key, bucket of the hash), counted, and the
-    counts of the earlier buckets are added.  The running sum sees one row for each bucket.
-    """
-    spark = rows.sparkSession
-    buckets = max(partitions(spark), 8) * 64
-    hashed = rows.withColumn("__h", F.xxhash64(*order)).withColumn(
+def dealt(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """With ``__b`` and ``__h``: a bucket and a hash, which together put rows in a random order."""
+    buckets = max(partitions(rows.sparkSession), 8) * 64
+    return rows.withColumn("__h", F.xxhash64(*order)).withColumn(
         "__b", F.pmod(F.shiftright("__h", 8), F.lit(buckets))
     )
+
+
+def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str | None, name: str) -> DataFrame:
+    """Add the sum of ``value`` (None: the number) of the rows of the same key that come before.
+
+    No key is brought into one task: rows are dealt by (key, bucket of :func:`dealt`), summed up,
+    and the sums of the earlier buckets are added.  Only one row for each bucket of a key meets in
+    a task.  The order is that of the bucket, the hash and ``order``; rows equal in all of it come
+    in any order.  The rows of :func:`dealt` are used as they are when they have its columns.
+    """
+    hashed = rows if "__b" in rows.columns else dealt(rows, order)
+    amount = F.lit(1).cast("long") if value is None else F.col(value)
     by = [*keys, "__b"]
-    counts = hashed.groupBy(*by).agg(F.count("*").alias("__n"))
+    sums = hashed.groupBy(*by).agg(F.sum(amount).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    within = Window.partitionBy(*by).orderBy("__h", *order)
-    numbered = hashed.withColumn("__r", F.row_number().over(within))
-    same = [numbered[k].eqNullSafe(offsets[k]) for k in by]
-    joined = numbered.join(offsets, _all(same), "left")
-    return joined.select(
-        *[numbered[c] for c in rows.columns],
-        (F.col("__o") + F.col("__r") - 1).cast("long").alias(name),
+    offsets = sums.select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(by)],
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"),
     )
+    within = Window.partitionBy(*by).orderBy("__h", *order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = hashed.withColumn("__r", F.coalesce(F.sum(amount).over(within), F.lit(0)))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(by)]
+    return summed.join(offsets, _all(same), "left").select(
+        *rows.columns, (F.col("__o") + F.col("__r")).cast("long").alias(name)
+    )
+
+
+def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Number the rows of each key from 0 in the order of :func:`running`."""
+    return running(rows, keys, order, None, name)
+
+
+#: Most rows (of a few longs) that are broadcast; about 16 MB.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """With the hint to broadcast, if there are few enough rows; else a join shuffles them."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
 
 
 def _all(conditions: Sequence[Column]) -> Column:

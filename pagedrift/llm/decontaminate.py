@@ -20,11 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table, written
+from .common import bounded, prepare, table, written
 
 WINDOW, LEAST = 5, 0.8
-#: Most rows (of a few longs) that are broadcast; about 16 MB.
-BROADCAST_ROWS = 500_000
 #: Units that follow a number, marks that separate words.
 UNITS = (
     "mm|cm|km|m|mg|kg|g|t|ml|cl|l|s|ms|min|h|kmh|mph|w|kw|v|a|j|kj|hz|khz|mhz|ghz|kb|mb|gb|tb|"
@@ -70,11 +68,6 @@ def windows(tokens: Column) -> Column:
     )).otherwise(F.array().cast("array<bigint>"))
 
 
-def _bounded(rows: DataFrame) -> DataFrame:
-    """With the hint to broadcast, if there are few enough rows."""
-    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
-
-
 def item_windows(items: DataFrame) -> DataFrame:
     """``item_id n_item hash at``: the windows of each item and how many places they have."""
     base = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -97,7 +90,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
         template(plain(F.col("text"))), lambda t: _let(words(t), windows)
     ).alias("hashes"))
     places = hashed.select("doc_id", "text_hash", F.posexplode("hashes").alias("pos", "hash"))
-    hits = places.join(_bounded(of_items), "hash")
+    hits = places.join(bounded(of_items), "hash")
     same = hits.groupBy("doc_id", "text_hash", "item_id").agg(
         F.count_distinct("at").alias("n_windows"), F.max("n_item").alias("n_item"),
         F.collect_set(F.struct("pos", "at")).alias("pairs"),
@@ -112,7 +105,7 @@ def _consistent(docs: DataFrame, items: DataFrame, found: DataFrame) -> DataFram
     few = found.select(*[F.col(c).alias(f"f_{c}") for c in key]).distinct()
     read = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     theirs = read.join(
-        _bounded(few),
+        bounded(few),
         read["doc_id"].eqNullSafe(few["f_doc_id"]) & (read["text_hash"] == few["f_text_hash"]), "left_semi",
     ).dropDuplicates(key).select(
         F.col("doc_id").alias("t_doc_id"), F.col("text_hash").alias("t_text_hash"),
@@ -147,7 +140,7 @@ def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.col("doc_id").alias("__leak_id"), F.col("text_hash").alias("__leak_text")
     ).distinct(), "leaking")
     return docs.join(
-        _bounded(found),
+        bounded(found),
         docs["doc_id"].eqNullSafe(F.col("__leak_id")) & (F.xxhash64(docs["text"]) == F.col("__leak_text")), "left_anti",
     )
 

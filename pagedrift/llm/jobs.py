@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op3_decontaminate
 from .merkle import op1_merkle
+from .mixing import op8_mixing
 from .quality import op10_quality
 from .secrets import OP2_SQL, op2_secrets
+from .sharding import op4_sharding
 from .simhash import op7_simhash
 from .warc import OP9_SQL, op9_warc
 
@@ -17,7 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_merkle": op1_merkle,
     "op2_secrets": op2_secrets,
     "op3_decontaminate": op3_decontaminate,
+    "op4_sharding": op4_sharding,
     "op7_simhash": op7_simhash,
+    "op8_mixing": op8_mixing,
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
 }
