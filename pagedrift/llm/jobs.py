@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bwt import op5_bwt
 from .decontaminate import op3_decontaminate
 from .merkle import op1_merkle
 from .mixing import op8_mixing
@@ -13,6 +14,7 @@ from .quality import op10_quality
 from .secrets import OP2_SQL, op2_secrets
 from .sharding import op4_sharding
 from .simhash import op7_simhash
+from .suffix_tree import op6_suffix_tree
 from .warc import OP9_SQL, op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_decontaminate": op3_decontaminate,
     "op4_sharding": op4_sharding,
+    "op5_bwt": op5_bwt,
+    "op6_suffix_tree": op6_suffix_tree,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
     "op9_warc": op9_warc,
