@@ -147,6 +147,24 @@ def documents_in_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     ), shards)
 
 
+def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """The rows of ``docs`` with all their columns, and ``shard`` and ``slot``.
+
+    Equal rows are interchangeable: the n-th of them takes the n-th of their places.
+    """
+    key = F.xxhash64(*docs.columns)
+    nodes = docs.select(key.alias("__key"), F.xxhash64("text").alias("group"))
+    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    places = propagate(nodes, shards).withColumn("__nth_place", nth).select(
+        F.col("__key").alias("__of"), "__nth_place", F.col("shard").alias("__shard"), F.col("slot").alias("__slot")
+    )
+    rows = docs.withColumn("__key", key).withColumn("__nth", nth)
+    return rows.join(
+        places, (F.col("__key") == F.col("__of")) & (F.col("__nth") == F.col("__nth_place"))
+    ).select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")],
+             F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return documents_in_shards(table(spark, sf_dir, "documents")).select(

@@ -64,15 +64,16 @@ def fingerprint(text: bytes, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``doc_id fp``: the fingerprint of each text as a signed long."""
+    """``doc_id text_hash fp``: the fingerprint of each text as a signed long."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        prints = np.array([fingerprint(t, words) for t in utf8(batch.column(1))], np.uint64)
+        prints = np.array([fingerprint(t, words) for t in utf8(batch.column(2))], np.uint64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"]
+            [batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], names=["doc_id", "text_hash", "fp"]
         )
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    return arrow_map(rows, run, "doc_id long, text_hash long, fp long")
 
 
 # --- parts and thresholds --------------------------------------------------------------------
@@ -316,16 +317,34 @@ def links(prints: DataFrame, distance: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
-    """``doc_id fp component_id`` of every row of ``docs`` (``doc_id``, ``text``)."""
+    """``doc_id text_hash fp component component_id`` of every row of ``docs`` (``doc_id``, ``text``).
+
+    ``component`` is a fingerprint of the component, ``component_id`` its smallest ``doc_id``.
+    """
     rows = written(fingerprints(docs, words), "simhash")
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected(links(prints.select("fp"), distance), "simhash")
     named = prints.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
+        F.col("fp").alias("print"), "least", F.coalesce("root", "fp").alias("component")
     )
-    least = named.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"))
-    of = named.join(least, F.col("root") == F.col("of")).select(F.col("fp").alias("print"), "component_id")
-    return rows.join(of, F.col("fp") == F.col("print")).select("doc_id", "fp", "component_id")
+    least = named.groupBy(F.col("component").alias("of")).agg(F.min("least").alias("component_id"))
+    of = named.join(least, F.col("component") == F.col("of")).select("print", "component", "component_id")
+    return rows.join(of, F.col("fp") == F.col("print")).drop("print")
+
+
+def one_of_each(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
+    """One row of ``docs`` of each component, with all its columns: that of the smallest ``doc_id``.
+
+    A null ``doc_id`` comes last; of rows that share it the one with the smaller text hash stays,
+    of equal rows any.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    stay = written(near_duplicates(docs, words, distance).groupBy("component").agg(
+        F.min(F.struct(key.alias("__id"), F.col("text_hash").alias("__text"))).alias("s")
+    ).select("s.*"), "simhash-stay")
+    rows = docs.select("*", key.alias("__key"), F.xxhash64("text").alias("__hash"))
+    kept = rows.join(stay, (F.col("__key") == F.col("__id")) & (F.col("__hash") == F.col("__text")), "left_semi")
+    return kept.dropDuplicates(["__key", "__hash"]).select(*docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
