@@ -3,9 +3,10 @@
 Numbers, units after numbers, currency signs and capitalised words within a sentence become typed
 placeholders; blanks and marks only separate words.  Windows of five template words of the
 documents are hash-joined with those of the benchmark items.  A document leaks an item when it
-holds at least 0.8 of the item's windows and the fillings of the placeholders agree: within a type,
-equal fillings of the item stand for equal fillings of the document, and different for different.
-So a question with other numbers and names is caught, a chance likeness of templates is not.
+holds at least 0.8 of the item's windows in alignments whose placeholders are filled consistently:
+within a type, equal fillings of the item stand for equal fillings of the document, and different
+for different.  So a question with other numbers and names is caught, also with words put in, and a
+chance likeness of templates is not.
 
 Everything runs as DataFrame functions.  The item windows and the found documents are broadcast
 only below a checked number of rows, and shuffled beyond it, with the same result.
@@ -49,9 +50,9 @@ def plain(text: Column) -> Column:
 
 def template(text: Column) -> Column:
     """Of a :func:`plain` text: as many words, the varying ones replaced by their type."""
-    out = F.regexp_replace(text, r"(?<=\p{Ll}\x20)\p{Lu}[\p{Ll}]+(?![\p{L}])", NAME)
+    out = F.regexp_replace(text, r"(?<=\p{Ll}[\x20\x09-\x0D])\p{Lu}[\p{Ll}]+(?![\p{L}])", NAME)
     out = F.regexp_replace(out, r"[0-9][0-9·]*", NUMBER)
-    out = F.regexp_replace(out, f"(?i)({NUMBER}\\x20?)(?:{UNITS})(?![\\p{{L}}0-9⟨])", f"$1{UNIT}")
+    out = F.regexp_replace(out, f"(?i)({NUMBER}[\\x20\\x09-\\x0D]?)(?:{UNITS})(?![\\p{{L}}0-9⟨])", f"$1{UNIT}")
     return F.lower(F.regexp_replace(out, r"[$€£¥%°]", UNIT))
 
 
@@ -91,16 +92,23 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     ).alias("hashes"))
     places = hashed.select("doc_id", "text_hash", F.posexplode("hashes").alias("pos", "hash"))
     hits = places.join(bounded(of_items), "hash")
-    same = hits.groupBy("doc_id", "text_hash", "item_id").agg(
-        F.count_distinct("at").alias("n_windows"), F.max("n_item").alias("n_item"),
-        F.collect_set(F.struct("pos", "at")).alias("pairs"),
-    ).where(F.col("n_windows") >= least * F.col("n_item"))
-    found = written(same, "leaks")
-    return _consistent(docs, items, found)
+    aligned = hits.groupBy("doc_id", "text_hash", "item_id", (F.col("pos") - F.col("at")).alias("shift")).agg(
+        F.collect_set("at").alias("at"), F.max("n_item").alias("n_item")
+    )
+    found = aligned.groupBy("doc_id", "text_hash", "item_id").agg(
+        F.collect_list(F.struct("shift", "at")).alias("ways"), F.max("n_item").alias("n_item")
+    ).where(F.size(_places(F.col("ways"))) >= least * F.col("n_item"))
+    return _consistent(docs, items, written(found, "leaks"), least)
+
 
+def _places(ways: Column) -> Column:
+    """Windows of the item that any of the alignments has."""
+    return F.array_distinct(F.flatten(F.transform(ways, lambda w: w["at"])))
 
-def _consistent(docs: DataFrame, items: DataFrame, found: DataFrame) -> DataFrame:
-    """Those whose placeholders are filled alike; looks at the found documents only."""
+
+def _consistent(docs: DataFrame, items: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """Those that hold enough windows in alignments whose placeholders are filled alike; looks at
+    the found documents only."""
     key = ["doc_id", "text_hash"]
     few = found.select(*[F.col(c).alias(f"f_{c}") for c in key]).distinct()
     read = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
@@ -118,19 +126,30 @@ def _consistent(docs: DataFrame, items: DataFrame, found: DataFrame) -> DataFram
     both = found.join(
         theirs, found["doc_id"].eqNullSafe(theirs["t_doc_id"]) & (found["text_hash"] == theirs["t_text_hash"])
     ).join(own, found["item_id"].eqNullSafe(own["i_item_id"]))
-    # (type, filling of the item, filling of the document) of each slot of each shared window
-    fillings = F.array_distinct(F.flatten(F.transform("pairs", lambda p: F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda j: F.struct(
-            F.regexp_extract(F.get("t_kinds", p["pos"] + j), SLOT, 0).alias("kind"),
-            F.lower(F.get("i_words", p["at"] + j)).alias("item"),
-            F.lower(F.get("t_words", p["pos"] + j)).alias("doc"),
-        )), lambda s: s["kind"] != "",
-    ))))
-    count = lambda c: F.size(F.array_distinct(F.transform("fillings", lambda s: F.struct(s["kind"], s[c]))))
-    return both.withColumn("fillings", fillings).where(
-        (count("item") == F.size("fillings")) & (count("doc") == F.size("fillings"))
+
+    def fillings(way: Column) -> Column:
+        """(type, filling of the item, filling of the document) of the slots in an alignment."""
+        places = F.array_distinct(F.flatten(F.transform(
+            way["at"], lambda at: F.sequence(at, at + (WINDOW - 1))
+        )))
+        return F.array_distinct(F.filter(F.transform(places, lambda at: F.struct(
+            F.regexp_extract(F.get("t_kinds", at + way["shift"]), SLOT, 0).alias("kind"),
+            F.lower(F.get("i_words", at)).alias("item"),
+            F.lower(F.get("t_words", at + way["shift"])).alias("doc"),
+        )), lambda s: s["kind"] != ""))
+
+    def alike(slots: Column) -> Column:
+        one = lambda side: F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(s["kind"], s[side]))))
+        return (one("item") == F.size(slots)) & (one("doc") == F.size(slots))
+
+    filled = both.withColumn("ways", F.transform("ways", lambda w: F.struct(
+        w["at"].alias("at"), fillings(w).alias("slots")
+    ))).withColumn("ways", F.filter("ways", lambda w: alike(w["slots"])))
+    return filled.withColumn("n_windows", F.size(_places(F.col("ways"))).cast("long")).where(
+        F.col("n_windows") >= least * F.col("n_item")
     ).select(
-        *key, "item_id", "n_windows", "n_item", F.size("fillings").cast("long").alias("n_slots")
+        *key, "item_id", "n_windows", "n_item",
+        F.array_max(F.transform("ways", lambda w: F.size(w["slots"]))).cast("long").alias("n_slots"),
     )
 
 

@@ -2,10 +2,11 @@
 
 Documents start dealt evenly over the shards.  Each round a group of linked documents (here: of
 equal texts) counts its members by shard and picks the shards it is drawn to: the one with most
-members, or as many as its size needs.  Its other members ask to move there.  Requests of opposite
-direction are granted in pairs, others as far as the target has room, the groups that are nearest
-to being whole first; so linked documents never exceed a shard's quota.  Unlinked documents then
-fill what is left.  The law is ``rows``: the counts of any two shards differ by one at most.
+members, or as many as its size needs.  Its other members ask to move there.  Requests are granted
+along circles of shards, and along chains that end where there is room, so no shard ever holds
+more linked documents than its quota; the groups that are nearest to being whole go first.  Large
+groups settle before small ones, and unlinked documents fill what is left.  The law is ``rows``:
+the counts of any two shards differ by one at most.
 
 Only counts by (shard, shard, level) come to the driver.  Groups are counted by partial aggregates;
 the join that tells members where to go may be split at a hot group.
@@ -16,6 +17,8 @@ one; with fewer rows than shards some shards are empty.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,20 +27,55 @@ from pyspark.sql.window import Window
 
 from .common import prepare, ranked, table, written
 
-SHARDS, ROUNDS, LEVELS = 24, 6, 10
+SHARDS, ROUNDS, LEVELS = 24, 5, 10
+#: Groups of this share of a quota and more settle first.
+LARGE = 1 / 16
 
 
 def quotas(wanted: dict[tuple[int, int, int], int], room: dict[int, int]) -> dict[tuple[int, int, int], int]:
-    """How many requests (from, to, level) are granted; ``room`` is what each shard can still take."""
-    flow: dict[tuple[int, int], int] = defaultdict(int)
+    """How many requests (from, to, level) are granted; ``room`` is what each shard can still take.
+
+    Requests into shards with room go first, and make room where they come from; then requests
+    that form circles, whose shards take as many as they give.
+    """
+    flow: dict[int, dict[int, int]] = defaultdict(dict)
     for (a, b, _), n in wanted.items():
-        flow[a, b] += n
-    granted = {(a, b): min(n, flow.get((b, a), 0)) for (a, b), n in flow.items()}
+        flow[a][b] = flow[a].get(b, 0) + n
+    granted: dict[tuple[int, int], int] = defaultdict(int)
     room = dict(room)
-    for (a, b), n in sorted(flow.items(), key=lambda x: (-x[1], x[0])):
-        more = min(n - granted[a, b], room.get(b, 0))
-        granted[a, b] += more
-        room[b] = room.get(b, 0) - more
+
+    def grant(steps: list[tuple[int, int]], n: int) -> None:
+        for a, b in steps:
+            flow[a][b] -= n
+            granted[a, b] += n
+            room[a] += n
+            room[b] -= n
+
+    def circle(start: int) -> list[int] | None:
+        """The shortest way from ``start`` back to it."""
+        came, queue = {}, [start]
+        for a in queue:
+            for b in sorted(x for x, n in flow.get(a, {}).items() if n):
+                if b == start:
+                    way = [a]
+                    while way[-1] != start:
+                        way.append(came[way[-1]])
+                    return way[::-1]
+                if b not in came:
+                    came[b] = a
+                    queue.append(b)
+        return None
+
+    open_ = True
+    while open_:
+        open_ = [(a, b) for a in sorted(flow) for b in sorted(flow[a]) if flow[a][b] and room[b] > 0]
+        for a, b in open_:
+            if (n := min(flow[a][b], room[b])) > 0:
+                grant([(a, b)], n)
+    for start in sorted(flow):
+        while way := circle(start):
+            steps = list(zip(way, [*way[1:], start]))
+            grant(steps, min(flow[a][b] for a, b in steps))
     out = {}
     for (a, b, level), n in sorted(wanted.items(), key=lambda x: (x[0][:2], -x[0][2])):
         out[a, b, level] = take = min(n, granted[a, b])
@@ -45,50 +83,68 @@ def quotas(wanted: dict[tuple[int, int, int], int], room: dict[int, int]) -> dic
     return out
 
 
+def _counts(rows: DataFrame) -> dict[int, int]:
+    """Rows by shard."""
+    return {r["__label"]: r["count"] for r in rows.groupBy("__label").count().collect()}
+
+
 def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """``nodes`` (with ``group``, a long) and ``shard`` and ``slot``; rows differ by one at most."""
     columns = nodes.columns
     rows = written(ranked(nodes, [], columns, "__node"), "shard-nodes")
     sizes = rows.groupBy(F.col("group").alias("__g")).agg(F.count("*").alias("__size"))
-    rows = rows.join(sizes, F.col("group").eqNullSafe(F.col("__g"))).drop("__g").withColumn(
+    started = written(rows.join(sizes, F.col("group").eqNullSafe(F.col("__g"))).drop("__g").withColumn(
         "__label", (F.col("__node") % shards).cast("int")
-    )
-    started = written(rows, "shard-start")
+    ), "shard-start")
     total = started.count()
-    quota = {s: total // shards + (s < total % shards) for s in range(shards)}
-    least = max(1, min(quota.values()))
-    linked = started.where("__size > 1")
-    for _ in range(rounds):
-        wants = written(_requests(linked, least), "shard-wants")
-        counted = wants.groupBy("__label", "__to", "__level").count().collect()  # shards^2 levels at most
-        filled: dict[int, int] = defaultdict(int)
-        wanted = {}
-        for r in counted:
-            filled[r["__label"]] += r["count"]
-            if r["__to"] != r["__label"]:
-                wanted[r["__label"], r["__to"], r["__level"]] = r["count"]
-        granted = {k: n for k, n in quotas(wanted, {s: quota[s] - filled[s] for s in quota}).items() if n}
-        if not granted:
-            linked = wants.select(*started.columns)
-            break
-        allowed = nodes.sparkSession.createDataFrame(
-            [(*k, n) for k, n in granted.items()], "__la int, __lb int, __ll int, __n long"
-        )
-        asking = ranked(
-            wants.where("__to <> __label"), ["__label", "__to", "__level"], ["__node"], "__nth"
-        ).join(
-            F.broadcast(allowed),  # shards^2 levels at most
-            (F.col("__label") == F.col("__la")) & (F.col("__to") == F.col("__lb")) & (F.col("__level") == F.col("__ll")),
-            "left",
-        ).withColumn("__label", F.when(F.col("__nth") < F.col("__n"), F.col("__to")).otherwise(F.col("__label")))
-        linked = written(asking.select(*started.columns).unionByName(
-            wants.where("__to = __label").select(*started.columns)
-        ), "shard-round")
-    free = _fill(started.where("__size = 1"), linked, quota)
-    placed = linked.select(*columns, "__node", F.col("__label").alias("shard")).unionByName(free.select(*columns, "__node", "shard"))
+    left = {s: total // shards + (s < total % shards) for s in range(shards)}
+    quota = max(1, total // shards)
+    large = max(2, int(LARGE * quota))
+    done = []
+    for of_level in (F.col("__size") >= large, (F.col("__size") < large) & (F.col("__size") > 1)):
+        linked = started.where(of_level)
+        have = _counts(linked)
+        if not have:
+            continue
+        share = sum(have.values()) / sum(left.values())
+        room = {s: min(n, math.ceil(n * share)) for s, n in left.items()}
+        if any(have.get(s, 0) > room[s] for s in room):
+            linked = written(_fill(linked, have, room), "shard-level")
+        for _ in range(rounds):
+            linked, moved = _round(linked, left, quota)
+            if not moved:
+                break
+        for s, n in _counts(linked).items():
+            left[s] -= n
+        done.append(linked)
+    free = started.where("__size = 1")
+    done.append(_fill(free, _counts(free), left))
+    placed = functools.reduce(DataFrame.unionByName, done).select(*columns, "__node", F.col("__label").alias("shard"))
     return ranked(written(placed, "shard-placed"), ["shard"], ["__node"], "slot").drop("__node")
 
 
+def _round(linked: DataFrame, room: dict[int, int], quota: int) -> tuple[DataFrame, int]:
+    """The rows after one round, and how many moved; ``room`` is for all of them."""
+    wants = written(_requests(linked, quota), "shard-wants")
+    counted = wants.groupBy("__label", "__to", "__level").count().collect()  # shards^2 levels at most
+    free, wanted = dict(room), {}
+    for r in counted:
+        free[r["__label"]] -= r["count"]
+        if r["__to"] != r["__label"]:
+            wanted[r["__label"], r["__to"], r["__level"]] = r["count"]
+    granted = [(*k, n) for k, n in quotas(wanted, free).items() if n]
+    if not granted:
+        return wants.select(*linked.columns), 0
+    allowed = linked.sparkSession.createDataFrame(granted, "__la int, __lb int, __ll int, __n long")
+    same = (F.col("__label") == F.col("__la")) & (F.col("__to") == F.col("__lb")) & (F.col("__level") == F.col("__ll"))
+    asking = ranked(wants.where("__to <> __label"), ["__label", "__to", "__level"], ["__node"], "__nth").join(
+        F.broadcast(allowed), same, "left"  # shards^2 levels at most
+    ).withColumn("__label", F.when(F.col("__nth") < F.col("__n"), F.col("__to")).otherwise(F.col("__label")))
+    return written(asking.select(*linked.columns).unionByName(
+        wants.where("__to = __label").select(*linked.columns)
+    ), "shard-round"), sum(g[-1] for g in granted)
+
+
 def _requests(linked: DataFrame, quota: int) -> DataFrame:
     """With ``__to``, the shard a row is drawn to (its own, if that is one of its group's), and
     ``__level``, how much of the group is there already."""
@@ -108,24 +164,21 @@ def _requests(linked: DataFrame, quota: int) -> DataFrame:
     }).drop("__g", "__goals")
 
 
-def _fill(free: DataFrame, linked: DataFrame, quota: dict[int, int]) -> DataFrame:
-    """Unlinked rows stay while their shard has room and fill the others in order."""
-    count = lambda df: {r["__label"]: r["count"] for r in df.groupBy("__label").count().collect()}
-    taken, mine = count(linked), count(free)  # one row for each shard
-    room = {s: quota[s] - taken.get(s, 0) for s in quota}
+def _fill(rows: DataFrame, have: dict[int, int], room: dict[int, int]) -> DataFrame:
+    """Rows stay while their shard has room; the others fill the remaining room in order."""
     offset, given, first, ends = {}, 0, 0, []
-    for s in quota:
+    for s in room:
         offset[s] = given
-        given += max(0, mine.get(s, 0) - room[s])
-        first += max(0, room[s] - mine.get(s, 0))
+        given += max(0, have.get(s, 0) - room[s])
+        first += max(0, room[s] - have.get(s, 0))
         ends.append(first)
     array = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    at = F.col("__label")
-    over = F.get(array(offset.values()), at) + F.col("__nth") - F.get(array(room.values()), at)
-    to = F.size(F.filter(array(ends), lambda e: e <= over))
-    return ranked(free, ["__label"], ["__node"], "__nth").withColumn(
-        "shard", F.when(F.col("__nth") < F.get(array(room.values()), at), at).otherwise(to.cast("int"))
-    )
+    at, nth = F.col("__label"), F.col("__nth")
+    mine = F.get(array(room.values()), at)
+    to = F.size(F.filter(array(ends), lambda e: e <= F.get(array(offset.values()), at) + nth - mine))
+    return ranked(rows, ["__label"], ["__node"], "__nth").withColumn(
+        "__label", F.when(nth < mine, at).otherwise(to.cast("int"))
+    ).select(*rows.columns)
 
 
 def cut(placed: DataFrame) -> DataFrame:
