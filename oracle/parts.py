@@ -89,7 +89,7 @@ def decode(expr: str) -> str:
     return trim(collapse(out))
 
 
-def escape(expr: str) -> str:
+def escape(expr: str, cut: bool = True) -> str:
     out = f"coalesce({expr}, '')"
     for char, entity in P.ESCAPES:
         out = f"replace({out}, {lit(char)}, {lit(entity)})"
@@ -97,7 +97,7 @@ def escape(expr: str) -> str:
         out = sub(out, p)
     for mark in P.MARKDOWN_MARKS:
         out = f"replace({out}, {lit(mark)}, {lit(chr(92) + mark)})"
-    return f"substr({out}, 1, {P.MESSAGE_TEXT_LIMIT})"
+    return f"substr({out}, 1, {P.MESSAGE_TEXT_LIMIT})" if cut else out
 
 
 def age(iso: str, as_of: str) -> str:

@@ -141,7 +141,7 @@ SQL["html_to_text"] = f"""select page_id, {S.to_text('html')} as text,
  {S.to_text('html', False)} as text_with_scripts from pages"""
 SQL["decode_entities"] = f"""select page_id, {S.decode('t')} as text
 from (select page_id, {S.to_text('html')} as t from pages)"""
-SQL["escape_markup"] = f"select page_id, {S.escape('html')} as escaped from pages"
+SQL["escape_markup"] = f"select page_id, {S.escape('html', cut=False)} as escaped from pages"
 SQL["relative_age"] = f"""select event_id, iso, {S.age('iso', AS_OF)} as age from (
  select event_id, case when event_type = 'error' then 'at ' || props
    else strftime(ts, '%Y-%m-%dT%H:%M:%S') end as iso from events)"""
@@ -230,7 +230,7 @@ SQL["duration_stats"] = """select event_type, count(value) as n, round(avg(value
 
 # --- extraction --------------------------------------------------------------------
 def open_tag(classes) -> str:
-    return r'(?is)<[^>]*class="[^"]*\b(?:' + "|".join(classes) + r')\b[^"]*"[^>]*>'
+    return r'(?is)<[A-Za-z][^>]*class="[^"]*\b(?:' + "|".join(classes) + r')\b[^"]*"[^>]*>'
 
 
 def lazy_blocks(source: str, classes) -> str:
@@ -329,18 +329,18 @@ SQL["page_kind"] = """select page_id, case when contains(html, '.example.com') t
  else 'Web Page' end as kind, length(html) as content_length from pages"""
 
 
-def dates_of(source: str, key: str) -> str:
+def dates_of(source: str, key: str, cap: int = 10**9) -> str:
     return f"""(select {key}, pos, 'Date: ' || {S.collapse(S.trim('m'))} as mention from (
  select {key}, unnest(l) as m, generate_subscripts(l, 1) - 1 as pos from (
-  select {key}, {S.every('html', P.DATE_MENTION)} as l from {source})) where pos < 2)"""
+  select {key}, {S.every('html', P.DATE_MENTION)} as l from {source})) where pos < {cap})"""
 
 
-def numbered(inner: str, key: str, order: str, cap: int) -> str:
+def numbered(inner: str, key: str, order: str, cap: int = 10**9) -> str:
     return f"""(select * exclude (r), r - 1 as pos from (
  select *, row_number() over (partition by {key} order by {order}) as r from ({inner})) where r <= {cap})"""
 
 
-def prices_of(source: str, key: str) -> str:
+def prices_of(source: str, key: str, cap: int = 10**9) -> str:
     words = "string_split({}, ' ')"
     b, a = words.format("b"), words.format("a")
     leads = " or ".join(f"contains(b, '{w}')" for w in P.PRICE_BEFORE_WORDS)
@@ -353,10 +353,10 @@ def prices_of(source: str, key: str) -> str:
     select {key}, {S.every('t', P.PRICE_MENTION, 1)} as l1, {S.every('t', P.PRICE_MENTION, 2)} as l2,
       {S.every('t', P.PRICE_MENTION, 3)} as l3
     from (select {key}, {S.to_text('html', False)} as t from {source}))))) where length(mention) between 11 and 79"""
-    return f"(select {key}, pos, mention from {numbered(inner, key, 'i', 5)})"
+    return f"(select {key}, pos, mention from {numbered(inner, key, 'i', cap)})"
 
 
-def places_of(source: str, key: str) -> str:
+def places_of(source: str, key: str, cap: int = 10**9) -> str:
     each = " union all ".join(
         f"select {key}, {n} as pl, unnest(l) as m, generate_subscripts(l, 1) as i from (select {key}, "
         + S.every("t", r"(?i)([^.!?]{20,80}" + place + r"[^.!?]{0,40})", 1) + " as l from texts)"
@@ -364,7 +364,7 @@ def places_of(source: str, key: str) -> str:
     inner = f"""with texts as (select {key}, {S.to_text('html', False)} as t from {source})
 select {key}, pl, i, 'Location: ' || d as mention from (select {key}, pl, i, {S.collapse(S.trim('m'))} as d
  from ({each})) where length(d) between 26 and 99"""
-    return f"(select {key}, pos, mention from {numbered(inner, key, 'pl, i', 5)})"
+    return f"(select {key}, pos, mention from {numbered(inner, key, 'pl, i', cap)})"
 
 
 SQL["date_mentions"] = f"select * from {dates_of(OFFERS, 'page_id')}"
@@ -446,9 +446,9 @@ def deal_list(*rows: str, key: str = "page_id", cap: int = 10**9) -> str:
     return f"(select {key}, pos, {DEAL_COLS} from {numbered(inner, key, 'kind, i', cap)})"
 
 
-def generic(source: str, key: str) -> str:
+def generic(source: str, key: str, cap: int = 10**9) -> str:
     return deal_list(hotel_rows(source, key), package_rows(source, key), savings_rows(source, key),
-                     credit_rows(source, key), key=key, cap=8)
+                     credit_rows(source, key), key=key, cap=cap)
 
 
 SQL["hotel_deals"] = f"select * from {deal_list(hotel_rows(OFFERS, 'page_id'))}"
@@ -458,66 +458,67 @@ SQL["credit_deals"] = f"select * from {deal_list(credit_rows(OFFERS, 'page_id'))
 SQL["generic_deals"] = f"select * from {generic(OFFERS, 'page_id')}"
 
 
-def rule_rows(source: str, key: str) -> str:
-    page = S.sub(S.sub(S.sub("html", P.SCRIPT_BLOCK), P.STYLE_BLOCK), P.TAG, " ")
-    page = S.collapse(f"replace(replace(replace({page}, '&diams;', '♦'), '&bull;', '•'), '&nbsp;', ' ')")
+def const(v) -> str:
+    return "null" if v is None else lit(v) if isinstance(v, str) else str(v)
 
-    def const(v) -> str:
-        return "null" if v is None else lit(v)
 
-    each = " union all ".join(
-        f"select {key}, 5 as kind, {n} as i, {const(r['title'])} as title, "
-        f"{S.collapse(S.trim(S.one('t', r['pattern'])))} as description, {const(r['price'])} as price, "
-        f"{const(r['savings'])} as savings, {const(r['location'])} as location, null as dates "
-        f"from ruled where {S.has('t', r['pattern'])}"
-        for n, r in enumerate(P.SITE_RULES))
-    return f"""(with ruled as (select {key}, {page} as t from {source} where contains(url, {lit(P.SITE_RULE_CODE)}))
- {each})"""
+RULE_COLS = ("url_contains", "pattern", "title", "price", "savings", "location", "ord")
+FIXED_RULES = "(select * from (values " + ", ".join(
+    "(" + ", ".join(const(v) for v in (r["url_contains"], P.re2_regex(r["pattern"]), r["title"], r["price"],
+                                       r["savings"], r["location"], n - len(P.SITE_RULES))) + ")"
+    for n, r in enumerate(P.SITE_RULES)) + f") v({', '.join(RULE_COLS)}))"
+TABLE_RULES = f"(select * from {FIXED_RULES} f union all by name select * from {D('site_rules')} s)"
 
 
-def all_deals(source: str, key: str) -> str:
-    other = f"(select * from {source} where not contains(url, {lit(P.SITE_RULE_CODE)}))"
-    return f"""(select {key}, pos, {DEAL_COLS} from {generic(other, key)}
- union all select {key}, pos, {DEAL_COLS} from {deal_list(rule_rows(source, key), key=key)})"""
+def all_deals(source: str, key: str, rules: str = FIXED_RULES, cap: int = 10**9) -> str:
+    """Deals by the rules of a page's first rule code, the generic ones without any."""
+    page = S.sub(S.sub(S.sub("html", P.SCRIPT_BLOCK), P.STYLE_BLOCK), P.TAG, " ")
+    page = S.collapse(f"replace(replace(replace({page}, '&diams;', '♦'), '&bull;', '•'), '&nbsp;', ' ')")
+    coded = f"""(select p.{key}, p.url, min(r.ord) as top from {source} p join {rules} r
+  on contains(p.url, r.url_contains) group by all)"""
+    ruled = f"""(select {key}, 5 as kind, ord as i, title, {S.collapse(S.trim('m'))} as description, price, savings,
+  location, null as dates from (select c.{key}, r.*, regexp_extract(p.t, r.pattern) as m
+   from {coded} c join {rules} f on f.ord = c.top join {rules} r on r.url_contains = f.url_contains
+   join (select {key}, {page} as t from {source}) p on p.{key} = c.{key}) where m <> '')"""
+    other = f"(select * from {source} where {key} not in (select {key} from {coded}))"
+    return f"""(select {key}, pos, {DEAL_COLS} from {generic(other, key, cap)}
+ union all select {key}, pos, {DEAL_COLS} from {deal_list(ruled, key=key)})"""
 
 
-SQL["rule_deals"] = f"select * from {all_deals(OFFERS, 'page_id')}"
+SQL["rule_deals"] = f"select * from {all_deals(OFFERS, 'page_id', TABLE_RULES)}"
 
 
-def per_page(rows: str, key: str, name: str, value: str, below: int) -> str:
-    return f"""(select {key}, list({value} order by pos) filter (pos < {below}) as {name} from {rows} group by {key})"""
+def listed_by(rows: str, key: str, name: str, value: str) -> str:
+    return f"""(select {key}, list({value} order by pos) as {name} from {rows} group by {key})"""
 
 
-SUMMARY = f"""(with both_pages as (select url, html, page_id from {BOTH}),
- pr as {per_page(prices_of('both_pages', 'url'), 'url', 'l', 'mention', 3)},
- da as {per_page(dates_of('both_pages', 'url'), 'url', 'l', 'mention', 2)},
- pl as {per_page(places_of('both_pages', 'url'), 'url', 'l', 'mention', 2)},
+def summary(prices: int = 10**9, dates: int = 10**9, places: int = 10**9, deals: int = 10**9) -> str:
+    return f"""(with both_pages as (select url, html, page_id from {BOTH}),
+ pr as {listed_by(prices_of('both_pages', 'url', prices), 'url', 'l', 'mention')},
+ da as {listed_by(dates_of('both_pages', 'url', dates), 'url', 'l', 'mention')},
+ pl as {listed_by(places_of('both_pages', 'url', places), 'url', 'l', 'mention')},
  de as (select url, list(struct_pack(title := title, description := description, price := price,
     savings := savings, location := location, dates := dates) order by pos) as l
-   from {all_deals('both_pages', 'url')} group by url),
+   from {all_deals('(select url, html, url as u from both_pages)', 'url', cap=deals)} group by url),
  np as (select url, count(*) as n from {promos(lazy_blocks('both_pages', P.SUMMARY_CLASSES))} group by url)
  select b.url, {title_of('html')} as title, {meta_of('html')} as meta_description,
   case when contains(html, 'travel.example.com') then 'Travel Page' else 'Web Page' end as kind,
   length(html) as content_length, coalesce(np.n, 0) as n_promos,
-  list_concat(list_concat(coalesce(pr.l, []), coalesce(da.l, [])), coalesce(pl.l, []))[1:6] as key_elements,
+  list_concat(list_concat(coalesce(pr.l, []), coalesce(da.l, [])), coalesce(pl.l, [])) as key_elements,
   coalesce(de.l, []) as deals
  from both_pages b left join pr on pr.url = b.url left join da on da.url = b.url left join pl on pl.url = b.url
  left join de on de.url = b.url left join np on np.url = b.url)"""
-SQL["page_summary"] = f"""select url, title, meta_description, kind, content_length, n_promos,
- array_to_string(key_elements, ' | ') as key_elements,
- array_to_string(list_transform(deals, lambda d: d.title), ' | ') as deals from {SUMMARY}"""
 
 
-def sized(rows: str, name: str) -> str:
-    return f"(select page_id, count(*) as {name} from {rows} group by page_id)"
+SQL["page_summary"] = f"""select url, title, meta_description, kind, content_length, n_promos,
+ array_to_string(key_elements, ' | ') as key_elements,
+ array_to_string(list_transform(deals, lambda d: d.title), ' | ') as deals from {summary()}"""
 
 
-SQL["page_caps"] = f"""select o.page_id, coalesce(n_prices, 0) as n_prices, coalesce(n_dates, 0) as n_dates,
- coalesce(n_places, 0) as n_places, coalesce(n_deals, 0) as n_deals, least(coalesce(n_deals, 0), 4) as n_shown
-from {OFFERS} o left join {sized(prices_of(OFFERS, 'page_id'), 'n_prices')} a on a.page_id = o.page_id
-left join {sized(dates_of(OFFERS, 'page_id'), 'n_dates')} b on b.page_id = o.page_id
-left join {sized(places_of(OFFERS, 'page_id'), 'n_places')} c on c.page_id = o.page_id
-left join {sized(all_deals(OFFERS, 'page_id'), 'n_deals')} d on d.page_id = o.page_id"""
+SQL["page_caps"] = f"""select page_id, 'price' as kind, pos, mention as text from {prices_of(OFFERS, 'page_id', 5)}
+union all select page_id, 'date', pos, mention from {dates_of(OFFERS, 'page_id', 2)}
+union all select page_id, 'place', pos, mention from {places_of(OFFERS, 'page_id', 5)}
+union all select page_id, 'deal', pos, title from {generic(OFFERS, 'page_id', 8)}"""
 
 # --- digests -------------------------------------------------------------------------
 def record_lines(prefix: str) -> str:
@@ -569,8 +570,8 @@ DEAL_TEXT = f"""concat_ws(chr(10), '*' || {S.escape('d.title')} || '*',
  case when coalesce(d.location, '') <> '' then '📍 ' || {S.escape('d.location')} end,
  case when coalesce(d.dates, '') <> '' then '📅 ' || {S.escape('d.dates')} end,
  case when d.description <> '' and d.description <> d.title then '_' || {S.escape("case when length(d.description) > 100 then substr(d.description, 1, 100) || '...' else d.description end")} || '_' end)"""
-SQL["summary_digest"] = f"""with s as (select * from {SUMMARY})
-select url, 0::bigint as block_no, 'header' as block_type, '🧪 E2E Test Results' as text from s
+SQL["summary_digest"] = f"""with s as (select * from {summary(3, 2, 2, 8)})
+select url, 0::bigint as block_no, 'header' as block_type, 'Page summary' as text from s
 union all select url, 1, 'context', '<' || url || '|View Page> • Jan 2, 3:04 PM • Fetch: 120ms' from s
 union all select url, 2, 'section', '*Page Summary:*' || chr(10) || '*Title:* ' || {S.escape('title')} || chr(10)
  || '*Type:* ' || kind || chr(10) || '*Content:* ' || cast(cast(floor(content_length / 1024 + 0.5) as bigint) as varchar)
@@ -587,7 +588,7 @@ union all select url, 12, 'section', '*Key Elements Found:*' || chr(10)
  || array_to_string(list_transform(key_elements, lambda k: '• ' || {S.escape('k')}), chr(10))
  from s where len(deals) = 0 and len(key_elements) > 0
 union all select url, 13, 'context',
- '✅ E2E test completed successfully - URL fetch and Slack notification working' from s"""
+ 'End of the summary' from s"""
 
 # --- quota and chunks ------------------------------------------------------------------
 SQL["window_quota"] = """select user_id, bucket, event_id, ts,
@@ -596,17 +597,17 @@ from (select *, cast(floor(epoch_ms(ts) / 3600000) as bigint) as bucket from eve
 SQL["map_chunks"] = """select doc_id, len(regexp_extract_all(text, '[^ ]+')) as n_words from documents"""
 
 # --- runs and streams ------------------------------------------------------------------
-def listed(side: str, valid: str) -> str:
+def listed(side: str, valid: str, curr: str, prev: str) -> str:
     """Records of the pages that are diffed, one row each."""
     touched = f"""(select c.url, c.promos as cur, p.promos as old from
- (select * from {states('curr')} where {STATE_OK}) c
- join (select * from {states('prev')} where {valid}) p on p.url_key = c.url_key where p.hash <> c.hash)"""
+ (select * from {curr} where {STATE_OK}) c
+ join (select * from {prev} where {valid}) p on p.url_key = c.url_key where p.hash <> c.hash)"""
     return f"""(select url, pos, p.id as id, p.title as title, p.perk as perk, p.dates as dates, p.price as price
  from (select url, unnest({side}) as p, generate_subscripts({side}, 1) - 1 as pos from {touched}))"""
 
 
-def snapshot_rows(valid: str) -> str:
-    old, cur = listed("old", valid), listed("cur", valid)
+def snapshot_rows(valid: str, curr: str = states("curr"), prev: str = states("prev")) -> str:
+    old, cur = listed("old", valid, curr, prev), listed("cur", valid, curr, prev)
     pairs = S.with_clean(
         "(select c.url, c.id, c.pos, "
         + ", ".join(f"p.{f} as previous_{f}, c.{f} as current_{f}" for f in FIELDS)
@@ -621,17 +622,59 @@ union all select url, id, pos, 'removed', {", ".join(f"{f}, null" for f in FIELD
   from {old} p where not exists (select 1 from {cur} c where p.url = c.url and p.id = c.id))"""
 
 
-SNAP_COUNTS = "(select url, " + ", ".join(
-    f"count(*) filter (change_type = '{k}' and material) as n_{k}" for k in ("added", "changed", "removed")
-) + f" from {snapshot_rows(STATE_OK)} group by url)"
-SQL["snapshot_run"] = f"""select url, first_run, n_added + n_changed + n_removed > 0 as has_changes,
+def run_rows(curr: str, prev: str) -> str:
+    """One row for each current page: first_run, the material changes and the sentence for them."""
+    counted = "(select url, " + ", ".join(
+        f"count(*) filter (change_type = '{k}' and material) as n_{k}" for k in ("added", "changed", "removed")
+    ) + f" from {snapshot_rows(STATE_OK, curr, prev)} group by url)"
+    return f"""(select url, first_run, n_added + n_changed + n_removed > 0 as has_changes,
  n_added, n_changed, n_removed, case when first_run then 'Initial state captured'
   else {S.change_sentence('No material changes detected')} end as summary
 from (select c.url, p.url_key is null as first_run, coalesce(n_added, 0) as n_added,
   coalesce(n_changed, 0) as n_changed, coalesce(n_removed, 0) as n_removed
- from (select * from {states('curr')} where {STATE_OK}) c
- left join (select * from {states('prev')} where {STATE_OK}) p on p.url_key = c.url_key
- left join {SNAP_COUNTS} n on n.url = c.url)"""
+ from (select * from {curr} where {STATE_OK}) c
+ left join (select * from {prev} where {STATE_OK}) p on p.url_key = c.url_key
+ left join {counted} n on n.url = c.url))"""
+
+
+SQL["snapshot_run"] = f"select * from {run_rows(states('curr'), states('prev'))}"
+
+# Selectors of the watched pages, as expressions for their opening tags.
+OPENINGS = {
+    ".promo": open_tag(["promo"]), "div.promo": r'(?is)<div\b[^>]*class="[^"]*\bpromo\b[^"]*"[^>]*>',
+    "#deals": r'(?is)<[^>]*\bid="deals"[^>]*>', "section": r"(?is)<section\b[^>]*>",
+    "[data-x]": r"(?is)<[^>]*\sdata-x[^>]*>", ".promo, .deal-card": open_tag(["promo", "deal-card"]),
+    "section.card[data-x]": r"(?is)<section\b[^>]*\sdata-x[^>]*>", "div#deals": r'(?is)<div\b[^>]*\bid="deals"[^>]*>',
+    ".nothing": open_tag(["nothing"]),
+}
+WATCHED = f"(select * from {D('crawl_targets')} t where enabled is distinct from false)"
+
+
+def fetched(odd: int) -> str:
+    """The newest fetch of every watched page, with what is wrong with it."""
+    known = ", ".join(lit(x) for x in OPENINGS)
+    return f"""(select *, coalesce('Failed to fetch content: ' || {FETCH}, case when selector not in ({known})
+   then 'Selector not supported: ' || selector end) as error
+ from (select c.*, t.selector, t.name, row_number() over (partition by c.url order by ts desc, fetch_id desc) as r
+  from {D('crawl_pages')} c join {WATCHED} t on t.url = c.url where fetch_id % 2 = {odd}) where r = 1)"""
+
+
+def crawl_states(odd: int) -> str:
+    blocks = " union all ".join(
+        f"""select url as page_id, url, unnest(l) as block, generate_subscripts(l, 1) - 1 as pos from (
+ select url, {S.every('html', opening + r'(.*?)</[^>]*>', 1)} as l from ok where selector = {lit(selector)})"""
+        for selector, opening in OPENINGS.items())
+    later = "ts + interval 20 year" if odd else "ts"
+    one = "struct_pack(id := id, title := title, perk := perk, dates := dates, price := price)"
+    return f"""(with ok as (select * from {fetched(odd)} where error is null), blocks as ({blocks}),
+ listed as (select url, list({one} order by pos) as promos from {promos('blocks')} group by url)
+ select {S.hash16('ok.url')} as url_key, ok.url, {S.hash16("cast(to_json(coalesce(promos, [])) as varchar)")} as hash,
+  coalesce(promos, []) as promos, {later} as last_seen from ok left join listed l on l.url = ok.url)"""
+
+
+SQL["crawl_run"] = f"""select url, true as success, has_changes, summary, null as name, null as error
+from {run_rows(crawl_states(1), crawl_states(0))}
+union all select url, false, null, null, name, error from {fetched(1)} where error is not null"""
 SQL["stream_run"] = SQL["snapshot_run"]
 SQL["stream_changes"] = f"""select url, id, pos, change_type, {SIDES} from {snapshot_rows(STATE_OK)}
 where change_type <> 'same' and material"""

@@ -111,15 +111,18 @@ def decode_entities(col: Column) -> Column:
     return trim_blanks(collapse_blanks(out))
 
 
-def escape_markup(col: Column) -> Column:
-    """Text that is safe inside a chat message: HTML and markdown escaped, at most 3,000 long."""
+def escape_markup(col: Column, limit: int | None = None) -> Column:
+    """Text that is safe inside a chat message: HTML and markdown escaped.
+
+    ``limit``: cut to so many characters (default: not at all).
+    """
     out = F.coalesce(col, F.lit(""))
     for char, entity in P.ESCAPES:
         out = F.replace(out, F.lit(char), F.lit(entity))
     out = replace_in_order(out, tuple((pattern, "") for pattern in P.UNSAFE_ESCAPED))
     # Every mark gets a backslash in front.
     out = F.regexp_replace(out, "([" + "".join(P.MARKDOWN_MARKS) + "])", r"\\$1")
-    return F.substring(out, 1, P.MESSAGE_TEXT_LIMIT)
+    return out if limit is None else F.substring(out, 1, limit)
 
 
 def truncate_text(col: Column, limit: int = 10000) -> Column:

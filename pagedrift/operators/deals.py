@@ -52,6 +52,8 @@ def _search(
     gives for a word group of the pattern how its words begin.
     """
     for words, begin in (starts or {}).items():
+        if words not in pattern:
+            raise ValueError(f"no {words!r} in the pattern")
         pattern = pattern.replace(words, f"(?={begin}){words}")
     full = F.lit(P.collapsed_regex(ahead + pattern))
 
@@ -73,9 +75,20 @@ def _dollar_within(limit: int, stops: str = ".!?") -> str:
 
 
 A_PRICE = r"\$[\d,]"
-HOTEL_STARTS = {"(?:" + P.HOTEL_WORDS: r"[c-ilmprsw][aehilmnortuy][abdeilmnrstu.\s]"}
-PACKAGE_STARTS = {"(?:package|vacation|getaway|escape|deal)": "[degpv][aes]"}
-CREDIT_STARTS = {r"(?:\$\d+[^.!?]{20,200}resort": r"[$wi][\dan]"}
+
+
+def _starts(words: Sequence[str]) -> str:
+    """A look-ahead that holds wherever one of the lower-case ``words`` starts, in either case."""
+    first = sorted({w[0] for w in words})
+    second = sorted({w[1] for w in words})
+    return "(?i:[" + "".join(first) + "][" + "".join(second) + "])"
+
+
+PACKAGE_WORDS = "package|vacation|getaway|escape|deal"
+PACKAGE_STARTS = {"(?:" + PACKAGE_WORDS + ")": _starts(PACKAGE_WORDS.split("|"))}
+CREDIT_STARTS = {
+    r"(?:\$\d+[^.!?]{20,200}resort": r"(?:\$\d|" + _starts(("waived", "included")) + ")"
+}
 
 
 def _find(text: Column, pattern: str, group: int = 0) -> Column:
@@ -83,6 +96,11 @@ def _find(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract(text, P.collapsed_regex(pattern), group)
 
 
+def _first(values: Column, limit: int | None) -> Column:
+    """The first ``limit`` elements, or all."""
+    return values if limit is None else F.slice(values, 1, limit)
+
+
 def _some(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
 
@@ -119,16 +137,16 @@ def page_kind(html: Column, site: str, site_label: str) -> Column:
 
 # --- mentions --------------------------------------------------------------------
 
-def date_mentions(html: Column) -> Column:
-    """The first two dated phrases of the raw page."""
+def date_mentions(html: Column, limit: int | None = None) -> Column:
+    """The dated phrases of the raw page; ``limit``: only the first ones."""
     return F.transform(
-        F.slice(_find_all(html, P.DATE_MENTION), 1, P.CAP_DATES),
+        _first(_find_all(html, P.DATE_MENTION), limit),
         lambda m: F.concat(F.lit("Date: "), collapse_blanks(trim_blanks(m))),
     )
 
 
-def price_mentions(html: Column) -> Column:
-    """Up to five prices, each with the words that say what it is for."""
+def price_mentions(html: Column, limit: int | None = None) -> Column:
+    """Prices, each with the words that say what it is for; ``limit``: only the first ones."""
     text = html_to_text(html, strip_scripts=False)
 
     def words(col: Column) -> Column:
@@ -173,13 +191,15 @@ def price_mentions(html: Column) -> Column:
             page, P.PRICE_MENTION, [A_PRICE], SENTENCE_WITH_CENTS, _dollar_within(40)
         )
         kept = F.filter(F.transform(found, label), lambda c: F.length(c).between(11, 79))
-        return F.slice(kept, 1, P.CAP_PRICES)
+        return _first(kept, limit)
 
     return let(text, all_prices)
 
 
-def place_mentions(html: Column, places: Sequence[str] = P.PLACES) -> Column:
-    """Sentences about known places, place by place, five in all."""
+def place_mentions(
+    html: Column, places: Sequence[str] = P.PLACES, limit: int | None = None
+) -> Column:
+    """Sentences about known places, place by place; ``limit``: only the first ones."""
 
     def all_places(text: Column) -> Column:
         found = F.concat(
@@ -191,7 +211,7 @@ def place_mentions(html: Column, places: Sequence[str] = P.PLACES) -> Column:
         clean = F.transform(found, lambda m: collapse_blanks(trim_blanks(m)))
         kept = F.filter(clean, lambda c: F.length(c).between(26, 99))
         return F.transform(
-            F.slice(kept, 1, P.CAP_PLACES), lambda c: F.concat(F.lit("Location: "), c)
+            _first(kept, limit), lambda c: F.concat(F.lit("Location: "), c)
         )
 
     return let(html_to_text(html, strip_scripts=False), all_places)
@@ -232,6 +252,8 @@ def _deal_title(description: Column) -> Column:
 
 
 def _hotel_like(text: Column, pattern: str, words: str) -> Column:
+    starts = {"(?:" + words: _starts(words.split("|"))}
+
     def read(match: Column) -> Column:
         description = trim_blanks(_find(match, pattern, 1))
         start = F.greatest(F.instr(text, match) - 100, F.lit(1))
@@ -262,15 +284,15 @@ def _hotel_like(text: Column, pattern: str, words: str) -> Column:
     # From the start of a match to its price: two runs of 80 and 40, a hotel word, a run of 100.
     # The hotel word may hold a full stop (``st. regis``).
     found = _search(
-        text, pattern, [A_PRICE, words], SENTENCE_WITH_CENTS, _dollar_within(300, "!?"), HOTEL_STARTS
+        text, pattern, [A_PRICE, "(?i)" + words], SENTENCE_WITH_CENTS, _dollar_within(300, "!?"), starts
     )
     return F.filter(F.transform(found, read), lambda d: d.isNotNull())
 
 
 def hotel_deals(text: Column) -> Column:
     return F.concat(
-        _hotel_like(text, P.HOTEL_DEAL, "(?i)" + P.HOTEL_WORDS),
-        _hotel_like(text, P.PLACE_DEAL, "(?i)" + P.HOTEL_PLACES),
+        _hotel_like(text, P.HOTEL_DEAL, P.HOTEL_WORDS),
+        _hotel_like(text, P.PLACE_DEAL, P.HOTEL_PLACES),
     )
 
 
@@ -358,60 +380,72 @@ def credit_deals(text: Column) -> Column:
     return F.filter(F.transform(found, read), lambda d: d.isNotNull())
 
 
-def generic_deals(html: Column) -> Column:
-    """Hotel, package, savings and credit deals, at most eight per page in that order."""
+def generic_deals(html: Column, limit: int | None = None) -> Column:
+    """Hotel, package, savings and credit deals, in that order; ``limit``: only the first ones."""
     return let(
         html_to_text(html),
-        lambda text: F.slice(
+        lambda text: _first(
             F.concat(
                 hotel_deals(text), package_deals(text), savings_deals(text), credit_deals(text)
             ),
-            1,
-            P.CAP_DEALS,
+            limit,
         ),
     )
 
 
-def site_deals(html: Column, rules: Sequence[dict]) -> Column:
-    """Deals of the given site rules, in rule order, each with constant title and place."""
+#: Most rules that travel with every page.
+MAX_RULES = 10_000
+
+
+def with_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """Pages with ``rules``: those of the first rule code that occurs in the page's url, in order.
+
+    ``rules``: url_contains, pattern (of texts of collapsed blanks), title, price, savings,
+    location, ord.  The table is read once, as one array for all tasks, so the plan does not grow
+    with it; more than :data:`MAX_RULES` rows are refused.
+    """
+    if rules.limit(MAX_RULES + 1).count() > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} site rules")
+    names = ("ord", "url_contains", "pattern", "title", "price", "savings", "location")
+    every = rules.agg(F.sort_array(F.collect_list(F.struct(*names))).alias("rules")).scalar()
+
+    def of_page(all_rules: Column) -> Column:
+        code = F.get(
+            F.filter(all_rules, lambda r: F.contains(F.col("url"), r["url_contains"]))["url_contains"], 0
+        )
+        return let(code, lambda c: F.filter(all_rules, lambda r: r["url_contains"] == c))
+
+    return pages.withColumn("rules", every).withColumn("rules", F.when(F.size("rules") > 0, of_page(F.col("rules"))))
+
+
+def site_deals(html: Column, rules: Column) -> Column:
+    """Deals of an array of site rules, in rule order, each with constant title and place."""
     text = F.regexp_replace(
         F.regexp_replace(F.regexp_replace(html, P.SCRIPT_BLOCK, ""), P.STYLE_BLOCK, ""), P.TAG, " "
     )
     text = collapse_blanks(replace_entities(text, ("&diams;", "&bull;", "&nbsp;")))
 
     def apply(page: Column) -> Column:
-        found = []
-        for rule in rules:
-            match = _find(page, rule["pattern"])
-            found.append(
-                F.when(
-                    match != "",
-                    _deal(
-                        title=F.lit(rule["title"]),
-                        description=collapse_blanks(trim_blanks(match)),
-                        price=F.lit(rule["price"]),
-                        savings=F.lit(rule["savings"]),
-                        location=F.lit(rule["location"]),
-                    ),
-                )
-            )
-        return F.filter(F.array(*found), lambda d: d.isNotNull())
+        def one(rule: Column) -> Column:
+            match = F.call_function("regexp_extract", page, rule["pattern"], F.lit(0))
+            return let(match, lambda m: F.when(m != "", _deal(
+                title=rule["title"],
+                description=collapse_blanks(trim_blanks(m)),
+                price=rule["price"],
+                savings=rule["savings"],
+                location=rule["location"],
+            )))
+
+        return F.filter(F.transform(rules, one), lambda d: d.isNotNull())
 
     return let(text, apply)
 
 
-def page_deals(
-    url: Column, html: Column, rules: Sequence[dict] = P.SITE_RULES
-) -> Column:
-    """Deals by the first rule set whose code is in the url, the generic ones otherwise.
-
-    The rules are a short fixed list, so they become literals of the plan, not a join.
-    """
-    out = None
-    for code in dict.fromkeys(rule["url_contains"] for rule in rules):
-        deals = site_deals(html, [r for r in rules if r["url_contains"] == code])
-        out = F.when(url.contains(code), deals) if out is None else out.when(url.contains(code), deals)
-    return generic_deals(html) if out is None else out.otherwise(generic_deals(html))
+def page_deals(html: Column, rules: Column, limit: int | None = None) -> Column:
+    """Deals by the page's site rules (see :func:`with_rules`), the generic ones where it has none."""
+    return F.when(F.coalesce(F.size(rules), F.lit(0)) > 0, site_deals(html, rules)).otherwise(
+        generic_deals(html, limit)
+    )
 
 
 # --- jobs ------------------------------------------------------------------------
@@ -433,24 +467,31 @@ def page_summary(
     pages: DataFrame,
     site: str,
     site_label: str,
-    rules: Sequence[dict] = P.SITE_RULES,
+    rules: DataFrame,
     classes: Sequence[str] = P.SUMMARY_CLASSES,
+    max_prices: int | None = None,
+    max_dates: int | None = None,
+    max_places: int | None = None,
+    max_deals: int | None = None,
 ) -> DataFrame:
-    """One row per page: head, size, record count, key elements and deals."""
+    """One row per page: head, size, record count, key elements and deals.
+
+    The ``max_`` parameters keep only the first mentions or generic deals of a page.
+    """
     html = F.col("html")
     selector = ", ".join("." + c for c in classes)
     keys = F.concat(
-        F.slice(price_mentions(html), 1, 3),
-        date_mentions(html),
-        F.slice(place_mentions(html), 1, 2),
+        price_mentions(html, max_prices),
+        date_mentions(html, max_dates),
+        place_mentions(html, limit=max_places),
     )
-    return pages.select(
+    return with_rules(pages, rules).select(
         "url",
         page_title(html).alias("title"),
         page_meta(html).alias("meta_description"),
         page_kind(html, site, site_label).alias("kind"),
         F.length(html).cast("bigint").alias("content_length"),
         F.size(page_promos(html, selector)).cast("bigint").alias("n_promos"),
-        F.slice(keys, 1, P.CAP_KEYS).alias("key_elements"),
-        page_deals(F.col("url"), html, rules).alias("deals"),
+        keys.alias("key_elements"),
+        page_deals(html, F.col("rules"), max_deals).alias("deals"),
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import patterns as P
 from ..functions.text import escape_markup, let, relative_age
 
 MAX_ITEMS = 3
@@ -23,8 +24,8 @@ SECTIONS = (
 )
 MARKS = {"title": "", "perk": "", "price": "💰 ", "dates": "📅 "}
 ITEM_FIELDS = ("title", "perk", "price", "dates")
-SUMMARY_HEADER = "🧪 E2E Test Results"
-SUMMARY_FOOTER = "✅ E2E test completed successfully - URL fetch and Slack notification working"
+SUMMARY_HEADER, SUMMARY_FOOTER = "Page summary", "End of the summary"
+MAX_DESCRIPTION = 100
 
 
 def section_rank(change_type: Column) -> Column:
@@ -47,9 +48,14 @@ def _filled(col: Column) -> Column:
     return F.nullif(F.coalesce(col, F.lit("")), F.lit(""))
 
 
+def _safe(text: Column) -> Column:
+    """Escaped, and cut to what a message field may hold."""
+    return escape_markup(text, P.MESSAGE_TEXT_LIMIT)
+
+
 def _escaped(promo: Column) -> Column:
     """The four fields escaped, '' for missing ones, in item order."""
-    return F.transform(F.array(*[promo[f] for f in ITEM_FIELDS]), escape_markup)
+    return F.transform(F.array(*[promo[f] for f in ITEM_FIELDS]), _safe)
 
 
 def _lines(texts: Column, old: Column | None = None) -> Column:
@@ -151,70 +157,80 @@ def messages(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("url").agg(F.to_json(ordered).alias("message"))
 
 
-def deal_text(deal: Column) -> Column:
-    """Title, price and savings, place, dates and the first 100 characters of the text."""
+def deal_text(deal: Column, max_description: int | None = MAX_DESCRIPTION) -> Column:
+    """Title, price and savings, place, dates and the start of the text."""
     money = F.concat_ws(
         " • ",
         F.concat(F.lit("💰 "), _filled(deal["price"])),
         F.concat(F.lit("💸 "), _filled(deal["savings"])),
     )
     description = _filled(deal["description"])
-    short = F.when(
-        F.length(description) > 100, F.concat(F.substring(description, 1, 100), F.lit("..."))
-    ).otherwise(description)
+    short = description
+    if max_description is not None:
+        cut = F.concat(F.substring(description, 1, max_description), F.lit("..."))
+        short = F.when(F.length(description) > max_description, cut).otherwise(description)
     return F.concat_ws(
         "\n",
-        F.concat(F.lit("*"), escape_markup(deal["title"]), F.lit("*")),
+        F.concat(F.lit("*"), _safe(deal["title"]), F.lit("*")),
         F.nullif(money, F.lit("")),
         F.when(_filled(deal["location"]).isNotNull(),
-               F.concat(F.lit("📍 "), escape_markup(deal["location"]))),
+               F.concat(F.lit("📍 "), _safe(deal["location"]))),
         F.when(_filled(deal["dates"]).isNotNull(),
-               F.concat(F.lit("📅 "), escape_markup(deal["dates"]))),
+               F.concat(F.lit("📅 "), _safe(deal["dates"]))),
         F.when(description.isNotNull() & (description != deal["title"]),
-               F.concat(F.lit("_"), escape_markup(short), F.lit("_"))),
+               F.concat(F.lit("_"), _safe(short), F.lit("_"))),
     )
 
 
-def summary_digest(summaries: DataFrame, as_of: Column) -> DataFrame:
+def summary_digest(
+    summaries: DataFrame,
+    as_of: Column,
+    header: str = SUMMARY_HEADER,
+    footer: str | None = SUMMARY_FOOTER,
+    max_deals: int = MAX_DEALS,
+    max_description: int | None = MAX_DESCRIPTION,
+) -> DataFrame:
     """Block rows of page-summary messages, one message per page row.
 
     ``summaries``: the page summary columns with ``fetched_at`` (ISO text) and ``fetch_ms``.
+    A message shows ``max_deals`` deals and says how many more there are.
     """
     deals, keys = F.col("deals"), F.col("key_elements")
     n_deals = F.size(deals)
     meta = F.col("meta_description")
     about = F.concat(
-        F.lit("*Page Summary:*\n*Title:* "), escape_markup(F.col("title")),
+        F.lit("*Page Summary:*\n*Title:* "), _safe(F.col("title")),
         F.lit("\n*Type:* "), F.col("kind"),
         F.lit("\n*Content:* "), F.floor(F.col("content_length") / 1024 + 0.5).cast("string"),
         F.lit("KB\n*Promotions:* "), F.col("n_promos").cast("string"), F.lit(" found"),
     )
     fixed = [
-        _block(0, "header", SUMMARY_HEADER),
+        _block(0, "header", header),
         _block(1, "context", F.concat(
             F.lit("<"), F.col("url"), F.lit("|View Page> • "),
             relative_age(F.col("fetched_at"), as_of),
             F.lit(" • Fetch: "), F.col("fetch_ms").cast("string"), F.lit("ms"))),
         _block(2, "section", about),
         F.when(_filled(meta).isNotNull(), _block(
-            3, "section", F.concat(F.lit("*Description:* "), escape_markup(meta)))),
+            3, "section", F.concat(F.lit("*Description:* "), _safe(meta)))),
         F.when(n_deals > 0, _block(4, "divider", None)),
         F.when(n_deals > 0, _block(5, "section", F.concat(
             F.lit("*🎯 Deals Found ("), n_deals.cast("string"), F.lit("):*")))),
     ]
     shown = F.transform(
-        F.slice(deals, 1, MAX_DEALS),
-        lambda deal, i: _block(6 + i, "section", deal_text(deal)),
+        F.slice(deals, 1, max_deals),
+        lambda deal, i: _block(6 + i, "section", deal_text(deal, max_description)),
     )
-    key_lines = F.transform(keys, lambda k: F.concat(F.lit("• "), escape_markup(k)))
+    key_lines = F.transform(keys, lambda k: F.concat(F.lit("• "), _safe(k)))
     only_keys = (n_deals == 0) & (F.size(keys) > 0)
     tail = [
-        F.when(n_deals > MAX_DEALS, _block(10, "context", F.concat(
-            F.lit("_... and "), (n_deals - MAX_DEALS).cast("string"),
+        F.when(n_deals > max_deals, _block(6 + max_deals, "context", F.concat(
+            F.lit("_... and "), (n_deals - max_deals).cast("string"),
             F.lit(" more deals found on the page_")))),
-        F.when(only_keys, _block(11, "divider", None)),
-        F.when(only_keys, _block(12, "section", F.concat(
+        F.when(only_keys, _block(7 + max_deals, "divider", None)),
+        F.when(only_keys, _block(8 + max_deals, "section", F.concat(
             F.lit("*Key Elements Found:*\n"), F.array_join(key_lines, "\n")))),
-        _block(13, "context", SUMMARY_FOOTER),
     ]
+    if footer is not None:
+        tail.append(_block(9 + max_deals, "context", footer))
     return _explode_blocks(summaries, F.concat(F.array(*fixed), shown, F.array(*tail)))

@@ -21,34 +21,52 @@ from ..schemas import FIELDS
 from .common import compute_once
 
 
-def selector_classes(selector: Column) -> Column:
-    """Class selector (``.promo`` or a comma list) as a regular-expression alternation."""
-    names = F.transform(
-        F.split(F.replace(selector, F.lit("."), F.lit("")), ","),
-        lambda s: F.regexp_replace(trim_blanks(s), r"([^\w\s-])", r"\\$1"),
-    )
-    return F.array_join(names, "|")
+# One element: a tag name, and classes, ids and attribute names it must have.
+QUALIFIER = r"[.#][A-Za-z0-9_-]+|\[[A-Za-z0-9_:-]+\]"
+ELEMENT = r"(?:[A-Za-z][A-Za-z0-9-]*|\*)?(?:" + QUALIFIER + ")*"
 
 
-def _open_tag(classes: Column) -> Column:
-    return F.concat(
-        F.lit(P.java_regex(r'(?is)<[^>]*class="[^"]*\b(?:')),
-        classes,
-        F.lit(P.java_regex(r')\b[^"]*"[^>]*>')),
-    )
+def container_pattern(selector: Column) -> Column:
+    """Expression for the opening tags that a selector names, or null for a selector of a kind
+    that is not supported.
+
+    Supported: ``tag``, ``.class``, ``#id``, ``[attribute]``, any of them joined for one element
+    (``div.promo[data-x]``), and comma lists.
+    """
+    parts = F.transform(F.split(selector, ","), trim_blanks)
+    known = F.forall(parts, lambda p: (p != "") & p.rlike("^(?:" + ELEMENT + ")$"))
+
+    def ahead(q: Column) -> Column:
+        name = F.regexp_replace(q, r"[.#\[\]]", "")
+        return (
+            F.when(q.startswith("."), F.concat(
+                F.lit(r'(?=[^>]*class="[^"]*' + P.WORD_EDGE), name, F.lit(P.WORD_EDGE + r'[^"]*")')))
+            .when(q.startswith("#"), F.concat(
+                F.lit(r"""(?=[^>]*\sid=["']?"""), name, F.lit(r"""["'\s>])""")))
+            .otherwise(F.concat(F.lit(r"(?=[^>]*\s"), name, F.lit(r"[\s=/>])")))
+        )
+
+    def element(p: Column) -> Column:
+        tag = F.regexp_extract(p, "^[A-Za-z][A-Za-z0-9-]*", 0)
+        needs = F.transform(F.regexp_extract_all(p, F.lit(QUALIFIER), F.lit(0)), ahead)
+        name = F.when(tag == "", "[A-Za-z][A-Za-z0-9-]*").otherwise(tag)
+        return F.concat(F.lit("<"), name, F.lit(r"(?=[\s/>])"), F.array_join(needs, ""), F.lit("[^>]*>"))
+
+    pattern = F.concat(F.lit("(?is)(?:"), F.array_join(F.transform(parts, element), "|"), F.lit(")"))
+    return F.when(known, pattern)
 
 
 def container_blocks(html: Column, selector: Column | str, mode: str = "lazy") -> Column:
-    """Content of every container element, in page order.
+    """Content of every container element, in page order; null for an unsupported selector.
 
     ``lazy`` ends a container at its first closing tag, ``balanced`` at the next container (or
     the end of the page), ``last`` keeps only the last lazy container.
     """
-    classes = selector_classes(F.lit(selector) if isinstance(selector, str) else selector)
+    opening = container_pattern(F.lit(selector) if isinstance(selector, str) else selector)
     if mode == "balanced":
-        pieces = F.split(html, _open_tag(classes))
+        pieces = F.split(html, opening)
         return F.slice(pieces, F.lit(2), F.size(pieces))
-    pattern = F.concat(_open_tag(classes), F.lit(r"(.*?)</[^>]*>"))
+    pattern = F.concat(opening, F.lit(r"(.*?)</[^>]*>"))
     blocks = F.regexp_extract_all(html, pattern, F.lit(1))
     if mode == "last":
         return F.when(F.size(blocks) > 0, F.slice(blocks, -1, 1)).otherwise(blocks)
@@ -140,7 +158,7 @@ def block_promo(block: Column) -> Column:
 
 
 def page_promos(html: Column, selector: Column | str, mode: str = "lazy") -> Column:
-    """All records of a page as an array, in page order."""
+    """All records of a page as an array, in page order; null for an unsupported selector."""
     found = F.transform(container_blocks(html, selector, mode), block_promo)
     return F.filter(found, lambda p: p.isNotNull())
 

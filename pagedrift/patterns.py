@@ -245,7 +245,9 @@ PLACES = (
     "hawaii", "vegas", "caribbean", "mexico", "europe", "asia", "cancun", "cabo", "maui",
     "bahamas", "jamaica",
 )
-CAP_PRICES, CAP_DATES, CAP_PLACES, CAP_KEYS, CAP_DEALS = 5, 2, 5, 6, 8
+# What a page report shows at most: prices, dates, places, deals.
+REPORT_PRICES, REPORT_DATES, REPORT_PLACES, REPORT_DEALS = 5, 2, 5, 8
+SUMMARY_PRICES, SUMMARY_PLACES = 3, 2
 
 # --- fixed values: deals in free page text -------------------------------------
 HOTEL_WORDS = (

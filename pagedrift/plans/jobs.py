@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from .. import patterns as P
 from ..functions import policy, similarity, text
-from ..operators import chunks, deals, diff, digest, extract, history, quota, report, state, targets
+from ..operators import deals, diff, digest, extract, history, quota, report, state, targets
 from ..schemas import FIELDS, PROMO_DDL
-from ..session import configure, shared_folder, spread
+from ..session import configure, shared_folder
 from ..sources import tables
 from ..sources.derived import AS_OF, DOMAINS, derived
 from ..streaming import keyed, quotas, runs
-from .run import run_snapshots
+from .run import crawl_snapshots, run_results, run_snapshots
 
 Job = Callable[[SparkSession, str], DataFrame]
 JOBS: dict[str, Job] = {}
@@ -34,23 +34,16 @@ def job(fn: Job) -> Job:
     return run
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
-    rows = tables.read_table(spark, sf_dir, name)
-    return spread(rows, *keys) if keys else rows
-
-
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spread(
-        tables.read_table(spark, sf_dir, "documents").select("doc_id", *columns), "doc_id"
-    )
+    return tables.read_table(spark, sf_dir, "documents").select("doc_id", *columns)
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(tables.read_table(spark, sf_dir, "pages"), "page_id")
+    return tables.read_table(spark, sf_dir, "pages")
 
 
 def _offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, "offer_pages", use_all_cores=True)
+    return derived(spark, sf_dir, "offer_pages")
 
 
 def _promos(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -290,7 +283,7 @@ def history_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @job
 def promo_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derived(spark, sf_dir, "promos_curr", use_all_cores=True)
+    rows = derived(spark, sf_dir, "promos_curr")
     return rows.select(
         "id", "pos", text.promo_id(*[F.col(f) for f in FIELDS]).alias("content_id")
     )
@@ -331,7 +324,7 @@ def relative_age(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, "promo_pairs", use_all_cores=True)
+    return derived(spark, sf_dir, "promo_pairs")
 
 
 @job
@@ -362,14 +355,14 @@ def similar_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @job
 def similar_price(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, "order_pairs", use_all_cores=True).select(
+    return derived(spark, sf_dir, "order_pairs").select(
         "id", similarity.similar_price(F.col("a_price"), F.col("b_price")).alias("similar")
     )
 
 
 @job
 def similar_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, "order_pairs", use_all_cores=True).select(
+    return derived(spark, sf_dir, "order_pairs").select(
         "id", similarity.similar_dates(F.col("a_dates"), F.col("b_dates")).alias("similar")
     )
 
@@ -496,15 +489,34 @@ for _name, _job in {
     "savings_deals": _from_text(deals.savings_deals),
     "credit_deals": _from_text(deals.credit_deals),
     "generic_deals": _deal_job(deals.generic_deals),
-    "rule_deals": _deal_job(lambda html: deals.page_deals(F.col("url"), html)),
 }.items():
     _job.__name__ = _name
     job(_job)
 
 
-def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+RULE = "url_contains string, pattern string, title string, price string, savings string, location string, ord bigint"
+
+
+def _site_rules(spark: SparkSession) -> DataFrame:
+    rows = [
+        (r["url_contains"], P.collapsed_regex(r["pattern"]), r["title"], r["price"], r["savings"],
+         r["location"], n - len(P.SITE_RULES))
+        for n, r in enumerate(P.SITE_RULES)
+    ]
+    return spark.createDataFrame(rows, RULE)
+
+
+@job
+def rule_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred rules from a table beside the fixed ones."""
+    rules = _site_rules(spark).unionByName(derived(spark, sf_dir, "site_rules"))
+    pages = deals.with_rules(_offers(spark, sf_dir), rules)
+    return _texts(deals.explode_deals(pages, "page_id", deals.page_deals(F.col("html"), F.col("rules"))))
+
+
+def _summaries(spark: SparkSession, sf_dir: str, **limits: int) -> DataFrame:
     pages = _pages(spark, sf_dir).unionByName(_offers(spark, sf_dir))
-    return deals.page_summary(pages, SITE, SITE_LABEL)
+    return deals.page_summary(pages, SITE, SITE_LABEL, _site_rules(spark), **limits)
 
 
 @job
@@ -743,19 +755,17 @@ def digest_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @job
 def page_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a report shows of each page: the first mentions and deals of every kind."""
     html = F.col("html")
-    summary = F.struct(
-        deals.price_mentions(html).alias("prices"),
-        deals.date_mentions(html).alias("dates"),
-        deals.place_mentions(html).alias("places"),
-        deals.page_deals(F.col("url"), html).alias("deals"),
-    )
-    rows = _offers(spark, sf_dir).select("page_id", F.inline(F.array(summary)))
-    return rows.select(
-        "page_id",
-        *[F.size(c).cast("bigint").alias(f"n_{c}") for c in ("prices", "dates", "places", "deals")],
-        F.size(F.slice("deals", 1, digest.MAX_DEALS)).cast("bigint").alias("n_shown"),
-    )
+    shown = {
+        "price": deals.price_mentions(html, P.REPORT_PRICES),
+        "date": deals.date_mentions(html, P.REPORT_DATES),
+        "place": deals.place_mentions(html, limit=P.REPORT_PLACES),
+        "deal": F.transform(deals.generic_deals(html, P.REPORT_DEALS), lambda d: d["title"]),
+    }
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("texts")) for k, v in shown.items()])
+    rows = _offers(spark, sf_dir).select("page_id", F.inline(kinds))
+    return _texts(rows.select("page_id", "kind", F.posexplode("texts").alias("pos", "text")))
 
 
 # --- digests ---------------------------------------------------------------------
@@ -779,7 +789,9 @@ def change_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @job
 def summary_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fetched = _summaries(spark, sf_dir).withColumns(
+    limits = {"max_prices": P.SUMMARY_PRICES, "max_dates": P.REPORT_DATES,
+              "max_places": P.SUMMARY_PLACES, "max_deals": P.REPORT_DEALS}
+    fetched = _summaries(spark, sf_dir, **limits).withColumns(
         {"fetched_at": F.lit("2024-01-02T15:04:00"), "fetch_ms": F.lit(120)}
     )
     blocks = digest.summary_digest(fetched, F.lit(AS_OF).cast("timestamp"))
@@ -796,10 +808,9 @@ def window_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @job
 def map_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def words(chunk):
-        return chunk[["doc_id"]].assign(n_words=chunk["text"].str.count(r"[^ ]+"))
-
-    return chunks.map_chunks(_documents(spark, sf_dir, "text"), words, "doc_id long, n_words long")
+    """Words of every document; rows are worked on where they are."""
+    n = F.regexp_count("text", F.lit("[^ ]+"))
+    return _documents(spark, sf_dir, "text").select("doc_id", n.cast("bigint").alias("n_words"))
 
 
 # --- runs and streams ------------------------------------------------------------
@@ -811,6 +822,20 @@ def snapshot_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).results
 
 
+@job
+def crawl_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two crawls of the watched pages: the second against the state of the first."""
+    pages = derived(spark, sf_dir, "crawl_pages").withColumn("ts", F.col("ts").cast("timestamp"))
+    watched = derived(spark, sf_dir, "crawl_targets")
+    early = F.col("fetch_id") % 2 == 0
+    first, _ = crawl_snapshots(pages.where(early), watched, DOMAINS)
+    later, failed = crawl_snapshots(pages.where(~early), watched, DOMAINS)
+    # The fetches of the second crawl are newer, whatever the order dates say.
+    later = later.withColumn("ts", F.col("ts") + F.expr("interval 20 years"))
+    run = run_snapshots(state.states_from_snapshots(later), state.states_from_snapshots(first))
+    return run_results(run, failed).select("url", "success", "has_changes", "summary", "name", "error")
+
+
 def _drop(spark: SparkSession, sf_dir: str, side: str, source: str) -> None:
     rows = derived(spark, sf_dir, f"snapshots_{side}").select("url", "ts", "promos")
     rows.write.mode("append").parquet(source)

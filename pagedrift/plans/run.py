@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.diff import classify, count_changes, mark_material, material_changes
-from ..operators.extract import page_promos
+from ..operators.extract import container_pattern, page_promos
 from ..operators.state import newest_pages, state_valid, with_previous_state
 from ..operators.targets import pages_with_targets
 from ..sources.tables import check_crawl
@@ -34,10 +34,17 @@ def crawl_snapshots(
 ) -> tuple[DataFrame, DataFrame]:
     """Newest fetch of every enabled target as a snapshot row, and the failed fetches.
 
-    A failed page keeps its stored state: it appears in the failures only.
+    A page that failed, or whose selector is of a kind that is not supported, keeps its stored
+    state: it appears in the failures only.  ``crawl`` has the columns of ``schemas.CRAWL``.
     """
     newest = newest_pages(crawl, "url", ["ts", "fetch_id"])
-    checked = check_crawl(pages_with_targets(newest, targets), allowed_domains)
+    checked = check_crawl(pages_with_targets(newest, targets), allowed_domains).withColumn(
+        "error",
+        F.when(F.col("error").isNotNull(), F.col("error")).when(
+            container_pattern(F.col("selector")).isNull(),
+            F.concat(F.lit("Selector not supported: "), F.coalesce("selector", F.lit(""))),
+        ),
+    )
     promos = page_promos(F.col("html"), F.col("selector"), mode)
     snapshots = checked.where(F.col("error").isNull()).select("url", "ts", promos.alias("promos"))
     failed = checked.where(F.col("error").isNotNull()).select("url", "name", "error")

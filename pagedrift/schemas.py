@@ -21,6 +21,7 @@ TARGET = T.StructType(
 
 CRAWL = T.StructType(
     [
+        T.StructField("fetch_id", T.LongType()),
         T.StructField("url", T.StringType()),
         T.StructField("ts", T.TimestampType()),
         T.StructField("status", T.IntegerType()),

@@ -10,8 +10,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import spread
-
 HOST = "https://travel.example.com"
 DOMAINS = ("example.com", "example.net")
 AS_OF = "2024-01-31 00:00:00"
@@ -168,6 +166,27 @@ select o_orderkey as fetch_id, concat('https://shop.example.com/c/', cast(o_cust
        when '3-MEDIUM' then 'text/html' else 'text/html; charset=utf-8' end as content_type
 from {orders}"""
 
+# The fetched pages, with the containers that the selectors of the watched pages name.
+CRAWL_PAGES = f"""
+select fetch_id, url, ts, cast(case when status = 204 then 200 else status end as int) as status, status_text,
+  case when content_type = 'application/pdf' then content_type else 'text/html' end as content_type,
+  concat('<html><body><div id="deals" class="box promo"><h2>Deal ', cast(n as string),
+    '</h2><span class="price">$', cast(100 + n * 7 as string), '</span></div><section data-x="1" class="card">',
+    '<h3 class="title">Extra ', cast(n % 5 as string), '</h3><span class="perk">Free breakfast for ',
+    cast(2 + n % 3 as string), '</span></section>',
+    case when n % 2 = 0 then concat('<div class="deal-card">Late offer number ', cast(n as string),
+      ' with a free tour</div>') else '' end, '</body></html>') as html
+from (select *, cast(fetch_id % 13 as bigint) as n from ({CRAWL}) c) p"""
+
+# Watched pages, with selectors of every kind; the last two kinds are not supported.
+CRAWL_TARGETS = """
+select concat('https://shop.example.com/c/', cast(c_custkey as string)) as url,
+  case c_nationkey % 11 when 0 then '.promo' when 1 then 'div.promo' when 2 then '#deals' when 3 then 'section'
+    when 4 then '[data-x]' when 5 then '.promo, .deal-card' when 6 then 'section.card[data-x]'
+    when 7 then 'div#deals' when 8 then '.nothing' when 9 then 'div > h2' else '.promo h2' end as selector,
+  c_name as name, cast(null as string) as notes, c_acctbal > -500 as enabled
+from {customer}"""
+
 # One run result per order.
 RESULTS = """
 select o_orderkey as result_id, case when o_orderpriority = '5-LOW' then '' when o_orderpriority = '2-HIGH'
@@ -219,7 +238,17 @@ select concat('{HOST}/p/', cast(k as string)) as url,
 from ({_PART}) a where s <> {gone}"""
 
 
+# A hundred site rules: four for each nation, of pages whose number starts alike.
+SITE_RULES = """
+select concat('/offer/', cast(n_nationkey + 10 as string)) as url_contains,
+  case i when 0 then '[$][0-9.,]+ per night' when 1 then 'save [0-9]+% on tours'
+         when 2 then 'trip across the [a-z ]+ coast' else 'no such words' end as pattern,
+  concat(n_name, ' offer ', cast(i as string)) as title, case when i = 0 then '$1' end as price,
+  case when i = 1 then '5%' end as savings, n_name as location, cast(n_nationkey * 4 + i as bigint) as ord
+from {nation}, (select 0 as i union all select 1 union all select 2 union all select 3) k"""
+
 STATEMENTS = {
+    "site_rules": SITE_RULES,
     "promos_prev": PROMOS_PREV,
     "promos_curr": PROMOS_CURR,
     "promo_pairs": PROMO_PAIRS,
@@ -227,6 +256,8 @@ STATEMENTS = {
     "offer_pages": OFFER_PAGES,
     "targets": TARGETS,
     "crawl": CRAWL,
+    "crawl_pages": CRAWL_PAGES,
+    "crawl_targets": CRAWL_TARGETS,
     "results": RESULTS,
     "history": HISTORY,
 }
@@ -255,12 +286,11 @@ def duckdb_sql(name: str) -> str:
     return "(" + _fill(text, {"sha": "sha256"} | {t: t for t in _tables(text)}) + ")"
 
 
-def derived(spark: SparkSession, folder: str, name: str, use_all_cores: bool = False) -> DataFrame:
+def derived(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The derived table as a DataFrame over the given tables."""
     text = _statement(name, "spark")
     names = {"sha": "sha2_256"}
     for table in _tables(text):
         names[table] = f"parquet.`{folder}/{table}.parquet`"
     text = _fill(text, names).replace("sha2_256(props)", "sha2(props, 256)")
-    rows = spark.sql(text)
-    return spread(rows) if use_all_cores else rows
+    return spark.sql(text)

@@ -100,7 +100,8 @@ def test_price_mentions(values):
 def test_place_mentions_share_one_cap(values):
     html = "".join(f"A long enough sentence number {i} on Maui beaches. " for i in range(4))
     html += "".join(f"Some more words in front of Hawaii trip {i}. " for i in range(3))
-    found = column(values, deals.place_mentions, html)
+    assert len(column(values, deals.place_mentions, html)) == 7
+    found = column(values, lambda c: deals.place_mentions(c, limit=5), html)
     assert len(found) == 5
     assert [("Hawaii" in f, "Maui" in f) for f in found] == [(True, False)] * 3 + [(False, True)] * 2
 
@@ -121,18 +122,45 @@ def test_deals(values):
     assert found[-1]["title"].startswith("included extras")
 
 
-def test_deal_cap_and_rules(spark, values):
+def test_deal_limit_and_rules(spark, values):
     html = "".join(f"<p>Guests save now and again they save {i}% here.</p>" for i in range(30))
-    assert len(column(values, deals.generic_deals, html)) == 8
-    rules = [
-        {"url_contains": "CODE", "pattern": r"(?i)gift\s+card", "title": "Gift", "price": "$5",
-         "savings": None, "location": "Here"},
-    ]
+    assert len(column(values, deals.generic_deals, html)) == 30
+    assert len(column(values, lambda c: deals.generic_deals(c, 8), html)) == 8
+    rules = spark.createDataFrame(
+        [("CODE", "(?i)gift card", "Gift", "$5", None, "Here", 1), ("x/CO", "gift", "Never", None, None, None, 2),
+         ("CODE", "no such", "None", None, None, None, 3)],
+        "url_contains string, pattern string, title string, price string, savings string, location string, ord bigint")
     pages = spark.createDataFrame([("x/CODE", "<p>A gift  card</p>"), ("x", html)], "url string, html string")
-    rows = pages.select("url", deals.page_deals(F.col("url"), F.col("html"), rules).alias("d")).collect()
-    got = {r["url"]: r["d"] for r in rows}
+
+    def found(table):
+        rows = deals.with_rules(pages, table)
+        got = rows.select("url", deals.page_deals(F.col("html"), F.col("rules")).alias("d")).collect()
+        return {r["url"]: r["d"] for r in got}
+
+    got = found(rules)
     assert [(d["title"], d["description"]) for d in got["x/CODE"]] == [("Gift", "gift card")]
-    assert len(got["x"]) == 8
+    assert len(got["x"]) == 30 and len(found(rules.limit(0))["x"]) == 30
+
+
+def test_selectors(spark):
+    html = (
+        '<div id="deals" class="box promo"><h2>One</h2></div><section data-x="1"><h2>Two</h2></section>'
+        '<DIV class="deal-card">Three</DIV><article ID=big>Four</article><divider>Five</divider>'
+    )
+    cases = {
+        ".promo": ["<h2>One"], "div": ["<h2>One", "Three"], "#deals": ["<h2>One"], "div.promo": ["<h2>One"],
+        "section": ["<h2>Two"], "[data-x]": ["<h2>Two"], "section[data-x]": ["<h2>Two"], "div[data-x]": [],
+        ".promo, .deal-card": ["<h2>One", "Three"], "#big": ["Four"], "div#deals.box": ["<h2>One"], ".none": [],
+        "div > h2": None, "body .promo": None, "a:hover": None, "[a=b]": None, "": None, ".a,": None, "*.promo": ["<h2>One"],
+    }
+    frame = spark.createDataFrame([(s, html) for s in cases], "s string, html string")
+    rows = frame.select("s", extract.container_blocks(F.col("html"), F.col("s")).alias("b")).collect()
+    assert {r["s"]: r["b"] for r in rows} == cases
+
+
+def test_a_changed_word_list_is_noticed():
+    with pytest.raises(ValueError):
+        deals._search(F.lit("x"), "(?:a|b)", ["x"], starts={"(?:c|d)": "[cd]"})
 
 
 def test_faster_searches_find_the_same(spark):
@@ -151,9 +179,10 @@ def test_faster_searches_find_the_same(spark):
     cents = deals.SENTENCE_WITH_CENTS
     pairs = {
         "hotel": (P.HOTEL_DEAL, deals._search(
-            t, P.HOTEL_DEAL, [deals.A_PRICE, "(?i)" + P.HOTEL_WORDS], cents, hotel, deals.HOTEL_STARTS)),
+            t, P.HOTEL_DEAL, [deals.A_PRICE, "(?i)" + P.HOTEL_WORDS], cents, hotel, {"(?:" + P.HOTEL_WORDS: deals._starts(P.HOTEL_WORDS.split("|"))})),
         "place": (P.PLACE_DEAL, deals._search(
-            t, P.PLACE_DEAL, [deals.A_PRICE, "(?i)" + P.HOTEL_PLACES], cents, hotel)),
+            t, P.PLACE_DEAL, [deals.A_PRICE, "(?i)" + P.HOTEL_PLACES], cents, hotel,
+            {"(?:" + P.HOTEL_PLACES: deals._starts(P.HOTEL_PLACES.split("|"))})),
         "package": (P.PACKAGE_DEAL, deals._search(
             t, P.PACKAGE_DEAL, [r"(?i)from\s+\$"], deals.SENTENCE, far, deals.PACKAGE_STARTS)),
         "savings": (P.SAVINGS_DEAL, deals._search(t, P.SAVINGS_DEAL, [r"(?i)\ssave\s"])),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagedrift.functions import policy, text
-from pagedrift.operators import chunks, digest, history, quota, report, state, targets
+from pagedrift.operators import digest, history, quota, report, state, targets
 from pagedrift.plans.jobs import keep_existing
 from pagedrift.plans.run import crawl_snapshots, run_results, run_snapshots
 from pagedrift.schemas import FIELDS, HISTORY, SNAPSHOT, STATE, TARGET
@@ -245,18 +245,22 @@ def test_summary_digest_without_deals_lists_key_elements(spark):
     assert v[10] == "_... and 2 more deals found on the page_" and len(v) == 12
 
 
-def test_crawl_to_results(spark):
-    """Three runs over crawled pages: first sight, a price change, a failed fetch."""
+def test_crawl_to_results(spark, tmp_path):
+    """Runs over stored crawls: first sight, no change, a price change, a failed fetch, a selector
+    that is not supported."""
     page = '<div class="promo">Maui hotel package for two from {} per night</div>'
     wanted = target_rows(spark, [GOOD, ("https://example.com/off", ".promo", None, None, False)])
     schema = ("fetch_id long, url string, ts timestamp, status int, status_text string, "
               "content_type string, html string")
 
     def crawl(*rows):
-        return spark.createDataFrame(
+        path = str(tmp_path / f"crawl-{rows[0][0]}")
+        frame = spark.createDataFrame(
             [(i, GOOD[0], ts(10 + i), status, "Oops", "text/html", page.format(price))
              for i, status, price in rows] + [(99, "https://example.com/off", ts(1), 200, "OK", "text/html", "x")],
             schema)
+        frame.write.parquet(path)
+        return tables.read_crawl(spark, path)
 
     stored = tables.empty_state(spark)
     summaries, sizes = [], []
@@ -275,6 +279,10 @@ def test_crawl_to_results(spark):
     ]
     assert sizes == [0, 0, 1, 0]
     assert stored.count() == 1  # the failed fetch left the state alone
+    odd = target_rows(spark, [(GOOD[0], "div > .promo", "Deals", None, True)])
+    snapshots, failed = crawl_snapshots(crawl((6, 200, "$1")), odd, DOMAINS)
+    assert snapshots.count() == 0
+    assert failed.first()["error"] == "Selector not supported: div > .promo"
 
 
 def test_old_snapshots_are_ignored_and_short_pages_can_be(spark):
@@ -291,10 +299,5 @@ def test_old_snapshots_are_ignored_and_short_pages_can_be(spark):
 def test_small_helpers(spark):
     frame = spark.createDataFrame([(1, "x", 2.0)], "a int, b string, c double")
     assert keep_existing(frame, ["c", "zz", "a"]).columns == ["c", "a"]
-    sizes = chunks.map_chunks(
-        spark.range(230).repartition(2),
-        lambda part: part.assign(id=len(part)).head(1), "id long", chunk_size=50)
-    got = [r["id"] for r in sizes.collect()]
-    assert sum(got) == 230 and max(got) <= 50
     assert frame.select(text.promos_hash(F.lit(None).cast("array<struct<id:string>>"))).first()[0] == (
         "4f53cda18c2baa0c")  # hash of []
