@@ -675,11 +675,14 @@ def crawl_states(odd: int) -> str:
 SQL["crawl_run"] = f"""select url, true as success, has_changes, summary, null as name, null as error
 from {run_rows(crawl_states(1), crawl_states(0))}
 union all select url, false, null, null, name, error from {fetched(1)} where error is not null"""
-SQL["stream_run"] = SQL["snapshot_run"]
+SQL["stream_run"] = f"""select 0 as run_id, url, true as first_run, false as has_changes, 0 as n_added, 0 as n_changed,
+ 0 as n_removed, 'Initial state captured' as summary from {states('prev')} where {STATE_OK}
+union all select 1, url, first_run, has_changes, n_added, n_changed, n_removed, summary
+from ({SQL['snapshot_run']})"""
 SQL["stream_changes"] = f"""select url, id, pos, change_type, {SIDES} from {snapshot_rows(STATE_OK)}
 where change_type <> 'same' and material"""
 SQL["stream_quota"] = """select user_id, bucket, event_id, ts,
  row_number() over (partition by user_id, bucket order by ts, event_id) <= 2 as allowed
 from (select *, cast(floor(epoch_ms(ts) / 3600000) as bigint) as bucket from events)"""
 SQL["quota_expiry"] = """select user_id, time_bucket(interval 1 hour, ts) as window_start, count(*) as n_requests
-from events group by 1, 2 having time_bucket(interval 1 hour, ts) + interval 1 hour <= (select max(ts) from events)"""
+from events group by 1, 2"""

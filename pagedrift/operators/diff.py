@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import material_change, material_promo, promo_equal
@@ -65,6 +65,37 @@ def classify(current: DataFrame, previous: DataFrame, keys: Sequence[str]) -> Da
     )
 
 
+def classify_pages(pages: DataFrame, current: Column, previous: Column, by: str = "url") -> DataFrame:
+    """:func:`classify` for pages that have both record arrays in one row, keyed by page and id.
+
+    The records of a page leave their row once, marked old or new, and meet in a window over the
+    page and the id.  A window holds records of one page, so it is never larger than a row was.
+    """
+    def side(records: Column, old: bool) -> Column:
+        return F.transform(records, lambda p, i: F.struct(
+            F.lit(old).alias("old"), p["id"].alias("id"), i.cast("bigint").alias("pos"),
+            F.struct(*[p[f].alias(f) for f in FIELDS]).alias("record"),
+        ))
+
+    rows = pages.select(by, F.inline(F.concat(side(current, False), side(previous, True))))
+    same_key = Window.partitionBy(by, "id")
+    last = F.max(F.when(F.col("old"), F.struct("pos", "record"))).over(same_key)["record"]
+    n_now = F.count(F.when(~F.col("old"), 1)).over(same_key)
+    met = rows.select("*", last.alias("last"), n_now.alias("n_now")).where(~F.col("old") | (F.col("n_now") == 0))
+    pairs = met.select(
+        by, "id", "pos", "old",
+        F.when(F.col("old"), F.col("record")).otherwise(F.col("last")).alias("previous"),
+        F.when(~F.col("old"), F.col("record")).alias("current"),
+    )
+    kind = (
+        F.when(F.col("old"), "removed")
+        .when(F.col("previous").isNull(), "added")
+        .when(promo_equal(F.col("previous"), F.col("current")), "same")
+        .otherwise("changed")
+    )
+    return compute_once(pairs, "change_type", kind).select(by, "id", "pos", "change_type", "previous", "current")
+
+
 def detect_changes(current: DataFrame, previous: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The change table: :func:`classify` without the unchanged records."""
     return classify(current, previous, keys).where(F.col("change_type") != "same")

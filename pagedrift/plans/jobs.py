@@ -152,8 +152,11 @@ def history_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @job
 def history_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _history(spark, sf_dir).where(F.col("url_key") == "user-8")
-    return rows.select("url_key", "ts", "seq", "hash")
+    """One page of a stored history: one bucket is read, and of it the page."""
+    path, rows = shared_folder(spark, "history"), _history(spark, sf_dir)
+    tables.write_keyed(rows, path, 0)
+    found = tables.scan_keyed(spark, path, rows.schema, 1, "user-8")
+    return found.select("url_key", "ts", "seq", "hash")
 
 
 @job
@@ -771,15 +774,17 @@ def page_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- digests ---------------------------------------------------------------------
 
 def _change_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classified = diff.mark_material(_classified(spark, sf_dir))
-    sources = diff.count_changes(classified, ["url"], material=True).select(
+    # The changes feed the counts and the items: they are found once and stored.
+    path = shared_folder(spark, "changes")
+    diff.material_changes(_classified(spark, sf_dir)).write.parquet(path)
+    changes = spark.read.parquet(path)
+    counts = diff.count_changes(changes.withColumn("material", F.lit(True)), ["url"], material=True)
+    sources = counts.select(
         "*",
         F.when(F.col("n_changed") > 3, F.col("url")).alias("name"),
         F.lit("2024-01-28T09:30:00").alias("detected_at"),
     )
-    return digest.change_digest(
-        sources, diff.material_changes(classified), F.lit(AS_OF).cast("timestamp")
-    )
+    return digest.change_digest(sources, changes, F.lit(AS_OF).cast("timestamp"))
 
 
 @job
@@ -848,7 +853,7 @@ def stream_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for side in ("prev", "curr"):
         _drop(spark, sf_dir, side, source)
         runs.start_runs(runs.read_snapshots(spark, source), out).awaitTermination()
-    return spark.read.parquet(f"{out}/results").where("run_id = 1").drop("run_id")
+    return spark.read.parquet(f"{out}/results").withColumn("run_id", F.col("run_id").cast("bigint"))
 
 
 @job
@@ -897,13 +902,6 @@ def quota_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, out = shared_folder(spark, "requests"), shared_folder(spark, "counters")
     requests, drops = _event_stream(spark, sf_dir, source)
     drops[1].write.mode("append").parquet(source)
-    (
-        quotas.expiring_counts(requests, "user_id", "ts", "1 hour")
-        .writeStream.format("parquet")
-        .option("checkpointLocation", f"{out}/checkpoint")
-        .trigger(availableNow=True)
-        .start(f"{out}/counts")
-        .awaitTermination()
-    )
-    rows = spark.read.parquet(f"{out}/counts")
+    quotas.start_counts(requests, out, "user_id", "ts", "1 hour").awaitTermination()
+    rows = quotas.read_counts(spark, out, "user_id")
     return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

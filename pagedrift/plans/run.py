@@ -8,15 +8,12 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.diff import classify, count_changes, mark_material, material_changes
+from ..operators.diff import classify_pages, count_changes, mark_material, material_changes
 from ..operators.extract import container_pattern, page_promos
 from ..operators.state import newest_pages, state_valid, with_previous_state
 from ..operators.targets import pages_with_targets
 from ..sources.tables import check_crawl
 
-KEYS = ("url", "id")
-
-
 class Run(NamedTuple):
     """Lazy outputs of a run."""
 
@@ -51,37 +48,27 @@ def crawl_snapshots(
     return snapshots, failed
 
 
-def explode_promos(rows: DataFrame, promos: str) -> DataFrame:
-    """One row per record of a record array: url, ``pos`` and the record."""
-    out = rows.select("url", F.posexplode(promos).alias("pos", "promo"))
-    return out.select("url", F.col("pos").cast("bigint").alias("pos"), "promo.*")
-
-
-def run_snapshots(current: DataFrame, stored: DataFrame, min_records: int = 0) -> Run:
-    """``current``: one state row per url.  ``stored``: the state table.
-
-    A url without a valid stored state is a first run and reports nothing.  A snapshot older
-    than the stored one is ignored.  Equal hashes skip the diff, so only pages that differ are
-    exploded and joined record by record.  ``min_records`` (off by default) leaves pages with
-    fewer records out of the diff, for sites that sometimes answer with an empty page.
-    """
+def fresh_pages(current: DataFrame, stored: DataFrame) -> DataFrame:
+    """Valid current rows that are not older than the stored state, which is ``previous``."""
     found = with_previous_state(current.where(state_valid()), stored)
-    fresh = found.where(
+    return found.where(
         F.col("previous").isNull() | (F.col("last_seen") >= F.col("previous.last_seen"))
     )
+
+
+def marked_changes(fresh: DataFrame, min_records: int = 0) -> DataFrame:
+    """Record changes of the pages that differ, with ``material``."""
     touched = fresh.where(
         (F.col("previous.hash") != F.col("hash")) & (F.size("promos") >= min_records)
     )
-    classified = mark_material(
-        classify(
-            explode_promos(touched, "promos"),
-            explode_promos(touched.select("url", F.col("previous.promos").alias("old")), "old"),
-            KEYS,
-        )
-    )
-    counts = count_changes(classified, ["url"], material=True)
+    return mark_material(classify_pages(touched, F.col("promos"), F.col("previous.promos")))
+
+
+def page_results(fresh: DataFrame, marked: DataFrame) -> DataFrame:
+    """One row for each fresh page, with its material changes and the sentence for them."""
+    counts = count_changes(marked, ["url"], material=True)
     results = fresh.select("url", F.col("previous").isNull().alias("first_run"), "hash", "last_seen")
-    results = results.join(counts, "url", "left").select(
+    return results.join(counts, "url", "left").select(
         "url",
         "first_run",
         F.coalesce("has_changes", F.lit(False)).alias("has_changes"),
@@ -90,12 +77,29 @@ def run_snapshots(current: DataFrame, stored: DataFrame, min_records: int = 0) -
         .otherwise(F.coalesce("summary", F.lit("No material changes detected")))
         .alias("summary"),
     )
+
+
+def run_snapshots(current: DataFrame, stored: DataFrame, min_records: int = 0) -> Run:
+    """``current``: one state row per url.  ``stored``: the state table.
+
+    A url without a valid stored state is a first run and reports nothing.  A snapshot older
+    than the stored one is ignored.  Equal hashes skip the diff, so only the records of pages
+    that differ leave their row.  ``min_records`` (off by default) leaves pages with fewer records
+    out of the diff, for sites that sometimes answer with an empty page.
+    """
+    fresh = fresh_pages(current, stored)
+    marked = marked_changes(fresh, min_records)
+    results = page_results(fresh, marked)
     state = fresh.select(*current.columns)
+    return Run(results, material_changes(marked), state, history_rows(state, results))
+
+
+def history_rows(state: DataFrame, results: DataFrame) -> DataFrame:
+    """A history row for each page with material changes."""
     changed = results.where("has_changes").select("url")
-    history = state.join(changed, "url", "left_semi").select(
+    return state.join(changed, "url", "left_semi").select(
         "url_key", F.col("last_seen").alias("ts"), "hash", "promos"
     )
-    return Run(results, material_changes(classified), state, history)
 
 
 def run_results(run: Run, failed: DataFrame) -> DataFrame:

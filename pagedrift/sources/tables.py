@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.policy import url_allowed
 from ..operators.targets import accepted_targets, rejected_targets
-from ..schemas import CRAWL, HISTORY, STATE, TARGET
+from ..schemas import CRAWL, STATE, TARGET
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -95,30 +96,69 @@ def write_run(rows: DataFrame, path: str, run_id: int, fmt: str = "parquet") ->
     rows.write.mode("overwrite").format(fmt).save(f"{path}/run_id={run_id}")
 
 
-def _read_runs(
-    spark: SparkSession, path: str, schema, before_run: int | None
-) -> DataFrame:
-    rows = (
-        spark.read.schema(schema.add("run_id", "long")).option("basePath", path).parquet(path)
-    )
-    return rows if before_run is None else rows.where(F.col("run_id") < before_run)
+# --- keyed tables ------------------------------------------------------------------
+# Of a key, the rows of its newest run count.  A run writes the keys it touched, dealt into buckets of
+# the key's hash.  Every so many runs (an epoch) the first one also takes over all other keys, so a run
+# reads one epoch, of it the buckets it touches, and of them its own keys.
 
+BUCKETS, EVERY = 64, 20
 
-def read_state(spark: SparkSession, path: str, before_run: int | None = None) -> DataFrame:
-    """The newest state row of every url among the runs' outputs (partition-pruned by run)."""
-    from ..operators.state import newest_pages
 
-    rows = _read_runs(spark, path, _copy(STATE), before_run)
-    return newest_pages(rows, "url_key", ["run_id"]).drop("run_id")
+def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def compact_state(spark: SparkSession, path: str, target_path: str, run_id: int) -> None:
-    """Fold the runs up to ``run_id`` into one, in a new place."""
-    write_run(read_state(spark, path, run_id + 1), target_path, run_id)
+def read_keyed(
+    spark: SparkSession, path: str, schema, run_id: int, keys: DataFrame | None = None,
+    key: str = "url_key", buckets: int = BUCKETS, every: int = EVERY,
+) -> DataFrame:
+    """The rows as they are before ``run_id``; of ``keys`` (a column ``key``) only, if given."""
+    if run_id <= 0:
+        return spark.createDataFrame([], schema)
+    folder = f"{path}/epoch={(run_id - 1) // every}"
+    stored = _copy(schema).add("run_id", T.LongType()).add("bucket", T.IntegerType())
+    rows = spark.read.schema(stored).option("basePath", folder).parquet(folder)
+    rows = rows.where(F.col("run_id") < run_id)
+    if keys is not None:
+        wanted = keys.select(key).distinct()
+        touched = wanted.select(bucket_of(F.col(key), buckets)).distinct().collect()  # at most buckets
+        rows = rows.where(F.col("bucket").isin([r[0] for r in touched])).join(wanted, key, "left_semi")
+    newest = rows.groupBy(key).agg(F.max("run_id").alias("run_id"))
+    return rows.join(newest, [key, "run_id"], "left_semi").drop("run_id", "bucket")
+
+
+def scan_keyed(
+    spark: SparkSession, path: str, schema, run_id: int, value: str,
+    key: str = "url_key", buckets: int = BUCKETS, every: int = EVERY,
+) -> DataFrame:
+    """The rows of one key before ``run_id``: one bucket is read, with the key as a pushed filter."""
+    folder = f"{path}/epoch={(run_id - 1) // every}"
+    stored = _copy(schema).add("run_id", T.LongType()).add("bucket", T.IntegerType())
+    rows = spark.read.schema(stored).option("basePath", folder).parquet(folder).where(
+        (F.col("bucket") == bucket_of(F.lit(value), buckets)) & (F.col(key) == value)
+        & (F.col("run_id") < run_id)
+    )
+    newest = rows.agg(F.max("run_id").alias("top")).scalar()
+    return rows.where(F.col("run_id") == newest).drop("run_id", "bucket")
 
 
-def read_history(spark: SparkSession, path: str, before_run: int | None = None) -> DataFrame:
-    return _read_runs(spark, path, _copy(HISTORY), before_run)
+def write_keyed(
+    rows: DataFrame, path: str, run_id: int, key: str = "url_key",
+    buckets: int = BUCKETS, every: int = EVERY, keep: Column | None = None,
+) -> None:
+    """Store the rows of the keys of this run; a key's earlier rows no longer count.
+
+    ``keep``: which rows of other keys a new epoch takes over (default: all).
+    """
+    spark = rows.sparkSession
+    if run_id > 0 and run_id % every == 0:
+        old = read_keyed(spark, path, rows.schema, run_id, None, key, buckets, every)
+        old = old if keep is None else old.where(keep)
+        rows = rows.unionByName(old.join(rows.select(key).distinct(), key, "left_anti"))
+    dealt = rows.withColumn("bucket", bucket_of(F.col(key), buckets)).repartition("bucket")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(
+        f"{path}/epoch={run_id // every}/run_id={run_id}"
+    )
 
 
 def _copy(schema):
@@ -129,10 +169,6 @@ def empty_state(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], STATE)
 
 
-def empty_history(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], HISTORY)
-
-
 def write_digest(messages: DataFrame, path: str, run_id: int) -> None:
     """Digest messages as JSON lines."""
     write_run(messages, path, run_id, "json")

@@ -48,8 +48,11 @@ class ChangeTracker(StatefulProcessor):
     so memory holds two snapshots whatever the number of rows of a url.
     """
 
+    def __init__(self, ttl_ms: int | None = None):
+        self._ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._page = handle.getValueState("page", PAGE)
+        self._page = handle.getValueState("page", PAGE, self._ttl_ms)
 
     def handleInputRows(
         self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
@@ -93,8 +96,11 @@ def _diff(url: str, previous: list[dict], current: list[dict]) -> list[tuple]:
     return found
 
 
-def stream_changes(snapshots: DataFrame) -> DataFrame:
-    """Material change rows of a stream of snapshots (url, ts, promos)."""
+def stream_changes(snapshots: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Material change rows of a stream of snapshots (url, ts, promos).
+
+    ``ttl_ms``: forget a url that has not been seen for so long (processing time; default: never).
+    """
     spark: SparkSession = snapshots.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     cleaned = F.transform(
@@ -115,8 +121,8 @@ def stream_changes(snapshots: DataFrame) -> DataFrame:
         F.to_json(cleaned).alias("promos"),
     )
     tracked = rows.groupBy("url").transformWithStateInPandas(
-        statefulProcessor=ChangeTracker(), outputStructType=OUTPUT, outputMode="Append",
-        timeMode="None",
+        statefulProcessor=ChangeTracker(ttl_ms), outputStructType=OUTPUT, outputMode="Append",
+        timeMode="None" if ttl_ms is None else "ProcessingTime",
     )
 
     def side(name: str):

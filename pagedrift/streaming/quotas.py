@@ -2,59 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.quota import quota_counts, with_bucket
 from ..sources import tables
 
-USED = "key string, bucket bigint, n bigint"
+USED = T.StructType([
+    T.StructField("counter", T.StringType()), T.StructField("window", T.LongType()), T.StructField("n", T.LongType())
+])
 
 
 def decide_batch(
-    rows: DataFrame, run_id: int, out: str, key: str, ts: str, seq: str, limit: int, window_ms: int
+    rows: DataFrame, run_id: int, out: str, key: str, ts: str, seq: str, limit: int, window_ms: int,
+    keep_windows: int | None = None, buckets: int = tables.BUCKETS, every: int = tables.EVERY,
 ) -> None:
-    """Flag one micro-batch, given how many requests earlier ones allowed per window."""
+    """Flag one micro-batch, given how many requests earlier ones allowed per window.
+
+    Only the counters of this batch's keys and windows are read, from the buckets they lie in.
+    ``keep_windows``: a new epoch leaves out counters that many windows older than the batch
+    (default: it keeps all).
+    """
     spark = rows.sparkSession
-    # A window's counter stops mattering once the window has passed: only the counters of the
-    # windows in this batch are read.
-    requests = with_bucket(rows, ts, window_ms).withColumn("key", F.col(key).cast("string"))
-    requests = requests.persist()
-    used = (
-        spark.read.schema(f"{USED}, run_id bigint")
-        .parquet(f"{out}/used")
-        .where(F.col("run_id") < run_id)
-        .groupBy("key", "bucket")
-        .agg(F.sum("n").alias("n_used"))
-    )
-    by_window = Window.partitionBy("key", "bucket").orderBy(ts, seq)
-    first = (
-        requests.select("key", "bucket", ts, seq)
-        .withColumn("rn", F.row_number().over(by_window))
-        .where(F.col("rn") <= limit)
-        .join(used, ["key", "bucket"], "left")
-        .where(F.col("rn") <= limit - F.coalesce("n_used", F.lit(0)))
-    )
-    cutoff = first.groupBy("key", "bucket").agg(
-        F.max(F.struct(ts, seq)).alias("cutoff"), F.count("*").alias("n")
-    )
-    flagged = requests.join(cutoff.drop("n"), ["key", "bucket"], "left").withColumn(
-        "allowed", F.coalesce(F.struct(ts, seq) <= F.col("cutoff"), F.lit(False))
-    )
-    tables.write_run(flagged.drop("key", "cutoff"), f"{out}/decisions", run_id)
-    tables.write_run(cutoff.select("key", "bucket", "n"), f"{out}/used", run_id)
-    requests.unpersist()
+    counter = F.concat_ws(":", F.col(key).cast("string"), F.col("bucket").cast("string"))
+    requests = with_bucket(rows, ts, window_ms).withColumn("counter", counter).persist()
+    try:
+        used = tables.read_keyed(
+            spark, f"{out}/used", USED, run_id, requests, "counter", buckets, every
+        ).select("counter", F.col("n").alias("n_used"))
+        by_window = Window.partitionBy("counter").orderBy(ts, seq)
+        first = (
+            requests.select("counter", ts, seq, F.col("bucket").alias("window"))
+            .withColumn("rn", F.row_number().over(by_window))
+            .where(F.col("rn") <= limit)
+            .join(used, "counter", "left")
+            .where(F.col("rn") <= limit - F.coalesce("n_used", F.lit(0)))
+        )
+        cutoff = first.groupBy("counter").agg(
+            F.max(F.struct(ts, seq)).alias("cutoff"),
+            F.max("window").alias("window"),
+            (F.count("*") + F.coalesce(F.max("n_used"), F.lit(0))).alias("n"),
+        )
+        flagged = requests.join(cutoff.select("counter", "cutoff"), "counter", "left").withColumn(
+            "allowed", F.coalesce(F.struct(ts, seq) <= F.col("cutoff"), F.lit(False))
+        )
+        tables.write_run(flagged.drop("counter", "cutoff"), f"{out}/decisions", run_id)
+        keep = None
+        if keep_windows is not None:
+            newest = requests.agg(F.max("bucket")).first()[0] or 0
+            keep = F.col("window") > newest - keep_windows
+        tables.write_keyed(
+            cutoff.select("counter", "window", "n"), f"{out}/used", run_id, "counter", buckets, every, keep
+        )
+    finally:
+        requests.unpersist()
 
 
 def start_decisions(
-    requests: DataFrame, out: str, key: str, ts: str, seq: str, limit: int, window_ms: int
+    requests: DataFrame, out: str, key: str, ts: str, seq: str, limit: int, window_ms: int, **options: int
 ) -> StreamingQuery:
     """Decide all pending requests.  Order is by ``ts`` within a micro-batch."""
-    tables.write_run(requests.sparkSession.createDataFrame([], USED), f"{out}/used", -1)
     return (
         requests.writeStream.foreachBatch(
-            lambda rows, run_id: decide_batch(rows, run_id, out, key, ts, seq, limit, window_ms)
+            lambda rows, run_id: decide_batch(rows, run_id, out, key, ts, seq, limit, window_ms, **options)
         )
         .option("checkpointLocation", f"{out}/checkpoint")
         .trigger(availableNow=True)
@@ -65,6 +77,26 @@ def start_decisions(
 def expiring_counts(
     requests: DataFrame, key: str, ts: str, window: str = "5 minutes", delay: str = "0 seconds"
 ) -> DataFrame:
-    """Counters per key and window; the watermark closes a window, emits its counter and frees
-    its state."""
+    """Counters per key and window; the watermark closes a window and frees its state."""
     return quota_counts(requests.withWatermark(ts, delay), key, ts, window)
+
+
+def start_counts(
+    requests: DataFrame, out: str, key: str, ts: str, window: str = "5 minutes", delay: str = "0 seconds"
+) -> StreamingQuery:
+    """Count all pending requests.  Every run writes the counters that it moved, open windows too."""
+    return (
+        expiring_counts(requests, key, ts, window, delay)
+        .writeStream.outputMode("update")
+        .foreachBatch(lambda rows, run_id: tables.write_run(rows, f"{out}/counts", run_id))
+        .option("checkpointLocation", f"{out}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def read_counts(spark: SparkSession, out: str, key: str) -> DataFrame:
+    """The last value of each counter; a counter never falls."""
+    return spark.read.parquet(f"{out}/counts").groupBy(key, "window_start").agg(
+        F.max("n_requests").alias("n_requests")
+    )

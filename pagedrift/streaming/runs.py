@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.diff import material_changes
 from ..operators.digest import change_digest, messages
+from ..operators.history import KEEP, store_and_prune
 from ..operators.state import newest_per_key, states_from_snapshots
-from ..plans.run import run_snapshots
-from ..schemas import SNAPSHOT
+from ..plans.run import fresh_pages, history_rows, marked_changes, page_results
+from ..schemas import HISTORY, SNAPSHOT, STATE
 from ..sources import tables
 
 
@@ -20,44 +22,66 @@ def read_snapshots(spark: SparkSession, source: str, files_per_run: int | None =
     return reader.parquet(source)
 
 
-def run_batch(rows: DataFrame, run_id: int, out: str) -> None:
+def run_batch(
+    rows: DataFrame, run_id: int, out: str, keep: int = KEEP,
+    buckets: int = tables.BUCKETS, every: int = tables.EVERY,
+) -> None:
     """One run.  Of several snapshots of a url in a run the newest counts, as for a scheduled
     run that sees a page once.
 
-    Everything is written to sub-folders of this run and the state is read from earlier runs
-    only, so a repeated micro-batch rebuilds the same output.
+    The work follows the batch: of the stored state and history only the rows of its urls are
+    read, the changes are found once, written, and read again for results and digest.  The history
+    of a url with material changes is pruned to its newest ``keep`` snapshots; one of the same time
+    is replaced.  Everything goes to sub-folders of this run and is read from earlier runs only,
+    so a repeated micro-batch rebuilds the same output.
     """
     spark = rows.sparkSession
     states = states_from_snapshots(rows)
-    current = newest_per_key(states, ["url"], ["last_seen", "hash"]).select(*states.columns)
-    current = current.persist()
-    run = run_snapshots(current, tables.read_state(spark, f"{out}/state", run_id))
-    tables.write_run(run.results, f"{out}/results", run_id)
-    tables.write_run(run.changes, f"{out}/changes", run_id)
-    tables.write_run(run.history, f"{out}/history", run_id)
-    # The digest reads what was just written instead of computing the diff again.
-    results = spark.read.parquet(f"{out}/results/run_id={run_id}")
-    changes = spark.read.parquet(f"{out}/changes/run_id={run_id}")
-    detected = current.select(
-        "url",
-        F.lit(None).cast("string").alias("name"),
-        F.date_format("last_seen", "yyyy-MM-dd'T'HH:mm:ss").alias("detected_at"),
-    )
-    blocks = change_digest(results.join(detected, "url"), changes, F.current_timestamp())
-    tables.write_digest(messages(blocks), f"{out}/digest", run_id)
-    # The state comes last: a run without it is repeated from the start.
-    tables.write_run(run.state, f"{out}/state", run_id)
-    current.unpersist()
+    current = newest_per_key(states, ["url"], ["last_seen", "hash"]).select(*states.columns).persist()
+    fresh = None
+    try:
+        stored = tables.read_keyed(
+            spark, f"{out}/state", STATE, run_id, current, buckets=buckets, every=every
+        )
+        fresh = fresh_pages(current, stored).persist()
+        tables.write_run(material_changes(marked_changes(fresh)), f"{out}/changes", run_id)
+        changes = spark.read.parquet(f"{out}/changes/run_id={run_id}")
+        tables.write_run(
+            page_results(fresh, changes.withColumn("material", F.lit(True))), f"{out}/results", run_id
+        )
+        results = spark.read.parquet(f"{out}/results/run_id={run_id}")
+        state = fresh.select(*current.columns)
+        new = history_rows(state, results)
+        old = tables.read_keyed(
+            spark, f"{out}/history", HISTORY, run_id, new, buckets=buckets, every=every
+        )
+        tables.write_keyed(
+            store_and_prune(old, new, keep), f"{out}/history", run_id, buckets=buckets, every=every
+        )
+        detected = current.select(
+            "url",
+            F.lit(None).cast("string").alias("name"),
+            F.date_format("last_seen", "yyyy-MM-dd'T'HH:mm:ss").alias("detected_at"),
+        )
+        blocks = change_digest(results.join(detected, "url"), changes, F.current_timestamp())
+        tables.write_digest(messages(blocks), f"{out}/digest", run_id)
+        # The state comes last: a run without it is repeated from the start.
+        tables.write_keyed(state, f"{out}/state", run_id, buckets=buckets, every=every)
+    finally:
+        current.unpersist()
+        if fresh is not None:
+            fresh.unpersist()
 
 
 def start_runs(
-    snapshots: DataFrame, out: str, every: str | None = None
+    snapshots: DataFrame, out: str, trigger_every: str | None = None, **options: int
 ) -> StreamingQuery:
-    """Start the run stream: all pending files once, or ``every`` so often (``3 hours``)."""
-    spark = snapshots.sparkSession
-    tables.write_run(tables.empty_state(spark), f"{out}/state", -1)
+    """Start the run stream: all pending files once, or every so often (``3 hours``).
+
+    ``options``: see :func:`run_batch`.
+    """
     writer = snapshots.writeStream.foreachBatch(
-        lambda rows, run_id: run_batch(rows, run_id, out)
+        lambda rows, run_id: run_batch(rows, run_id, out, **options)
     ).option("checkpointLocation", f"{out}/checkpoint")
-    trigger = {"processingTime": every} if every else {"availableNow": True}
+    trigger = {"processingTime": trigger_every} if trigger_every else {"availableNow": True}
     return writer.trigger(**trigger).start()
