@@ -34,27 +34,53 @@ def collapse_blanks(col: Column) -> Column:
 
 NORMALIZE = (*[(p, "") for p in P.NORMALIZE_REMOVALS], *P.NORMALIZE_COLLAPSE)
 FILTER_NOISE = (*[(p, "") for p in P.NOISE_REMOVALS], COLLAPSE, (P.NOISE_EDGE_MARKS, ""))
-
-
-def replace_in_order(col: Column, steps: tuple[tuple[str, str], ...]) -> Column:
+# What a text must hold, in lower case, for a step to find anything; () for steps without a gate.
+NORMALIZE_GATES = (
+    ("/",), ("-",), (":",), (), ("ref:",), ("utm_",), ("track",), ("id:", "id="), ("view", "click", "visit"), (":",), ("(",),
+    ("  ", "\t"), ("\n",),
+)
+NOISE_GATES = (
+    ("limited time", "act now", "hurry", "expires soon", "while supplies last"),
+    ("call now", "book today", "reserve now", "don't wait"), ("*",), ("terms",), ("conditions",), ("restrictions",),
+    ("booked", "viewed", "saved"), ("trending", "popular", "bestseller", "top rated"), (), ("!",),
+)
+
+
+def replace_in_order(
+    col: Column, steps: tuple[tuple[str, str], ...], gates: tuple[tuple[str, ...], ...] | None = None
+) -> Column:
     """Apply (pattern, replacement) steps one after the other; null counts as ''.
 
-    The steps are one SQL lambda, so a long chain is one expression to send and to analyse.
+    A step whose gate the text does not pass is left out, which changes nothing but the time.
+    The steps are one SQL expression, so a long chain is one to send and to analyse.
     """
+    if gates is not None and len(gates) != len(steps):
+        raise ValueError("a gate for each step is needed")
     body = "coalesce(t, '')"
-    for pattern, replacement in steps:
-        body = f'regexp_replace({body}, r"{P.java_regex(pattern)}", "{replacement}")'
+    for n, (pattern, replacement) in enumerate(steps):
+        gate = gates[n] if gates else ()
+        if not gate:
+            body = f'regexp_replace({body}, r"{P.java_regex(pattern)}", "{replacement}")'
+            continue
+        plain = all(not c.isalpha() for g in gate for c in g)
+        tests = " or ".join(f"contains({'s' if plain else 'lower(s)'}, {_literal(g)})" for g in gate)
+        step = f'regexp_replace(s, r"{P.java_regex(pattern)}", "{replacement}")'
+        body = f"transform(array({body}), s -> if({tests}, {step}, s))[0]"
     return F.element_at(F.call_function("transform", F.array(col), F.expr(f"t -> {body}")), 1)
 
 
+def _literal(text: str) -> str:
+    return '"' + text.replace("\t", "\\t").replace("\n", "\\n") + '"'
+
+
 def normalize_text(col: Column) -> Column:
     """Drop dates, times, tracking codes, counters and update notes; tidy blanks."""
-    return trim_blanks(replace_in_order(col, NORMALIZE))
+    return trim_blanks(replace_in_order(col, NORMALIZE, NORMALIZE_GATES))
 
 
 def filter_noise(col: Column) -> Column:
     """Drop urgency, call-to-action, disclaimer and social-proof phrases."""
-    return trim_blanks(replace_in_order(col, FILTER_NOISE))
+    return trim_blanks(replace_in_order(col, FILTER_NOISE, NOISE_GATES))
 
 
 def clean_text(col: Column) -> Column:

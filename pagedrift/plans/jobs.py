@@ -42,6 +42,16 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_table(spark, sf_dir, "pages")
 
 
+def _texts_to_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, and texts in which every rule of the cleaning has something to do."""
+    return _documents(spark, sf_dir, "text").unionByName(derived(spark, sf_dir, "noted_texts"))
+
+
+def _pages_to_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir).select("page_id", "html")
+    return pages.unionByName(derived(spark, sf_dir, "marked_pages"))
+
+
 def _offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, "offer_pages")
 
@@ -73,8 +83,13 @@ def _state_view(rows: DataFrame) -> DataFrame:
 
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With records; every seventh snapshot has one without an id, which makes it invalid."""
+    def record(id_: Column) -> Column:
+        return F.struct(id_.alias("id"), *[F.lit(f).alias(f) for f in FIELDS])
+
+    ids = F.when(F.col("seq") % 7 == 0, " ").otherwise(F.col("seq").cast("string"))
     return derived(spark, sf_dir, "history").withColumn(
-        "promos", F.array().cast(f"array<{PROMO_DDL}>")
+        "promos", F.array(record(F.lit("first")), record(ids)).cast(f"array<{PROMO_DDL}>")
     )
 
 
@@ -250,14 +265,14 @@ def keep_existing(rows: DataFrame, names: list[str]) -> DataFrame:
 
 @job
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir, "text").select(
+    return _texts_to_clean(spark, sf_dir).select(
         "doc_id", text.normalize_text(F.col("text")).alias("normalized")
     )
 
 
 @job
 def filter_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir, "text").select(
+    return _texts_to_clean(spark, sf_dir).select(
         "doc_id", text.filter_noise(F.col("text")).alias("filtered")
     )
 
@@ -304,14 +319,14 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @job
 def decode_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spark, sf_dir).select(
+    return _pages_to_clean(spark, sf_dir).select(
         "page_id", text.decode_entities(text.html_to_text(F.col("html"))).alias("text")
     )
 
 
 @job
 def escape_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spark, sf_dir).select(
+    return _pages_to_clean(spark, sf_dir).select(
         "page_id", text.escape_markup(F.col("html")).alias("escaped")
     )
 
@@ -411,7 +426,7 @@ def build_promos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @job
 def promos_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _documents(spark, sf_dir, "text").select(
+    rows = _texts_to_clean(spark, sf_dir).select(
         "doc_id", F.explode(F.array(extract.promo_from_text(F.col("text")))).alias("promo")
     )
     return rows.where(F.col("promo").isNotNull()).select("doc_id", "promo.*")
@@ -807,8 +822,8 @@ def summary_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @job
 def window_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = tables.read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    return quota.window_quota(events, "user_id", "ts", "event_id", limit=2, window_ms=3_600_000)
+    requests = derived(spark, sf_dir, "requests")
+    return quota.window_quota(requests, "user_id", "ts", "event_id", limit=2, window_ms=3_600_000)
 
 
 @job
@@ -874,7 +889,7 @@ def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _event_stream(spark: SparkSession, sf_dir: str, source: str) -> tuple[DataFrame, list[DataFrame]]:
     """Events as a file stream in two drops, the second half of the month after the first."""
-    events = tables.read_table(spark, sf_dir, "events").select(
+    events = derived(spark, sf_dir, "requests").select(
         "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")
     )
     middle = F.lit("2024-01-16 00:20:00").cast("timestamp")

@@ -238,6 +238,40 @@ select concat('{HOST}/p/', cast(k as string)) as url,
 from ({_PART}) a where s <> {gone}"""
 
 
+_REMARKS = (
+    "seen 3/14/2025 here", "seen 2025-03-14 here", "open at 10:45 PM", "code ABCD12345 given", "ref:abc7", "utm_source=mail",
+    "tracking7", "id=77x", "1,234 views", "Updated: yesterday", "(posted today)", "limited time only", "call now or later",
+    "a *bold* word", "(terms apply)", "(conditions apply)", "(restrictions apply)", "120 people booked", "a trending place",
+    "nothing else", "! loud", "loud !",
+)
+# A text per order, with the remarks that normalising and noise removal look for.
+NOTED_TEXTS = """
+select o_orderkey + 1000000000 as doc_id, concat(case when o_custkey % 5 = 0 then '! ' else '' end,
+  'Offer for customer ', cast(o_custkey as string), ' ', case o_custkey % """ + str(len(_REMARKS)) + " " + " ".join(
+    f"when {i} then '{r}'" for i, r in enumerate(_REMARKS)) + """ end, case when o_custkey % 3 = 0 then
+  '. Complimentary breakfast for two. Valid through March 2025 from $249.00 per night' when o_custkey % 3 = 1
+  then '. Expires on the last day of 2026, bonus tour for $75' else '. A plain sentence' end,
+  case when o_custkey % 7 = 0 then ' !' else '' end) as text
+from {orders}"""
+
+_MARKS = (
+    "&quot;quoted&quot;", "it&#x27;s", "this &amp; that", "a &lt; b", "a &gt; b", "a&nbsp;b", "&diams; one", "&clubs; two",
+    "&hearts; three", "&spades; four", "&bull; five", "&#8226; six", "<script>x()</script>", "<iframe src=x>y</iframe>",
+    "<object data=x>y</object>", "<embed src=x>", "<link rel=x>", "<meta name=x>", "see javascript:go", "see data:text/html,x",
+    "say onclick = now", "a * b _ c ~ d",
+)
+# A page per order, with the entities and the markup that decoding and escaping look for.
+MARKED_PAGES = """
+select o_orderkey + 1000000000 as page_id, concat('<p>Order ', cast(o_orderkey as string), ' ',
+  case o_custkey % """ + str(len(_MARKS)) + " " + " ".join(f"when {i} then '{m}'" for i, m in enumerate(_MARKS)) + """ end,
+  '</p>') as html
+from {orders}"""
+
+# Requests: those of the events, and as many again from one user as make a third of all.
+REQUESTS = """
+select event_id, user_id, ts from {events}
+union all select event_id + 1000000000 as event_id, 0 as user_id, ts from {events} where event_id % 2 = 0"""
+
 # A hundred site rules: four for each nation, of pages whose number starts alike.
 SITE_RULES = """
 select concat('/offer/', cast(n_nationkey + 10 as string)) as url_contains,
@@ -249,6 +283,9 @@ from {nation}, (select 0 as i union all select 1 union all select 2 union all se
 
 STATEMENTS = {
     "site_rules": SITE_RULES,
+    "noted_texts": NOTED_TEXTS,
+    "marked_pages": MARKED_PAGES,
+    "requests": REQUESTS,
     "promos_prev": PROMOS_PREV,
     "promos_curr": PROMOS_CURR,
     "promo_pairs": PROMO_PAIRS,

@@ -12,7 +12,7 @@ from pagedrift.plans.jobs import JOBS
 TABLES = ("customer", "documents", "events", "nation", "orders", "pages", "part")
 COMPARED = (
     "crawl_accept", "validate_targets", "state_upsert", "history_append", "store_and_prune",
-    "normalize_text", "similar_price", "similar_dates", "material_change", "page_promos",
+    "normalize_text", "filter_noise", "promos_from_text", "decode_entities", "validate_history", "latest_history", "similar_price", "similar_dates", "material_change", "page_promos",
     "generic_deals", "rule_deals", "page_summary", "summary_digest", "page_caps", "escape_markup",
     "price_mentions", "date_mentions", "location_mentions", "map_chunks", "detect_changes", "material_changes", "change_digest", "window_quota",
     "snapshot_run", "crawl_run", "history_scan", "stream_run", "stream_changes", "stream_quota", "quota_expiry",
@@ -63,3 +63,30 @@ def test_no_cross_joins_and_no_python_in_batch_plans(spark, capsys):
         assert plan.startswith("== Physical Plan =="), name
         assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan, name
         assert "Python" not in plan and "InPandas" not in plan, name
+
+
+def test_every_rule_has_something_to_do(spark):
+    """The checked inputs of the text and quota jobs reach every rule."""
+    from pyspark.sql import functions as F
+
+    from pagedrift import patterns as P
+    from pagedrift.functions.text import normalize_text
+    from pagedrift.sources.derived import derived
+
+    texts = derived(spark, SF_DIR, "noted_texts")
+    rules = [P.java_regex(p) for p in (*P.NORMALIZE_REMOVALS, *P.NOISE_REMOVALS, P.NOISE_EDGE_MARKS)]
+    assert all(texts.agg(*[F.count_if(F.col("text").rlike(p)) for p in rules]).first())
+    normal = texts.select(normalize_text(F.col("text")).alias("t"))
+    found = [P.java_regex(p) for p in (P.BLOCK_PERK, P.BLOCK_DATES, P.BLOCK_PRICE)]
+    for row in (normal.agg(*[F.count_if(c) for c in cs]).first()
+                for cs in ([F.col("t").rlike(p) for p in found], [~F.col("t").rlike(p) for p in found])):
+        assert all(row)
+    pages = derived(spark, SF_DIR, "marked_pages")
+    assert all(pages.agg(*[F.count_if(F.contains(F.col("html"), F.lit(e))) for e, _ in P.ENTITIES]).first())
+    escaped = F.col("html")
+    for char, entity in P.ESCAPES:
+        escaped = F.replace(escaped, F.lit(char), F.lit(entity))
+    assert all(pages.agg(*[F.count_if(escaped.rlike(P.java_regex(p))) for p in P.UNSAFE_ESCAPED]).first())
+    for name, flag in (("window_quota", "allowed"), ("validate_history", "valid"), ("similar_price", "similar")):
+        counts = {r[flag]: r["count"] for r in JOBS[name](spark, SF_DIR).groupBy(flag).count().collect()}
+        assert min(counts[True], counts[False]) > 10, name

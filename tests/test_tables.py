@@ -301,3 +301,67 @@ def test_small_helpers(spark):
     assert keep_existing(frame, ["c", "zz", "a"]).columns == ["c", "a"]
     assert frame.select(text.promos_hash(F.lit(None).cast("array<struct<id:string>>"))).first()[0] == (
         "4f53cda18c2baa0c")  # hash of []
+
+
+def test_ten_runs_read_a_flat_amount_and_prune(spark, tmp_path):
+    """Small runs over many urls: state and history stay current, bounded and cheap to read."""
+    import os
+
+    from pagedrift.streaming import runs
+
+    out, every, keep = str(tmp_path), 3, 2
+    latest = {}
+    for n in range(10):
+        urls = [f"https://example.com/{u}" for u in ((n,) if n else range(12))] + ["https://example.com/hot"]
+        rows = [(u, ts(n), [promo(str(n), price=f"${100 + 300 * n}")]) for u in urls]
+        latest |= {u: n for u in urls}
+        runs.run_batch(spark.createDataFrame(rows, SNAPSHOT), n, out, keep=keep, buckets=4, every=every)
+        if n in (4, 9):  # a repeated micro-batch leaves the same
+            runs.run_batch(spark.createDataFrame(rows, SNAPSHOT), n, out, keep=keep, buckets=4, every=every)
+        folder = f"{out}/state/epoch={n // every}"
+        assert len([d for d in os.listdir(folder) if d.startswith("run_id=")]) <= every
+    state_rows = tables.read_keyed(spark, f"{out}/state", STATE, 10, buckets=4, every=every).collect()
+    assert {r["url"]: int(r["promos"][0]["id"]) for r in state_rows} == latest
+    kept = tables.read_keyed(spark, f"{out}/history", HISTORY, 10, buckets=4, every=every).collect()
+    by_url = {}
+    for r in kept:
+        by_url.setdefault(r["url_key"], []).append(r["ts"])
+    assert max(map(len, by_url.values())) == keep and len(by_url) == 10
+    one = spark.createDataFrame([(state_rows[0]["url_key"],)], "url_key string")
+    plan = tables.read_keyed(spark, f"{out}/state", STATE, 10, one, buckets=4, every=every)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1][:200]
+    results = spark.read.parquet(f"{out}/results").where("url like '%hot'").orderBy("run_id").collect()
+    assert [r["first_run"] for r in results] == [True] + [False] * 9
+    assert all(r["n_added"] == 1 and r["n_removed"] == 1 for r in results[1:])
+
+
+def test_stored_history_is_read_by_bucket_and_key(spark, tmp_path):
+    rows = spark.createDataFrame([(f"u{i % 9}", ts(1, 1 + i % 20), "h", []) for i in range(90)], HISTORY)
+    tables.write_keyed(rows, str(tmp_path), 0, buckets=8)
+    found = tables.scan_keyed(spark, str(tmp_path), HISTORY, 1, "u3", buckets=8)
+    assert found.count() == rows.where("url_key = 'u3'").count()
+    plan = found._jdf.queryExecution().toString()
+    assert "EqualTo(url_key,u3)" in plan and "(bucket#" in plan
+
+
+def test_run_plan_has_few_joins(spark):
+    frame = spark.createDataFrame([("k", "https://example.com/a", "h", [promo("1")], ts(1))], STATE)
+    run = run_snapshots(frame, frame)
+    plan = run.results._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join ") <= 3
+
+
+def test_counters_are_read_by_key_and_dropped_when_old(spark, tmp_path):
+    from pagedrift.streaming import quotas
+
+    flags = []
+    for n in range(7):
+        rows = [(10 * n + i, "u", ts(n // 2)) for i in range(2)] + [(100 + n, f"v{n}", ts(n))]
+        frame = spark.createDataFrame(rows, "id long, user string, ts timestamp")
+        quotas.decide_batch(frame, n, str(tmp_path), "user", "ts", "id", 3, 3_600_000, keep_windows=2, buckets=4, every=3)
+        done = spark.read.parquet(f"{tmp_path}/decisions/run_id={n}").where("user = 'u'").orderBy("id").collect()
+        flags.append([r["allowed"] for r in done])
+    assert flags == [[True, True], [True, False]] * 3 + [[True, True]]
+    left = tables.read_keyed(spark, f"{tmp_path}/used", quotas.USED, 7, None, "counter", 4, 3)
+    hour = lambda n: int(ts(n).timestamp()) // 3600
+    assert min(r["window"] for r in left.collect()) == hour(3)  # the batch's own; older ones are gone
