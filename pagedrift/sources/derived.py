@@ -272,14 +272,17 @@ REQUESTS = """
 select event_id, user_id, ts from {events}
 union all select event_id + 1000000000 as event_id, 0 as user_id, ts from {events} where event_id % 2 = 0"""
 
+_RULES = (
+    ("[$][0-9.,]+ per night", "'$1'", "null"), ("save [0-9]+% on tours", "null", "'5%'"),
+    ("trip across the [a-z ]+ coast", "null", "null"), ("no such words", "null", "null"),
+)
 # A hundred site rules: four for each nation, of pages whose number starts alike.
-SITE_RULES = """
-select concat('/offer/', cast(n_nationkey + 10 as string)) as url_contains,
-  case i when 0 then '[$][0-9.,]+ per night' when 1 then 'save [0-9]+% on tours'
-         when 2 then 'trip across the [a-z ]+ coast' else 'no such words' end as pattern,
-  concat(n_name, ' offer ', cast(i as string)) as title, case when i = 0 then '$1' end as price,
-  case when i = 1 then '5%' end as savings, n_name as location, cast(n_nationkey * 4 + i as bigint) as ord
-from {nation}, (select 0 as i union all select 1 union all select 2 union all select 3) k"""
+SITE_RULES = " union all ".join(
+    f"""select concat('/offer/', cast(n_nationkey + 10 as string)) as url_contains, '{pattern}' as pattern,
+  concat(n_name, ' offer {i}') as title, cast({price} as string) as price, cast({savings} as string) as savings,
+  n_name as location, cast(n_nationkey * 4 + {i} as bigint) as ord from {{nation}}"""
+    for i, (pattern, price, savings) in enumerate(_RULES)
+)
 
 STATEMENTS = {
     "site_rules": SITE_RULES,
