@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import prepare, table, utf8
-from .repeats import FIRST_ID, Kind, applied, covered, keyed, spans
+from .repeats import FIRST_ID, START, Kind, applied, covered, keyed, spans
 
 KIND = Kind(window=100, gram=28, words=False)
 PACKED = 7  # symbols of nine bits in the first sort key
@@ -77,7 +77,7 @@ def borders(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     return known[:n]
 
 
-def earlier(values: list[np.ndarray], n: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+def earlier(values: np.ndarray, n: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Of all windows of all contexts: does the same window start at an earlier place?"""
     least = KIND.window
     sizes = n + least - 1
@@ -85,17 +85,17 @@ def earlier(values: list[np.ndarray], n: np.ndarray, doc: np.ndarray, place: np.
     starts = np.cumsum(sizes + 1) - (sizes + 1)
     within = np.ones(len(text), bool)
     within[starts + sizes] = False  # the symbol 0 parts the contexts
-    text[within] = np.concatenate(values).astype(np.uint16) + 1
+    text[within] = values.astype(np.uint16) + 1
     order = sorted_suffixes(text, least + 1)
     group = np.empty(len(text), np.int64)
     group[order] = np.cumsum(borders(text, order, least))
     owner = np.repeat(np.arange(len(n)), n)
     step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    return later_in_group(group[starts[owner] + step], doc[owner], place[owner] + (step << 8))
+    return later_in_group(group[starts[owner] + step], doc[owner], place[owner] + (step << START))
 
 
 def later_in_group(group: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    place = place >> 8  # without the number of windows
+    place = place >> START
     order = np.lexsort((place, doc, group))
     g, d, p = group[order], doc[order], place[order]
     first = np.r_[True, g[1:] != g[:-1]]

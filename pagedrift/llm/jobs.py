@@ -14,7 +14,7 @@ from .quality import op10_quality
 from .secrets import OP2_SQL, op2_secrets
 from .sharding import op4_sharding
 from .simhash import op7_simhash
-from .suffix_tree import op6_suffix_tree
+from .suffix_tree import OP6_SQL, op6_suffix_tree
 from .warc import OP9_SQL, op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -31,5 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 SQL: dict[str, str] = {
     "op2_secrets": OP2_SQL,
+    "op6_suffix_tree": OP6_SQL,
     "op9_warc": OP9_SQL,
 }

@@ -33,10 +33,11 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, partitions, utf8, written
 
-PIECE = 1 << 20
+PIECE = 1 << 17  # units worked on at a time: what fits a core's cache
 MOST_CLASSES = 6000
 FIRST_ID = -(1 << 63)
-TAG, START = 46, 8  # bits: tag of 16, start of 38, number of windows of 8
+#: Bits of a place: tag of 16, start of 32, where the anchor is of 7, number of windows of 8.
+TAG, START, ANCHOR = 47, 15, 8
 
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _BACK = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
@@ -58,7 +59,7 @@ _BYTES = mix(np.arange(256, dtype=np.uint64) + _SALT)
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, PIECE + 1024)
+        size = max(n, 2 * PIECE + 1024)
         _POWERS[:] = [
             np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(size, b, np.uint64))])
             for b in (_BASE, _BACK)
@@ -96,7 +97,7 @@ class Kind:
 
 def least(grams: np.ndarray, width: int) -> np.ndarray:
     """Where the leftmost least value of each window of ``width`` is."""
-    value, at, have = grams, np.arange(len(grams), dtype=np.int64), 1
+    value, at, have = (grams >> np.uint64(32)).astype(np.uint32), np.arange(len(grams), dtype=np.int32), 1
     while have < width:
         step = min(have, width - have)
         right = value[step:] < value[:-step]
@@ -106,10 +107,11 @@ def least(grams: np.ndarray, width: int) -> np.ndarray:
 
 
 def tiles(values: np.ndarray, sizes: np.ndarray, kind: Kind):
-    """(start, number of windows, anchor, hash of the content) of the tiles of pieces put end to end."""
+    """(start, number of windows, anchor, hash of the content, where in the tile the anchor is) of
+    the tiles of pieces put end to end."""
     none = np.zeros(0, np.int64)
     if len(values) < kind.window:
-        return none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none.view(np.uint64), none.view(np.uint64), none
     sums, k = Sums(values), kind.gram
     grams = mix(sums.of(slice(None, -k), slice(k, None), slice(len(values) - k + 1)))
     at = least(grams, kind.window - k + 1)
@@ -117,7 +119,7 @@ def tiles(values: np.ndarray, sizes: np.ndarray, kind: Kind):
     last = np.repeat(ends, sizes)[: len(at)]
     starts = np.flatnonzero(np.arange(len(at)) + kind.window <= last)
     if not len(starts):
-        return none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none.view(np.uint64), none.view(np.uint64), none
     at = at[starts]
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     n = np.diff(np.r_[first, len(at)])
@@ -125,7 +127,7 @@ def tiles(values: np.ndarray, sizes: np.ndarray, kind: Kind):
     end = start + n + kind.window - 1
     other = Sums(mix(values ^ _SALT))
     content = mix(sums.of(start, end, start) + mix(other.of(start, end, start) + n.view(np.uint64)))
-    return start, n, grams[at[first]], content
+    return start, n, grams[at[first]], content, at[first] - start
 
 
 def pieces(texts: list[bytes], kind: Kind):
@@ -178,10 +180,11 @@ def _repeated_tiles(rows: DataFrame, kind: Kind) -> DataFrame:
         texts = utf8(batch.column(1))
         tags = np.array([zlib.crc32(t) & 0xFFFF for t in texts], np.int64)
         for values, sizes, row, offset in pieces(texts, kind):
-            start, n, anchor, content = tiles(values, sizes, kind)
+            start, n, anchor, content, inside = tiles(values, sizes, kind)
             ends = np.cumsum(sizes)
             piece = np.searchsorted(ends, start, "right")
-            place = (tags[row[piece]] << TAG) | ((start - (ends - sizes)[piece] + offset[piece]) << START) | n
+            at = start - (ends - sizes)[piece] + offset[piece]
+            place = (tags[row[piece]] << TAG) | (at << START) | (inside << ANCHOR) | n
             yield pa.RecordBatch.from_arrays(
                 _longs(anchor, content, docs[row[piece]], place), names=["anchor", "tile", "doc", "place"]
             )
@@ -196,7 +199,7 @@ def _repeated_tiles(rows: DataFrame, kind: Kind) -> DataFrame:
 def spans(rows: DataFrame, kind: Kind, purpose: str, expand: Callable[..., np.ndarray], within: bool) -> DataFrame:
     """``doc tag spans``: stretches of units covered by a window that also starts earlier.
 
-    ``expand(values, starts, n, doc, place)`` gets contexts of values put end to end and returns
+    ``expand(values, n, doc, place)`` gets contexts of ``n`` windows each put end to end, and returns
     for all their windows whether an earlier place starts the same one.  ``within``: an earlier
     start in the same document counts; otherwise only other documents do.
     """
@@ -219,7 +222,7 @@ def spans(rows: DataFrame, kind: Kind, purpose: str, expand: Callable[..., np.nd
         F.col("doc").alias("f_doc"), F.col("place").alias("f_place"),
     ).join(shared, (F.col("f_anchor") == F.col("s_anchor")) & (F.col("f_tile") == F.col("s_tile")), "left")
     at = F.shiftright("place", START).bitwiseAND((1 << (TAG - START)) - 1)
-    n = F.col("place").bitwiseAND((1 << START) - 1)
+    n = F.col("place").bitwiseAND((1 << ANCHOR) - 1)
     is_first = F.col("doc") == F.col("f_doc")
     if within:
         is_first = is_first & (F.col("place") == F.col("f_place"))
@@ -246,7 +249,7 @@ def _contexts(rows: DataFrame, asked: DataFrame, kind: Kind) -> DataFrame:
             values = kind.values(text) if kind.words else np.frombuffer(text, np.uint8)
             for tile in tiles_:
                 start = tile["place"] >> START & ((1 << (TAG - START)) - 1)
-                n = tile["place"] & ((1 << START) - 1)
+                n = tile["place"] & ((1 << ANCHOR) - 1)
                 for lo, many in ((i, 1) for i in range(n)) if tile["hot"] else ((0, n),):
                     part = values[start + lo : start + lo + many + kind.window - 1].tobytes()
                     key = xxhash.xxh64_intdigest(part) - (1 << 63) if tile["hot"] else tile["anchor"]
@@ -268,6 +271,44 @@ def _contexts(rows: DataFrame, asked: DataFrame, kind: Kind) -> DataFrame:
 
 #: Units of contexts that are searched at a time.
 BLOCK = 1 << 20
+#: Parts of a tile by how much of a window lies before the anchor.
+BINS = 4
+
+
+def _likely(values: np.ndarray, sizes: np.ndarray, inside: np.ndarray, kind: Kind):
+    """(values, number of windows, which context, windows left out at its start) of the stretches of
+    contexts that can hold a shared window.
+
+    The windows of a bin all hold the anchor with a certain stretch around it; a window can only be
+    shared if that stretch is.
+    """
+    n = sizes - kind.window + 1
+    begin = np.cumsum(sizes) - sizes
+    rest = kind.window - kind.gram
+    step = -(-(rest + 1) // BINS)
+    sums = Sums(values if kind.words else _BYTES[values])
+    low, high = np.full(len(n), 1 << 30), np.zeros(len(n), np.int64)
+    for b in range(BINS):
+        before, most = b * step, min(rest, (b + 1) * step - 1)
+        # Windows r of this bin: inside - r within [before, most].
+        first, last = np.maximum(0, inside - most), np.minimum(n - 1, inside - before)
+        has = np.flatnonzero((first <= last) & (before <= most))
+        if not len(has):
+            continue
+        start = begin[has] + inside[has] - before
+        end = begin[has] + inside[has] + kind.gram + (rest - most)
+        key = sums.of(start, end, start)
+        order = np.argsort(key)
+        k = key[order]
+        twin = np.r_[False, k[1:] == k[:-1]] | np.r_[k[1:] == k[:-1], False]
+        mine = has[order[twin]]
+        low[mine] = np.minimum(low[mine], first[mine])
+        high[mine] = np.maximum(high[mine], last[mine] + 1)
+    which = np.flatnonzero(low < high)
+    skip, n = low[which], (high - low)[which]
+    size = n + kind.window - 1
+    at = np.arange(int(size.sum())) + np.repeat(begin[which] + skip - (np.cumsum(size) - size), size)
+    return values[at], n, which, skip
 
 
 def _shared(contexts: DataFrame, kind: Kind, expand) -> DataFrame:
@@ -293,11 +334,16 @@ def _shared(contexts: DataFrame, kind: Kind, expand) -> DataFrame:
             yield from search(held)
 
     def search(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        _, anchor, tile, doc, place, lo, data = zip(*held)
-        values = [np.frombuffer(d, unit) for d in data]
-        sizes = np.array([len(v) for v in values], np.int64)
-        n = sizes - kind.window + 1
-        found = expand(values, n, np.array(doc, np.int64), np.array(place, np.int64) + (np.array(lo, np.int64) << START))
+        columns = list(zip(*held))
+        values = np.frombuffer(b"".join(columns[-1]), unit)
+        anchor, tile, doc, place, lo = (np.array(c, np.int64) for c in columns[1:-1])
+        sizes = np.array([*map(len, columns[-1])], np.int64) // unit().itemsize
+        values, n, which, skip = _likely(values, sizes, (place >> ANCHOR & 127) - lo, kind)
+        if not len(which):
+            return
+        anchor, tile, doc, place, lo = (c[which] for c in (anchor, tile, doc, place, lo))
+        lo = lo + skip
+        found = expand(values, n, doc, (place >> START << START) + (lo << START))
         edges = np.flatnonzero(np.diff(np.r_[0, found.astype(np.int8), 0]))
         # A run of shared windows is cut where a context ends.
         starts = np.cumsum(n) - n
@@ -305,9 +351,9 @@ def _shared(contexts: DataFrame, kind: Kind, expand) -> DataFrame:
         begin, end = np.sort(np.r_[edges[::2], inside]), np.sort(np.r_[edges[1::2], inside])
         if len(begin):
             which = np.searchsorted(starts, begin, "right") - 1
-            low = begin - starts[which] + np.array(lo, np.int64)[which]
+            low = begin - starts[which] + lo[which]
             yield pa.RecordBatch.from_arrays(
-                _longs(np.array(anchor, np.int64)[which], np.array(tile, np.int64)[which], low, low + (end - begin)),
+                _longs(anchor[which], tile[which], low, low + (end - begin)),
                 names=["anchor", "tile", "lo", "hi"],
             )
 

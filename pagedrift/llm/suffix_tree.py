@@ -60,11 +60,11 @@ def deep_nodes(common: np.ndarray, depth: int) -> np.ndarray:
     return np.cumsum(common < depth)
 
 
-def earlier(values: list[np.ndarray], n: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+def earlier(values: np.ndarray, n: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Of all windows of all contexts: does the same window start in a smaller document?"""
     depth = KIND.window
     sizes = n + depth - 1
-    text = np.concatenate(values)
+    text = values
     begin = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(n)), n)
     step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
@@ -108,3 +108,18 @@ def without_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
 def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return without_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+
+
+OP6_SQL = r"""with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as l from documents),
+win as (select doc_id, generate_subscripts(ks, 1) as i, unnest(ks) as k from (
+ select doc_id, list_transform(generate_series(1, len(l) - 12), lambda i: array_to_string(l[i:i + 12], ' ')) as ks
+ from w where len(l) >= 13)),
+firsts as (select k, min(doc_id) as f from win group by k),
+gone as (select distinct doc_id, i + j as p from (select doc_id, i from win join firsts using (k) where f < doc_id) b,
+ (select unnest(generate_series(0, 12)) as j) t),
+words as (select doc_id, generate_subscripts(l, 1) as p, unnest(l) as word from w),
+kept as (select doc_id, string_agg(word, ' ' order by p) as t from words x
+ where not exists (select 1 from gone g where g.doc_id = x.doc_id and g.p = x.p) group by doc_id)
+select w.doc_id, len(l) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from w left join kept on kept.doc_id = w.doc_id
+left join (select doc_id, count(*) as n from gone group by doc_id) g on g.doc_id = w.doc_id"""

@@ -106,7 +106,7 @@ def test_tiles_cover_each_window_once():
 
     kind = repeats.Kind(window=20, gram=6, words=False)
     values = kind.values(prose(100, 3).encode())
-    start, n, _, _ = repeats.tiles(values, np.array([len(values)]), kind)
+    start, n, *_ = repeats.tiles(values, np.array([len(values)]), kind)
     assert [s + i for s, k in zip(start, n) for i in range(k)] == list(range(len(values) - 19))
 
 
