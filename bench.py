@@ -28,7 +28,6 @@ HEADLINE = (
     "state_lookup", "state_upsert", "hash_gated_update", "snapshot_run",
     "history_append", "latest_history", "prune_history", "store_and_prune",
     "crawl_accept", "validate_targets", "run_summary", "duration_stats", "window_quota",
-    "rule_deals", "crawl_run",
 )
 
 
