@@ -167,8 +167,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def _repeated_tiles(rows: DataFrame, kind: Kind) -> DataFrame:
-    """``anchor tile doc place`` of the tiles whose anchor occurs more than once."""
+def _repeated_tiles(rows: DataFrame, kind: Kind, purpose: str) -> DataFrame:
+    """``anchor tile doc place`` of the tiles whose anchor occurs more than once.
+
+    The anchors are written first: a join of two plain shuffles may be split at a hot one.
+    """
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for values, sizes, _, _ in pieces(utf8(batch.column(0)), kind):
@@ -189,9 +192,9 @@ def _repeated_tiles(rows: DataFrame, kind: Kind) -> DataFrame:
                 _longs(anchor, content, docs[row[piece]], place), names=["anchor", "tile", "doc", "place"]
             )
 
-    again = arrow_map(rows.select("text"), count, "again long, n long").groupBy("again").agg(
+    again = written(arrow_map(rows.select("text"), count, "again long, n long").groupBy("again").agg(
         F.sum("n").alias("n")
-    ).where("n > 1").select("again")
+    ).where("n > 1").select("again"), f"{purpose}-anchors")
     found = arrow_map(rows.select("doc", "text"), all_tiles, "anchor long, tile long, doc long, place long")
     return found.join(again, F.col("anchor") == F.col("again")).drop("again")
 
@@ -204,7 +207,7 @@ def spans(rows: DataFrame, kind: Kind, purpose: str, expand: Callable[..., np.nd
     start in the same document counts; otherwise only other documents do.
     """
     size = kind.window
-    same = written(_repeated_tiles(rows, kind), f"{purpose}-tiles")
+    same = written(_repeated_tiles(rows, kind, purpose), f"{purpose}-tiles")
     first = written(same.groupBy("anchor", "tile").agg(F.min(F.struct("doc", "place")).alias("f")).select(
         "anchor", "tile", F.col("f.doc").alias("doc"), F.col("f.place").alias("place")
     ), f"{purpose}-first")
