@@ -333,15 +333,20 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataF
 
 
 def one_of_each(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
-    """One row of ``docs`` of each component, with all its columns: that of the smallest ``doc_id``.
+    """One row of ``docs`` of each component, with all its columns: that of the smallest ``doc_id``."""
+    return one_of_each_component(docs, near_duplicates(docs, words, distance), "simhash-stay")
+
+
+def one_of_each_component(docs: DataFrame, named: DataFrame, purpose: str) -> DataFrame:
+    """One row of ``docs`` of each ``component`` of ``named`` (``doc_id text_hash component``).
 
     A null ``doc_id`` comes last; of rows that share it the one with the smaller text hash stays,
     of equal rows any.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    stay = written(near_duplicates(docs, words, distance).groupBy("component").agg(
+    stay = written(named.groupBy("component").agg(
         F.min(F.struct(key.alias("__id"), F.col("text_hash").alias("__text"))).alias("s")
-    ).select("s.*"), "simhash-stay")
+    ).select("s.*"), purpose)
     rows = docs.select("*", key.alias("__key"), F.xxhash64("text").alias("__hash"))
     kept = rows.join(stay, (F.col("__key") == F.col("__id")) & (F.col("__hash") == F.col("__text")), "left_semi")
     return kept.dropDuplicates(["__key", "__hash"]).select(*docs.columns)
