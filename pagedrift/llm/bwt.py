@@ -77,7 +77,7 @@ def borders(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     return known[:n]
 
 
-def earlier(values: np.ndarray, n: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+def earlier(values: np.ndarray, n: np.ndarray, doc: np.ndarray, tag: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Of all windows of all contexts: does the same window start at an earlier place?"""
     least = KIND.window
     sizes = n + least - 1
@@ -91,17 +91,17 @@ def earlier(values: np.ndarray, n: np.ndarray, doc: np.ndarray, place: np.ndarra
     group[order] = np.cumsum(borders(text, order, least))
     owner = np.repeat(np.arange(len(n)), n)
     step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    return later_in_group(group[starts[owner] + step], doc[owner], place[owner] + (step << START))
+    return later_in_group(group[starts[owner] + step], doc[owner], tag[owner], place[owner] + (step << START))
 
 
-def later_in_group(group: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+def later_in_group(group: np.ndarray, doc: np.ndarray, tag: np.ndarray, place: np.ndarray) -> np.ndarray:
     place = place >> START
-    order = np.lexsort((place, doc, group))
-    g, d, p = group[order], doc[order], place[order]
+    order = np.lexsort((place, tag, doc, group))
+    g, d, t, p = group[order], doc[order], tag[order], place[order]
     first = np.r_[True, g[1:] != g[:-1]]
     head = np.flatnonzero(first)[np.cumsum(first) - 1]
     out = np.empty(len(group), bool)
-    out[order] = (d != d[head]) | (p != p[head])
+    out[order] = (d != d[head]) | (t != t[head]) | (p != p[head])
     return out
 
 

@@ -14,14 +14,13 @@ Texts cross the network once, grams and tiles as a few longs.  An anchor with mo
 ``MOST_CLASSES`` classes is dealt by whole windows instead, so no task needs all of it; a class of
 any size is met by partial aggregates and by a join that may be split.
 
-A place is (doc_id, hash of the text, start).  A null ``doc_id`` comes before all others; rows that
+A place is (doc_id, 64-bit hash of the text, start); the first two name a row in all joins.  A null ``doc_id`` comes before all others; rows that
 share a ``doc_id`` come in the order of a hash of their text, and equal rows share their places.
 Hashes have 64 bits for anchors and 64 more for contents.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -36,8 +35,8 @@ from .common import arrow_map, partitions, utf8, written
 PIECE = 1 << 17  # units worked on at a time: what fits a core's cache
 MOST_CLASSES = 6000
 FIRST_ID = -(1 << 63)
-#: Bits of a place: tag of 16, start of 32, where the anchor is of 7, number of windows of 8.
-TAG, START, ANCHOR = 47, 15, 8
+#: Bits of a place: the start, where the anchor is of 7, number of windows of 8.
+START, ANCHOR = 15, 8
 
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _BACK = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
@@ -158,17 +157,17 @@ def _longs(*columns: np.ndarray) -> list[pa.Array]:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``doc tag text``: the id without nulls, 16 bits of a text hash, the text without nulls."""
+    """``doc tag text``: the id without nulls, a 64-bit text hash, the text without nulls."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)).alias("doc"),
-        F.crc32(text.cast("binary")).bitwiseAND(0xFFFF).alias("tag"),
+        F.xxhash64(text).alias("tag"),
         text.alias("text"),
     )
 
 
 def _repeated_tiles(rows: DataFrame, kind: Kind, purpose: str) -> DataFrame:
-    """``anchor tile doc place`` of the tiles whose anchor occurs more than once.
+    """``anchor tile doc tag place`` of the tiles whose anchor occurs more than once.
 
     The anchors are written first: a join of two plain shuffles may be split at a hot one.
     """
@@ -180,41 +179,41 @@ def _repeated_tiles(rows: DataFrame, kind: Kind, purpose: str) -> DataFrame:
 
     def all_tiles(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         docs = batch.column(0).to_numpy(zero_copy_only=False)
-        texts = utf8(batch.column(1))
-        tags = np.array([zlib.crc32(t) & 0xFFFF for t in texts], np.int64)
+        tags = batch.column(1).to_numpy(zero_copy_only=False)
+        texts = utf8(batch.column(2))
         for values, sizes, row, offset in pieces(texts, kind):
             start, n, anchor, content, inside = tiles(values, sizes, kind)
             ends = np.cumsum(sizes)
             piece = np.searchsorted(ends, start, "right")
             at = start - (ends - sizes)[piece] + offset[piece]
-            place = (tags[row[piece]] << TAG) | (at << START) | (inside << ANCHOR) | n
+            place = (at << START) | (inside << ANCHOR) | n
             yield pa.RecordBatch.from_arrays(
-                _longs(anchor, content, docs[row[piece]], place), names=["anchor", "tile", "doc", "place"]
+                _longs(anchor, content, docs[row[piece]], tags[row[piece]], place),
+                names=["anchor", "tile", "doc", "tag", "place"],
             )
 
     again = written(arrow_map(rows.select("text"), count, "again long, n long").groupBy("again").agg(
         F.sum("n").alias("n")
     ).where("n > 1").select("again"), f"{purpose}-anchors")
-    found = arrow_map(rows.select("doc", "text"), all_tiles, "anchor long, tile long, doc long, place long")
+    schema = "anchor long, tile long, doc long, tag long, place long"
+    found = arrow_map(rows.select("doc", "tag", "text"), all_tiles, schema)
     return found.join(again, F.col("anchor") == F.col("again")).drop("again")
 
 
 def spans(rows: DataFrame, kind: Kind, purpose: str, expand: Callable[..., np.ndarray], within: bool) -> DataFrame:
     """``doc tag spans``: stretches of units covered by a window that also starts earlier.
 
-    ``expand(values, n, doc, place)`` gets contexts of ``n`` windows each put end to end, and returns
+    ``expand(values, n, doc, tag, place)`` gets contexts of ``n`` windows each put end to end, and returns
     for all their windows whether an earlier place starts the same one.  ``within``: an earlier
     start in the same document counts; otherwise only other documents do.
     """
     size = kind.window
     same = written(_repeated_tiles(rows, kind, purpose), f"{purpose}-tiles")
-    first = written(same.groupBy("anchor", "tile").agg(F.min(F.struct("doc", "place")).alias("f")).select(
-        "anchor", "tile", F.col("f.doc").alias("doc"), F.col("f.place").alias("place")
+    first = written(same.groupBy("anchor", "tile").agg(F.min(F.struct("doc", "tag", "place")).alias("f")).select(
+        "anchor", "tile", "f.doc", "f.tag", "f.place"
     ), f"{purpose}-first")
     several = first.groupBy(F.col("anchor").alias("of")).agg(F.count("*").alias("classes")).where("classes > 1")
-    asked = first.join(several, F.col("anchor") == F.col("of")).groupBy(
-        "doc", F.shiftright("place", TAG).alias("tag")
-    ).agg(F.collect_list(F.struct(
+    asked = first.join(several, F.col("anchor") == F.col("of")).groupBy("doc", "tag").agg(F.collect_list(F.struct(
         "anchor", "tile", "place", (F.col("classes") > MOST_CLASSES).alias("hot")
     )).alias("asked"))
     shared = _shared(_contexts(rows, asked, kind), kind, expand).groupBy(
@@ -222,41 +221,43 @@ def spans(rows: DataFrame, kind: Kind, purpose: str, expand: Callable[..., np.nd
     ).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     named = first.select(
         F.col("anchor").alias("f_anchor"), F.col("tile").alias("f_tile"),
-        F.col("doc").alias("f_doc"), F.col("place").alias("f_place"),
+        F.col("doc").alias("f_doc"), F.col("tag").alias("f_tag"), F.col("place").alias("f_place"),
     ).join(shared, (F.col("f_anchor") == F.col("s_anchor")) & (F.col("f_tile") == F.col("s_tile")), "left")
-    at = F.shiftright("place", START).bitwiseAND((1 << (TAG - START)) - 1)
+    at = F.shiftright("place", START)
     n = F.col("place").bitwiseAND((1 << ANCHOR) - 1)
     is_first = F.col("doc") == F.col("f_doc")
     if within:
-        is_first = is_first & (F.col("place") == F.col("f_place"))
+        is_first = is_first & (F.col("tag") == F.col("f_tag")) & (F.col("place") == F.col("f_place"))
     span = lambda lo, hi: F.struct((at + lo).alias("start"), (at + hi + (size - 1)).alias("end"))
     own = F.transform("ranges", lambda r: span(r["lo"], r["hi"]))
     return same.join(named, (F.col("anchor") == F.col("f_anchor")) & (F.col("tile") == F.col("f_tile"))).where(
         ~is_first | F.col("ranges").isNotNull()
     ).select(
-        F.col("doc").alias("of"), F.shiftright("place", TAG).alias("of_tag"),
+        F.col("doc").alias("of"), F.col("tag").alias("of_tag"),
         F.explode(F.when(is_first, own).otherwise(F.array(span(F.lit(0), n)))).alias("span"),
     ).groupBy("of", "of_tag").agg(F.collect_list("span").alias("spans"))
 
 
 def _contexts(rows: DataFrame, asked: DataFrame, kind: Kind) -> DataFrame:
-    """``key anchor tile doc place lo data``: the values of the tiles asked for, or of each window
+    """``key anchor tile doc tag place lo data``: the values of the tiles asked for, or of each window
     of those whose anchor is hot."""
     few = asked.select(F.col("doc").alias("of"), F.col("tag").alias("of_tag"), "asked")
     joined = rows.join(few, (F.col("doc") == F.col("of")) & (F.col("tag") == F.col("of_tag")))
-    names = ["key", "anchor", "tile", "doc", "place", "lo", "data"]
+    names = ["key", "anchor", "tile", "doc", "tag", "place", "lo", "data"]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in names]
-        for doc, text, tiles_ in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()):
+        for doc, tag, text, tiles_ in zip(
+            batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3).to_pylist()
+        ):
             values = kind.values(text) if kind.words else np.frombuffer(text, np.uint8)
             for tile in tiles_:
-                start = tile["place"] >> START & ((1 << (TAG - START)) - 1)
+                start = tile["place"] >> START
                 n = tile["place"] & ((1 << ANCHOR) - 1)
                 for lo, many in ((i, 1) for i in range(n)) if tile["hot"] else ((0, n),):
                     part = values[start + lo : start + lo + many + kind.window - 1].tobytes()
                     key = xxhash.xxh64_intdigest(part) - (1 << 63) if tile["hot"] else tile["anchor"]
-                    for column, x in zip(out, (key, tile["anchor"], tile["tile"], doc, tile["place"], lo, part)):
+                    for column, x in zip(out, (key, tile["anchor"], tile["tile"], doc, tag, tile["place"], lo, part)):
                         column.append(x)
             if len(out[0]) > 20_000:
                 yield _context_batch(out)
@@ -265,11 +266,11 @@ def _contexts(rows: DataFrame, asked: DataFrame, kind: Kind) -> DataFrame:
             yield _context_batch(out)
 
     def _context_batch(out: list[list]) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 6 + [pa.binary()]
+        kinds = [pa.int64()] * 7 + [pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
-    schema = "key long, anchor long, tile long, doc long, place long, lo long, data binary"
-    return arrow_map(joined.select("doc", "text", "asked"), run, schema)
+    schema = "key long, anchor long, tile long, doc long, tag long, place long, lo long, data binary"
+    return arrow_map(joined.select("doc", "tag", "text", "asked"), run, schema)
 
 
 #: Units of contexts that are searched at a time.
@@ -316,7 +317,9 @@ def _likely(values: np.ndarray, sizes: np.ndarray, inside: np.ndarray, kind: Kin
 
 def _shared(contexts: DataFrame, kind: Kind, expand) -> DataFrame:
     """``anchor tile lo hi``: runs of windows of a context that an earlier one shares."""
-    dealt = contexts.repartition(partitions(contexts.sparkSession), "key").sortWithinPartitions("key", "doc", "place", "lo")
+    dealt = contexts.repartition(partitions(contexts.sparkSession), "key").sortWithinPartitions(
+        "key", "doc", "tag", "place", "lo"
+    )
     unit = np.uint64 if kind.words else np.uint8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,14 +342,14 @@ def _shared(contexts: DataFrame, kind: Kind, expand) -> DataFrame:
     def search(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         columns = list(zip(*held))
         values = np.frombuffer(b"".join(columns[-1]), unit)
-        anchor, tile, doc, place, lo = (np.array(c, np.int64) for c in columns[1:-1])
+        anchor, tile, doc, tag, place, lo = (np.array(c, np.int64) for c in columns[1:-1])
         sizes = np.array([*map(len, columns[-1])], np.int64) // unit().itemsize
         values, n, which, skip = _likely(values, sizes, (place >> ANCHOR & 127) - lo, kind)
         if not len(which):
             return
-        anchor, tile, doc, place, lo = (c[which] for c in (anchor, tile, doc, place, lo))
+        anchor, tile, doc, tag, place, lo = (c[which] for c in (anchor, tile, doc, tag, place, lo))
         lo = lo + skip
-        found = expand(values, n, doc, (place >> START << START) + (lo << START))
+        found = expand(values, n, doc, tag, (place >> START << START) + (lo << START))
         edges = np.flatnonzero(np.diff(np.r_[0, found.astype(np.int8), 0]))
         # A run of shared windows is cut where a context ends.
         starts = np.cumsum(n) - n

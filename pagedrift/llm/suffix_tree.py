@@ -60,7 +60,7 @@ def deep_nodes(common: np.ndarray, depth: int) -> np.ndarray:
     return np.cumsum(common < depth)
 
 
-def earlier(values: np.ndarray, n: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+def earlier(values: np.ndarray, n: np.ndarray, doc: np.ndarray, tag: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Of all windows of all contexts: does the same window start in a smaller document?"""
     depth = KIND.window
     sizes = n + depth - 1

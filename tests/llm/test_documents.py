@@ -101,6 +101,25 @@ def test_hot_anchors_are_dealt_by_windows(spark, tables, monkeypatch, name):
     check(spark, name, tables(documents=docs), docs, expected(name, docs))
 
 
+def test_many_texts_without_an_id(spark, tables):
+    import xxhash
+
+    common = [prose(40 + 7 * i, 900 + i) for i in range(12)]
+    texts = [f"{prose(3 + i % 50, 3000 + i)} {common[i % 12]} {prose(i % 9, 9000 + i)}" for i in range(900)]
+    docs = [(None, t) for t in texts] + [(1, common[0]), (2, f"{common[1]} x {common[2]}"), (3, f"x {common[0]}")]
+    folder = tables(documents=docs)
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64)
+    # Texts without an id come first, in the order of their hash.
+    order = [*sorted(texts, key=signed), *[t for _, t in docs[-3:]]]
+    want = sorted(brute.repeated_bytes(list(enumerate(order))).values())
+    rows = jobs.QUERIES["op5_bwt"](spark, folder).collect()
+    assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows) == want
+    # For words they are one document, that comes before the others.
+    rows = jobs.QUERIES["op6_suffix_tree"](spark, folder).collect()
+    assert len(rows) == len(docs) and not any(r["n_removed"] for r in rows if r["doc_id"] is None)
+    assert {r["doc_id"]: r["n_words"] - r["n_removed"] for r in rows if r["doc_id"]} == {1: 0, 2: 1, 3: 1}
+
+
 def test_tiles_cover_each_window_once():
     import numpy as np
 
