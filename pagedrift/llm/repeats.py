@@ -239,11 +239,12 @@ def spans(rows: DataFrame, kind: Kind, purpose: str, expand: Callable[..., np.nd
 
 
 def _contexts(rows: DataFrame, asked: DataFrame, kind: Kind) -> DataFrame:
-    """``key anchor tile doc tag place lo data``: the values of the tiles asked for, or of each window
-    of those whose anchor is hot."""
+    """``key hot anchor tile doc tag place lo data``: the values of the tiles asked for, or of each
+    window of those whose anchor is hot."""
     few = asked.select(F.col("doc").alias("of"), F.col("tag").alias("of_tag"), "asked")
-    joined = rows.join(few, (F.col("doc") == F.col("of")) & (F.col("tag") == F.col("of_tag")))
-    names = ["key", "anchor", "tile", "doc", "tag", "place", "lo", "data"]
+    # Equal rows are one place: a text is fetched once, however many rows have it.
+    joined = rows.join(few, (F.col("doc") == F.col("of")) & (F.col("tag") == F.col("of_tag"))).dropDuplicates(["doc", "tag"])
+    names = ["key", "hot", "anchor", "tile", "doc", "tag", "place", "lo", "data"]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in names]
@@ -257,7 +258,9 @@ def _contexts(rows: DataFrame, asked: DataFrame, kind: Kind) -> DataFrame:
                 for lo, many in ((i, 1) for i in range(n)) if tile["hot"] else ((0, n),):
                     part = values[start + lo : start + lo + many + kind.window - 1].tobytes()
                     key = xxhash.xxh64_intdigest(part) - (1 << 63) if tile["hot"] else tile["anchor"]
-                    for column, x in zip(out, (key, tile["anchor"], tile["tile"], doc, tag, tile["place"], lo, part)):
+                    for column, x in zip(out, (
+                        key, tile["hot"], tile["anchor"], tile["tile"], doc, tag, tile["place"], lo, part
+                    )):
                         column.append(x)
             if len(out[0]) > 20_000:
                 yield _context_batch(out)
@@ -266,10 +269,10 @@ def _contexts(rows: DataFrame, asked: DataFrame, kind: Kind) -> DataFrame:
             yield _context_batch(out)
 
     def _context_batch(out: list[list]) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 7 + [pa.binary()]
+        kinds = [pa.int64(), pa.bool_()] + [pa.int64()] * 6 + [pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
-    schema = "key long, anchor long, tile long, doc long, tag long, place long, lo long, data binary"
+    schema = "key long, hot boolean, anchor long, tile long, doc long, tag long, place long, lo long, data binary"
     return arrow_map(joined.select("doc", "tag", "text", "asked"), run, schema)
 
 
@@ -318,7 +321,7 @@ def _likely(values: np.ndarray, sizes: np.ndarray, inside: np.ndarray, kind: Kin
 def _shared(contexts: DataFrame, kind: Kind, expand) -> DataFrame:
     """``anchor tile lo hi``: runs of windows of a context that an earlier one shares."""
     dealt = contexts.repartition(partitions(contexts.sparkSession), "key").sortWithinPartitions(
-        "key", "doc", "tag", "place", "lo"
+        "key", "hot", "doc", "tag", "place", "lo"
     )
     unit = np.uint64 if kind.words else np.uint8
 
@@ -330,7 +333,7 @@ def _shared(contexts: DataFrame, kind: Kind, expand) -> DataFrame:
                 if size >= BLOCK and row[0] != held[-1][0]:
                     yield from search(held)
                     held, size = [], 0
-                elif size >= 3 * BLOCK:  # only whole windows of one key: the first stands for all
+                elif size >= 3 * BLOCK and row[1]:  # whole windows of one key: the first stands for all
                     yield from search(held)
                     held = [next(r for r in held if r[0] == row[0])]
                     size = len(held[0][-1])
@@ -342,7 +345,7 @@ def _shared(contexts: DataFrame, kind: Kind, expand) -> DataFrame:
     def search(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         columns = list(zip(*held))
         values = np.frombuffer(b"".join(columns[-1]), unit)
-        anchor, tile, doc, tag, place, lo = (np.array(c, np.int64) for c in columns[1:-1])
+        anchor, tile, doc, tag, place, lo = (np.array(c, np.int64) for c in columns[2:-1])
         sizes = np.array([*map(len, columns[-1])], np.int64) // unit().itemsize
         values, n, which, skip = _likely(values, sizes, (place >> ANCHOR & 127) - lo, kind)
         if not len(which):

@@ -120,6 +120,18 @@ def test_many_texts_without_an_id(spark, tables):
     assert {r["doc_id"]: r["n_words"] - r["n_removed"] for r in rows if r["doc_id"]} == {1: 0, 2: 1, 3: 1}
 
 
+@pytest.mark.parametrize("name", ("op5_bwt", "op6_suffix_tree"))
+def test_many_equal_rows_leave_their_anchor_whole(spark, tables, monkeypatch, name):
+    monkeypatch.setattr(repeats, "BLOCK", 1000)  # few classes, but rows of one beyond three blocks
+    docs = [(i, f"{prose(6, 10 * i)} {' '.join(SHARED.split()[i:])} {prose(6, 700 + i)}") for i in range(12)]
+    want = expected(name, docs)
+    folder = tables(documents=[docs[0]] * 300 + docs[1:6] + [docs[6]] * 300 + docs[7:])
+    rows = jobs.QUERIES[name](spark, folder).collect()
+    assert len(rows) == 610
+    for r in rows:
+        assert {c: r[c] for c in want[r["doc_id"]]} == want[r["doc_id"]]
+
+
 def test_tiles_cover_each_window_once():
     import numpy as np
 
