@@ -4,8 +4,8 @@ Numbers, units after numbers, currency signs and capitalised words within a sent
 placeholders; blanks and marks only separate words.  Windows of five template words of the
 documents are hash-joined with those of the benchmark items.  A document leaks an item when it
 holds at least 0.8 of the item's windows in alignments whose placeholders are filled consistently:
-within a type, equal fillings of the item stand for equal fillings of the document, and different
-for different.  So a question with other numbers and names is caught, also with words put in, and a
+within a type, equal fillings of the item stand for equal fillings of the document; windows with a
+filling that stands for several don't count.  So a question with other numbers and names is caught, also with words put in, and a
 chance likeness of templates is not.
 
 Everything runs as DataFrame functions.  The item windows and the found documents are broadcast
@@ -97,7 +97,9 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     )
     found = aligned.groupBy("doc_id", "text_hash", "item_id").agg(
         F.collect_list(F.struct("shift", "at")).alias("ways"), F.max("n_item").alias("n_item")
-    ).where(F.size(_places(F.col("ways"))) >= least * F.col("n_item"))
+    ).where(F.size(_places(F.col("ways"))) >= least * F.col("n_item")).select(
+        "doc_id", "text_hash", "item_id", "n_item", F.transform("ways", lambda w: w["shift"]).alias("shifts")
+    )
     return _consistent(docs, items, written(found, "leaks"), least)
 
 
@@ -106,9 +108,61 @@ def _places(ways: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(ways, lambda w: w["at"])))
 
 
+def _full(good: Column) -> Column:
+    """Where the windows start all of whose words are good."""
+    return F.filter(
+        F.sequence(F.lit(0), F.size(good) - WINDOW),
+        lambda at: F.forall(F.slice(good, at + 1, WINDOW), lambda g: g),
+    )
+
+
+def _words_of(at: Column) -> Column:
+    """Places of the words of windows."""
+    return F.array_distinct(F.flatten(F.transform(at, lambda x: F.sequence(x, x + (WINDOW - 1)))))
+
+
+def _aligned(shift: Column) -> Column:
+    """``good slots`` of an alignment: whether each word of the item is in the document, and the
+    different fillings of its windows.
+
+    A filling of the item stands for one of the document; words whose filling has several are not
+    good.  Several fillings of the item may share one of the document.
+    """
+
+    def word(at: Column) -> Column:
+        kind, mine = F.get("i_kinds", at), F.get("i_words", at)
+        theirs = F.get("t_words", at + shift)
+        slot = kind.contains("⟨") & (kind == F.get("t_kinds", at + shift))
+        # A word of the item that looks like a name may be one in lower case.
+        same = (F.lower(theirs) == F.lower(mine)) & (~kind.contains(NAME) | (theirs == F.lower(theirs)))
+        return F.struct(
+            F.coalesce(slot, F.lit(False)).alias("slot"), F.coalesce(slot | same, F.lit(False)).alias("ok"),
+            F.struct(kind.alias("kind"), F.lower(mine).alias("item")).alias("of"), F.lower(theirs).alias("doc"),
+        )
+
+    def fillings(read: Column) -> Column:
+        held = F.transform(_words_of(_full(F.transform(read, lambda p: p["ok"]))), lambda at: F.get(read, at))
+        return F.array_distinct(F.transform(F.filter(held, lambda p: p["slot"]), lambda p: F.struct(p["of"], p["doc"])))
+
+    def clashing(slots: Column) -> Column:
+        return _let(F.transform(slots, lambda f: f["of"]), lambda keys: F.when(
+            F.size(F.array_distinct(keys)) < F.size(keys),
+            F.filter(keys, lambda k: F.size(F.filter(keys, lambda x: x == k)) > 1),
+        ).otherwise(F.slice(keys, 1, 0)))
+
+    def judged(read: Column, slots: Column) -> Column:
+        return _let(clashing(slots), lambda bad: F.struct(
+            F.transform(read, lambda p: p["ok"] & ~(p["slot"] & F.array_contains(bad, p["of"]))).alias("good"),
+            F.size(slots).alias("slots"),
+        ))
+
+    read = F.transform(F.sequence(F.lit(0), F.size("i_words") - 1), word)
+    return _let(read, lambda x: _let(fillings(x), lambda slots: judged(x, slots)))
+
+
 def _consistent(docs: DataFrame, items: DataFrame, found: DataFrame, least: float) -> DataFrame:
-    """Those that hold enough windows in alignments whose placeholders are filled alike; looks at
-    the found documents only."""
+    """Those that hold enough of the item in alignments whose placeholders are filled alike; looks
+    at the found documents only."""
     key = ["doc_id", "text_hash"]
     few = found.select(*[F.col(c).alias(f"f_{c}") for c in key]).distinct()
     read = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
@@ -120,36 +174,24 @@ def _consistent(docs: DataFrame, items: DataFrame, found: DataFrame, least: floa
         words(plain(F.col("text"))).alias("t_words"),
         words(template(plain(F.col("text")))).alias("t_kinds"),
     )
+    text = F.coalesce("text", F.lit(""))
     own = items.select(
-        F.col("item_id").alias("i_item_id"), words(plain(F.coalesce("text", F.lit("")))).alias("i_words")
+        F.col("item_id").alias("i_item_id"), words(plain(text)).alias("i_words"), F.slice(words(template(plain(F.concat(F.lit("x "), F.ltrim(text))))), 2, 1 << 30).alias("i_kinds"),
     ).dropDuplicates(["i_item_id"])
     both = found.join(
         theirs, found["doc_id"].eqNullSafe(theirs["t_doc_id"]) & (found["text_hash"] == theirs["t_text_hash"])
     ).join(own, found["item_id"].eqNullSafe(own["i_item_id"]))
-
-    def fillings(way: Column) -> Column:
-        """(type, filling of the item, filling of the document) of the slots in an alignment."""
-        places = F.array_distinct(F.flatten(F.transform(
-            way["at"], lambda at: F.sequence(at, at + (WINDOW - 1))
-        )))
-        return F.array_distinct(F.filter(F.transform(places, lambda at: F.struct(
-            F.regexp_extract(F.get("t_kinds", at + way["shift"]), SLOT, 0).alias("kind"),
-            F.lower(F.get("i_words", at)).alias("item"),
-            F.lower(F.get("t_words", at + way["shift"])).alias("doc"),
-        )), lambda s: s["kind"] != ""))
-
-    def alike(slots: Column) -> Column:
-        one = lambda side: F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(s["kind"], s[side]))))
-        return (one("item") == F.size(slots)) & (one("doc") == F.size(slots))
-
-    filled = both.withColumn("ways", F.transform("ways", lambda w: F.struct(
-        w["at"].alias("at"), fillings(w).alias("slots")
-    ))).withColumn("ways", F.filter("ways", lambda w: alike(w["slots"])))
-    return filled.withColumn("n_windows", F.size(_places(F.col("ways"))).cast("long")).where(
+    judged = both.select(
+        *key, "item_id", "n_item", F.size("i_words").alias("n_words"),
+        F.transform("shifts", _aligned).alias("ways"),
+    ).withColumn("ways", F.filter(F.transform("ways", lambda w: F.struct(
+        _full(w["good"]).alias("at"), w["good"].alias("good"), w["slots"].alias("slots")
+    )), lambda w: F.size(w["at"]) > 0))
+    return judged.withColumn("n_windows", F.size(_places(F.col("ways"))).cast("long")).where(
         F.col("n_windows") >= least * F.col("n_item")
     ).select(
         *key, "item_id", "n_windows", "n_item",
-        F.array_max(F.transform("ways", lambda w: F.size(w["slots"]))).cast("long").alias("n_slots"),
+        F.array_max(F.transform("ways", lambda w: w["slots"])).cast("long").alias("n_slots"),
     )
 
 

@@ -128,6 +128,17 @@ def test_reparameterised_questions(spark, tables):
     assert leaks(spark, tables()) == set() == leaks(spark, tables(documents=docs))
 
 
+def test_fillings_may_coincide(spark, tables):
+    item = "a shop sells 3 apples and 5 pears so that Ann pays Bob for all of the fruit on that day"
+    docs = [(1, item.replace("3", "4").replace("5", "4")), (2, item.replace("Ann", "Eve").replace("Bob", "Eve")), (3, MIXED)]
+    twice = "there are 2 apples in one very large and heavy old box of wood that stands by the wall next to 2 pears"
+    docs += [(4, twice.replace("2", "3", 1).replace("2", "5")), (5, twice.replace("2", "7"))]
+    long = " and ".join(["so many plain words without a number follow here that"] * 1 + [twice, "some more of them come at the end as well to be whole"])
+    docs += [(6, long.replace("2", "3", 1).replace("2", "5"))]
+    folder = tables(documents=docs, benchmark=[(1, item), (2, ITEM), (3, long)])
+    assert leaks(spark, folder) >= {(1, 1), (2, 1), (6, 3)} and not any(d == 3 for d, _ in leaks(spark, folder))
+
+
 def test_benchmark_passages_of_given_tables(spark, monkeypatch):
     duck = duckdb.connect()
     want = set(duck.execute(f"""select doc_id, item_id from '{SF_DIR}/documents.parquet' d, '{SF_DIR}/benchmark.parquet' b
