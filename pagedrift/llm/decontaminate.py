@@ -1,19 +1,19 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, units after numbers, currency signs and capitalised words within a sentence become typed
-placeholders; blanks and marks only separate words.  Windows of five template words of the
+Numbers, units after numbers, currency signs and capitalised words become typed placeholders; blanks and marks only separate words.  Windows of five template words of the
 documents are hash-joined with those of the benchmark items.  A document leaks an item when it
 holds at least 0.8 of the item's windows in alignments whose placeholders are filled consistently:
 within a type, equal fillings of the item stand for equal fillings of the document; windows with a
 filling that stands for several don't count.  So a question with other numbers and names is caught, also with words put in, and a
-chance likeness of templates is not.
+chance likeness of templates is not.  A capitalised word is a name wherever it stands: the first word
+of a sentence is one in the item and in its copy alike.  Items are also looked for in lower case.
 
 Everything runs as DataFrame functions.  The item windows and the found documents are broadcast
 only below a checked number of rows, and shuffled beyond it, with the same result.
 
 Defined cases: null texts have no words; an item of fewer than five words has no window and is not
-looked for; the first word of an item counts as a name too, as it may stand within a sentence of a
-document; rows that are equal in ``doc_id`` and text share their result.
+looked for; the first word of an item may be in lower case; a name in capitals throughout stands for
+no other name, nor for its own; rows that are equal in ``doc_id`` and text share their result.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import bounded, prepare, table, written
 
 WINDOW, LEAST = 5, 0.8
+#: Windows by which a document is looked at word by word.
+SEEDS = 3
 #: Units that follow a number, marks that separate words.
 UNITS = (
     "mm|cm|km|m|mg|kg|g|t|ml|cl|l|s|ms|min|h|kmh|mph|w|kw|v|a|j|kj|hz|khz|mhz|ghz|kb|mb|gb|tb|"
@@ -50,9 +52,9 @@ def plain(text: Column) -> Column:
 
 def template(text: Column) -> Column:
     """Of a :func:`plain` text: as many words, the varying ones replaced by their type."""
-    out = F.regexp_replace(text, r"(?<=\p{Ll}[\x20\x09-\x0D])\p{Lu}[\p{Ll}]+(?![\p{L}])", NAME)
-    out = F.regexp_replace(out, r"[0-9][0-9·]*", NUMBER)
+    out = F.regexp_replace(text, r"[0-9][0-9·]*", NUMBER)
     out = F.regexp_replace(out, f"(?i)({NUMBER}[\\x20\\x09-\\x0D]?)(?:{UNITS})(?![\\p{{L}}0-9⟨])", f"$1{UNIT}")
+    out = F.regexp_replace(out, r"(?<![^\x20\x09-\x0D])\p{Lu}\p{L}*\p{Ll}\p{L}*(?!\p{L})", NAME)
     return F.lower(F.regexp_replace(out, r"[$€£¥%°]", UNIT))
 
 
@@ -72,11 +74,11 @@ def windows(tokens: Column) -> Column:
 def item_windows(items: DataFrame) -> DataFrame:
     """``item_id n_item hash at``: the windows of each item and how many places they have."""
     base = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    # Read on their own and within a sentence, where the first word may look like a name.
-    ways = F.array(
-        words(template(plain(F.col("text")))),
-        F.slice(words(template(plain(F.concat(F.lit("x "), F.ltrim("text"))))), 2, 1 << 30),
-    )
+    # With names, with a first word within a sentence, and all in lower case.
+    text = plain(F.col("text"))
+    ways = _let(words(template(text)), lambda named: _let(words(template(F.lower(text))), lambda literal: F.array(
+        named, F.concat(F.slice(literal, 1, 1), F.slice(named, 2, 1 << 30)), literal
+    )))
     each = base.select("item_id", F.explode(ways).alias("words"))
     placed = each.select("item_id", F.posexplode(windows(F.col("words"))).alias("at", "hash")).distinct()
     n = placed.groupBy(F.col("item_id").alias("of")).agg(F.count_distinct("at").alias("n_item"))
@@ -97,7 +99,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     )
     found = aligned.groupBy("doc_id", "text_hash", "item_id").agg(
         F.collect_list(F.struct("shift", "at")).alias("ways"), F.max("n_item").alias("n_item")
-    ).where(F.size(_places(F.col("ways"))) >= least * F.col("n_item")).select(
+    ).where(F.size(_places(F.col("ways"))) >= F.least(least * F.col("n_item"), F.lit(SEEDS))).select(
         "doc_id", "text_hash", "item_id", "n_item", F.transform("ways", lambda w: w["shift"]).alias("shifts")
     )
     return _consistent(docs, items, written(found, "leaks"), least)
@@ -176,7 +178,7 @@ def _consistent(docs: DataFrame, items: DataFrame, found: DataFrame, least: floa
     )
     text = F.coalesce("text", F.lit(""))
     own = items.select(
-        F.col("item_id").alias("i_item_id"), words(plain(text)).alias("i_words"), F.slice(words(template(plain(F.concat(F.lit("x "), F.ltrim(text))))), 2, 1 << 30).alias("i_kinds"),
+        F.col("item_id").alias("i_item_id"), words(plain(text)).alias("i_words"), words(template(plain(text))).alias("i_kinds"),
     ).dropDuplicates(["i_item_id"])
     both = found.join(
         theirs, found["doc_id"].eqNullSafe(theirs["t_doc_id"]) & (found["text_hash"] == theirs["t_text_hash"])

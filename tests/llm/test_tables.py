@@ -139,6 +139,19 @@ def test_fillings_may_coincide(spark, tables):
     assert leaks(spark, folder) >= {(1, 1), (2, 1), (6, 3)} and not any(d == 3 for d, _ in leaks(spark, folder))
 
 
+def test_names_anywhere_and_in_lower_case(spark, tables):
+    item = ("Tom has 5 apples. Tom buys 3 more of them at the store. Then Tom, Jerry and Spike eat 4. "
+            "\"Maria\" counts 7 (Ines, 2) and asks: How many apples are left for Tom?")
+    other = item
+    for a, b in (("Tom", "Ahmed"), ("Jerry", "Lee"), ("Spike", "Noor"), ("Maria", "Olga"), ("Ines", "Pia"), ("5", "9")):
+        other = other.replace(a, b)
+    swapped = other.replace("Ahmed", "Tom", 1)
+    docs = [(1, item), (2, other), (3, f"He said: {other} And so on."), (4, item.lower()), (5, "so " + item[0].lower() + item[1:]),
+            (6, "Tom has a dog. Then Jerry and Spike sleep. How many are left for Tom?"), (7, swapped)]
+    found = leaks(spark, tables(documents=docs, benchmark=[(1, item)]))
+    assert {d for d, _ in found} - {7} == {1, 2, 3, 4, 5}
+
+
 def test_benchmark_passages_of_given_tables(spark, monkeypatch):
     duck = duckdb.connect()
     want = set(duck.execute(f"""select doc_id, item_id from '{SF_DIR}/documents.parquet' d, '{SF_DIR}/benchmark.parquet' b
