@@ -5,7 +5,8 @@ documents are hash-joined with those of the benchmark items.  A document leaks a
 holds at least 0.8 of the item's windows in alignments whose placeholders are filled consistently:
 within a type, equal fillings of the item stand for equal fillings of the document; windows with a
 filling that stands for several don't count.  So a question with other numbers and names is caught, also with words put in, and a
-chance likeness of templates is not.  A capitalised word is a name wherever it stands: the first word
+chance likeness of templates is not.  A run of 15 words of a longer item is a leak as well, and so are
+0.95 of the words of an item in their places: single changed or inserted words don't hide it.  A capitalised word is a name wherever it stands: the first word
 of a sentence is one in the item and in its copy alike.  Items are also looked for in lower case.
 
 Everything runs as DataFrame functions.  The item windows and the found documents are broadcast
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import bounded, prepare, table, written
 
 WINDOW, LEAST = 5, 0.8
+#: A run of so many words of an item is a leak too, and so is this share of its words in their places.
+RUN, WORDS = 15, 0.95
 #: Windows by which a document is looked at word by word.
 SEEDS = 3
 #: Units that follow a number, marks that separate words.
@@ -162,6 +165,21 @@ def _aligned(shift: Column) -> Column:
     return _let(read, lambda x: _let(fillings(x), lambda slots: judged(x, slots)))
 
 
+def _run(good: Column) -> Column:
+    """Words of the longest run of good ones."""
+    return F.aggregate(good, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda a, g: _let(
+        F.when(g, a["now"] + 1).otherwise(0), lambda now: F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+    ), lambda a: a["most"])
+
+
+def _held(good: Column) -> Column:
+    return F.size(F.filter(good, lambda g: g))
+
+
+def _most(ways: str, of) -> Column:
+    return F.coalesce(F.array_max(F.transform(ways, lambda w: of(w["good"]))), F.lit(0))
+
+
 def _consistent(docs: DataFrame, items: DataFrame, found: DataFrame, least: float) -> DataFrame:
     """Those that hold enough of the item in alignments whose placeholders are filled alike; looks
     at the found documents only."""
@@ -190,7 +208,10 @@ def _consistent(docs: DataFrame, items: DataFrame, found: DataFrame, least: floa
         _full(w["good"]).alias("at"), w["good"].alias("good"), w["slots"].alias("slots")
     )), lambda w: F.size(w["at"]) > 0))
     return judged.withColumn("n_windows", F.size(_places(F.col("ways"))).cast("long")).where(
-        F.col("n_windows") >= least * F.col("n_item")
+        (F.col("n_windows") >= least * F.col("n_item"))
+        | (_most("ways", _run) >= RUN)
+        | (_most("ways", _held) >= WORDS * F.col("n_words"))
+        | (F.size(_words_of(_places(F.col("ways")))) >= WORDS * F.col("n_words"))
     ).select(
         *key, "item_id", "n_windows", "n_item",
         F.array_max(F.transform("ways", lambda w: w["slots"])).cast("long").alias("n_slots"),

@@ -152,6 +152,17 @@ def test_names_anywhere_and_in_lower_case(spark, tables):
     assert {d for d, _ in found} - {7} == {1, 2, 3, 4, 5}
 
 
+def test_long_parts_and_single_changed_words(spark, tables):
+    item = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(59))
+    small = " ".join(f"v{chr(97 + i)}" for i in range(20))
+    w, v = item.split(), small.split()
+    docs = [(1, " ".join(w[:45])), (2, f"before it {' '.join(w[20:50])} after it"), (3, " ".join(w[:14])), (4, " ".join(w[30:44]) + " x " + " ".join(w[:14])),
+            (11, " ".join([*v[:9], "other", *v[10:]])), (12, " ".join([*v[:2], "other", *v[3:]])), (13, " ".join([*v[:9], "more", *v[9:]])),
+            (14, " ".join([*v[:6], "x", *v[7:13], "y", *v[14:]])), (15, " ".join(v[:12]))]
+    found = leaks(spark, tables(documents=docs, benchmark=[(1, item), (2, small)]))
+    assert found == {(1, 1), (2, 1), (11, 2), (12, 2), (13, 2)}
+
+
 def test_benchmark_passages_of_given_tables(spark, monkeypatch):
     duck = duckdb.connect()
     want = set(duck.execute(f"""select doc_id, item_id from '{SF_DIR}/documents.parquet' d, '{SF_DIR}/benchmark.parquet' b
