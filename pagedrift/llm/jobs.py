@@ -10,6 +10,7 @@ from .bwt import op5_bwt
 from .decontaminate import op3_decontaminate
 from .merkle import op1_merkle
 from .mixing import op8_mixing
+from .neighbours import op13_neighbours
 from .quality import op10_quality
 from .secrets import OP2_SQL, op2_secrets
 from .sharding import op4_sharding
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
+    "op13_neighbours": op13_neighbours,
 }
 SQL: dict[str, str] = {
     "op2_secrets": OP2_SQL,
