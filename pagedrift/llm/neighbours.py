@@ -38,10 +38,10 @@ DEGREE, ROOM = 32, 48
 BUILD_WIDTH, OPENED, ALPHA = 24, 8, 1.1
 #: The beam of a shard is widened from ``LEAST_WIDTH`` until its search finds this share of the nearest
 #: of so many of its own nodes (compared with all nodes of the shard).
-LEAST_WIDTH, RECALL, PROBES = 32, 0.95, 64
-#: Searches that walk side by side, and bytes of the queries that meet a shard in one task.
+LEAST_WIDTH, RECALL, PROBES = 32, 0.97, 128
+#: Searches that walk side by side; bytes of the queries of one task and of the vectors scored at once.
 SIDE_BY_SIDE = 256
-QUERY_BYTES = 16 << 20
+QUERY_BYTES, SCORED_BYTES = 16 << 20, 16 << 20
 
 
 def level(vectors: np.ndarray) -> np.ndarray:
@@ -55,6 +55,13 @@ def level(vectors: np.ndarray) -> np.ndarray:
     return (np.column_stack([wide, rest]) / scale).astype(np.float32)
 
 
+def as_queries(vectors: np.ndarray) -> np.ndarray:
+    """Queries for the nodes of :func:`level`; their length does not matter."""
+    wide = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    wide /= np.sqrt(np.einsum("ij,ij->i", wide, wide))[:, None]
+    return np.column_stack([wide, np.zeros(len(wide))]).astype(np.float32)
+
+
 def beam(nodes: np.ndarray, edges: np.ndarray, queries: np.ndarray, start: int, width: int,
          opened: int = OPENED) -> tuple[np.ndarray, np.ndarray]:
     """The ``width`` best nodes each query met, best first (-1: none), and their inner products."""
@@ -208,11 +215,12 @@ def _reach(nodes, edges, filled, start, width) -> np.ndarray:
     return edges
 
 
-def width_for(nodes: np.ndarray, edges: np.ndarray, start: int, nearest: int) -> int:
-    """The beam width that finds the share ``RECALL`` of the ``nearest`` nodes of some of the nodes."""
+def width_for(vectors: np.ndarray, nodes: np.ndarray, edges: np.ndarray, start: int, nearest: int) -> int:
+    """The beam width that finds the share ``RECALL`` of the ``nearest`` nodes of some of the vectors."""
     n = len(nodes)
     probes = np.unique(np.linspace(0, n - 1, PROBES).astype(np.int64))
-    near = nodes[probes] @ nodes.T
+    queries = as_queries(vectors[probes])
+    near = queries @ nodes.T
     near[np.arange(len(probes)), probes] = -np.inf
     nearest = min(nearest, n - 1)
     if nearest < 1:
@@ -220,7 +228,7 @@ def width_for(nodes: np.ndarray, edges: np.ndarray, start: int, nearest: int) ->
     wanted = -np.partition(-near, nearest - 1, axis=1)[:, nearest - 1 : nearest]
     width = LEAST_WIDTH
     while width < n:
-        found, _ = beam(nodes, edges, nodes[probes], start, width)
+        found, _ = beam(nodes, edges, queries, start, width)
         hit = np.take_along_axis(near, np.maximum(found, 0), 1)
         hit[found < 0] = -np.inf
         if np.minimum((hit >= wanted).sum(axis=1), nearest).sum() >= RECALL * nearest * len(probes):
@@ -290,7 +298,7 @@ def index(vectors: DataFrame, sizes: DataFrame, k: int = NEAREST) -> DataFrame:
         nearest = -(-2 * k // rows["shards"][0].as_py()) + 2
         return pa.Table.from_pylist([{
             "dim": dim, "shard": rows["shard"][0].as_py(),
-            "width": width_for(wide, edges, start, min(nearest, k)), "start": start, "room": edges.shape[1],
+            "width": width_for(vectors, wide, edges, start, min(nearest, k)), "start": start, "room": edges.shape[1],
             "ids": rows["ids"].to_pylist(), "vectors": vectors.tobytes(), "edges": edges.tobytes(),
         }], schema=schema)
 
@@ -327,16 +335,16 @@ def search(queries: DataFrame, indexed: DataFrame, sizes: DataFrame, k: int = NE
         _, one, of = np.unique(asking["h"].to_numpy(), return_index=True, return_inverse=True)
         same = (query == query[one][of]).all(axis=1)
         one, of = (one, of) if same.all() else (np.arange(len(query)), np.arange(len(query)))
-        flat = query / np.sqrt(np.einsum("ij,ij->i", query, query))[:, None]
-        flat = np.column_stack([np.nan_to_num(flat), np.zeros(len(flat))]).astype(np.float32)
-        keep = min(width, 2 * k + 2)
+        flat = as_queries(query)
+        # So many queries are scored at once that their vectors stay small.
+        few = max(1, min(SIDE_BY_SIDE, SCORED_BYTES // (8 * dim * width)))
         met = np.concatenate([
-            beam(nodes, edges, flat[one[i : i + SIDE_BY_SIDE]], start, width)[0][:, :keep]
+            beam(nodes, edges, flat[one[i : i + SIDE_BY_SIDE]], start, width)[0]
             for i in range(0, len(one), SIDE_BY_SIDE)
         ])
         out = []
-        for i in range(0, len(query), SIDE_BY_SIDE):
-            row, column = np.nonzero(met[of[i : i + SIDE_BY_SIDE]] >= 0)
+        for i in range(0, len(query), few):
+            row, column = np.nonzero(met[of[i : i + few]] >= 0)
             node = met[of[i + row], column]
             score = np.einsum("ij,ij->i", vectors[node], query[i + row])
             many = first[node + 1] - first[node]

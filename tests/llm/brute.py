@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 
 
 def sha(data) -> str:
@@ -102,3 +103,103 @@ def secrets(text):
             if size >= {"assign": 6, "access": 20, "hex": 24}[kind]:
                 out.append((m.start(), n, m.end(), kind))
     return [(s, e, k) for s, _, e, k in sorted(out)]
+
+
+def planted(doc_id, words):
+    """The words of a document, of which one in ten repeats from some word on."""
+    n, h = len(words), zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return list(words)
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+def periodic(words):
+    """[(start, length, period)] of all runs, by trying every period."""
+    found = {}
+    for q in range(1, len(words) // 4 + 1):
+        start = 0
+        for i in range(q, len(words) + 1):
+            if i == len(words) or words[i] != words[i - q]:
+                if i - start >= max(6, 4 * q):
+                    found.setdefault((start, i - start), q)
+                start = i - q + 1
+    return sorted(((s, n, q) for (s, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def run_digests(docs):
+    """{doc_id: the columns of the query} for distinct ids."""
+    out = {}
+    for doc_id, text in docs:
+        words = planted(doc_id, WORDS.findall(text or ""))
+        runs = periodic(words)
+        drop = {i for s, n, q in runs for i in range(s + q, s + n)}
+        best = min(runs, key=lambda r: (-r[1], r[0], r[2]), default=(None, None, None))
+        out[doc_id] = {
+            "n_runs": len(runs), "start": best[0], "length": best[1], "period": best[2],
+            "exponent_milli": 1000 * best[1] // best[2] if runs else None,
+            "runs_sha256": sha("".join(f"{s},{n},{q}\n" for s, n, q in runs)),
+            "collapsed_sha256": sha(" ".join(w for i, w in enumerate(words) if i not in drop)),
+        }
+    return out
+
+
+def manifest(rows):
+    """Columns of the query in the order of the leaves, from (doc_id, source, lang, n_chars, text)."""
+
+    def tree(nodes):
+        """The root and for each node its siblings: (whether it is the left one, hash or '')."""
+        proofs, below, level = [[] for _ in nodes], [[i] for i in range(len(nodes))], list(nodes)
+        while len(level) > 1:
+            for i, members in enumerate(below):
+                other = level[i ^ 1] if i ^ 1 < len(level) else ""
+                for m in members:
+                    proofs[m].append((i % 2 == 1, other))
+            level = [sha("".join(level[i : i + 2])) for i in range(0, len(level), 2)]
+            below = [sum(below[i : i + 2], []) for i in range(0, len(below), 2)]
+        return level[0], proofs
+
+    def leaf(row):
+        return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+    groups = {}
+    for row in rows:
+        groups.setdefault(row[2], []).append(row)
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    parts = []
+    for lang in order:
+        members = sorted(groups[lang], key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+        parts.append((members, *tree([leaf(r) for r in members])))
+    root, above = tree([p[1] for p in parts])
+    out = []
+    for (members, subroot, proofs), more in zip(parts, above):
+        for row, proof in zip(members, proofs):
+            path, changed = proof + more, list(row)
+            if row[0] is not None and zlib.crc32(str(row[0]).encode()) % 7 == 0 and row[3] is not None:
+                changed[3] += 1
+            now = leaf(changed)
+            for left, other in path:
+                now = sha(other + now if left else now + other)
+            out.append((row[0], leaf(row), subroot, root, sha("".join(h for _, h in path)), now, now == root))
+    return out
+
+
+def nearest(rows, k=20, every=20):
+    """[(query_id, rank, vec_id, score)] over all pairs; rows of one id don't find each other."""
+    import math
+
+    rows = sorted({
+        (i, tuple(x + 0.0 for x in v)) for i, v in rows
+        if v and all(x is not None and math.isfinite(x) for x in v) and any(v)
+    }, key=str)
+    out = []
+    for q, a in rows:
+        if q is None or q % every:
+            continue
+        found = sorted(
+            ((-sum(x * y for x, y in zip(a, b)), i is None, i or 0, i) for i, b in rows if i != q and len(a) == len(b)),
+        )[:k]
+        out += [(q, r, f[3], -f[0]) for r, f in enumerate(found, 1)]
+    return out
