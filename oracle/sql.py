@@ -294,6 +294,99 @@ def promos(blocks: str) -> str:
 
 TEXTS = f"(select doc_id, text from documents union all select doc_id, text from {D('noted_texts')} n)"
 SQL["container_explode"] = f"select page_id, pos, block from {lazy_blocks('pages', ['ad'])}"
+
+# Elements by selectors with steps: the tags of a page are walked one by one, all pages at a time.  A step is
+# what joins it to the one before (',', ' ' or '>') and what its tag must fulfil.
+VOID = ("script", "style", "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
+NEXT_ENDS = ("li", "p", "td", "th", "tr", "dt", "dd", "option")
+ATTRIBUTES = """(?:"[^"]*"|'[^']*'|[^'">])*"""
+TAGS = lit(
+    r"(?is)<!--.*?(?:-->|\z)|<![^>]*>|<script(?:[\s/]" + ATTRIBUTES + r")?>.*?(?:</script\s*>|\z)|<style(?:[\s/]"
+    + ATTRIBUTES + r")?>.*?(?:</style\s*>|\z)|</[a-z][a-z0-9:-]*\s*>|<[a-z][a-z0-9:-]*(?:[\s/]" + ATTRIBUTES + ")?>")
+ATTRIBUTE = lit(r"""[\s/]([A-Za-z0-9_:-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+
+
+def has_class(name: str) -> str:
+    return f"list_contains(string_split_regex(coalesce(given['class'], ''), '\\s+'), '{name}')"
+
+
+PROMO, DEALS, ANY_DIV = has_class("promo"), has_class("deals"), "name = 'div'"
+PAGE_STEPS = {
+    "nav > ul > li a": [(",", "name = 'nav'"), (">", "name = 'ul'"), (">", "name = 'li'"), (" ", "name = 'a'")],
+    "article > p": [(",", "name = 'article'"), (">", "name = 'p'")],
+    "b p": [(",", "name = 'b'"), (" ", "name = 'p'")],
+    ".ad": [(",", has_class("ad"))],
+    'a[href^="/the"]': [(",", "name = 'a' and lower(given['href']) like '/the%'")],
+}
+NESTED_STEPS = {
+    ".promo": [(",", PROMO)],
+    "div.deals > .promo": [(",", f"{ANY_DIV} and {DEALS}"), (">", PROMO)],
+    ".deals .promo": [(",", DEALS), (" ", PROMO)],
+    "ul > li.promo, section .promo": [(",", "name = 'ul'"), (">", f"name = 'li' and {PROMO}"), (",", "name = 'section'"), (" ", PROMO)],
+    '[data-kind="plain"]': [(",", "given['data-kind'] = 'plain'")],
+    'a[href$=".html"]': [(",", "name = 'a' and given['href'] like '%.html'")],
+    "div div div": [(",", ANY_DIV), (" ", ANY_DIV), (" ", ANY_DIV)],
+    "b": [(",", "name = 'b'")],
+    "#top > .wrap > *": [(",", "given['id'] = 'top'"), (">", has_class("wrap")), (">", "true")],
+    ".promo .perk": [(",", PROMO), (" ", has_class("perk"))],
+    "[class~=late], [alt*='promo']": [(",", has_class("late")), (",", "given['alt'] like '%promo%'")],
+    "div.deals": [(",", f"{ANY_DIV} and {DEALS}")],
+}
+
+
+def elements(pages: str, steps: dict[str, list[tuple[str, str]]]) -> str:
+    """page_id, selector, pos and block of the elements of (page_id, html)."""
+    plans, own = [], []
+    for selector, path in steps.items():
+        bits = [sum(1 << i for i, (join, _) in enumerate(path) if join == sign) for sign in (",", ">", " ")]
+        last = sum(1 << i for i in range(len(path)) if i + 1 == len(path) or path[i + 1][0] == ",")
+        plans.append(f"({lit(selector)}, {', '.join(map(str, [*bits, last]))})")
+        fits = " + ".join(f"case when {test} then {1 << i} else 0 end" for i, (_, test) in enumerate(path))
+        own.append(f"when {lit(selector)} then {fits}")
+    void, ends = (", ".join(map(lit, names)) for names in (VOID, NEXT_ENDS))
+    return f"""(with recursive
+ pages_ as (select page_id, html from {pages} p),
+ plans(selector, first, child, below, last) as (values {", ".join(plans)}),
+ split as (select page_id, unnest(regexp_extract_all(html, {TAGS})) as tag, unnest(list_slice(gaps, 1, -2)) as gap,
+   generate_subscripts(list_slice(gaps, 1, -2), 1) as i from (select *, string_split_regex(html, {TAGS}) as gaps from pages_)),
+ placed as (select *, sum(length(gap) + length(tag)) over (partition by page_id order by i) as hi,
+   lower(regexp_extract(tag, '^</?([A-Za-z][A-Za-z0-9:-]*)', 1)) as name, regexp_extract_all(tag, {ATTRIBUTE}, 1) as names,
+   regexp_extract_all(tag, {ATTRIBUTE}, 2) as vals from split),
+ read as (select page_id, i, hi, hi - length(tag) as lo, name,
+   case when name = '' then 'none' when tag like '</%' then 'close' when name in ({void}) or tag like '%/>' then 'void' else 'open' end as kind,
+   map_from_entries(list_distinct(list_transform(names, lambda n, j: struct_pack(k := lower(n), v :=
+     regexp_replace(coalesce(vals[j], ''), '^["'']|["'']$', '', 'g'))))) as given from placed),
+ tokens as (select r.*, p.*, case p.selector {" ".join(own)} end as own from read r cross join plans p),
+ walk as (
+  select page_id, selector, 0::bigint as i, []::struct(name varchar, path bigint, above bigint, f bigint, hit boolean)[] as open,
+   []::struct(f bigint, u bigint)[] as spans from pages_ cross join plans
+  union all
+  select page_id, selector, i, case when kind = 'open' then list_append(kept, struct_pack(name := name, path := m,
+      above := coalesce(kept[-1].above, 0) | m, f := hi, hit := m & last <> 0)) else kept end,
+   list_concat(list_transform(list_filter(open[len(kept) + 1:], lambda e: e.hit), lambda e: struct_pack(f := e.f, u := lo)),
+     case when kind = 'void' and m & last <> 0 then [struct_pack(f := hi, u := hi)] else [] end)
+  from (select *, own & (first | ((coalesce(kept[-1].path, 0) << 1) & child) | ((coalesce(kept[-1].above, 0) << 1) & below)) as m
+   from (select t.*, w.open, case
+      when t.kind = 'close' and list_contains(list_transform(w.open, lambda e: e.name), t.name) then
+        w.open[:len(w.open) - list_position(list_reverse(list_transform(w.open, lambda e: e.name)), t.name)]
+      when t.kind = 'open' and t.name in ({ends}) and w.open[-1].name = t.name then w.open[:len(w.open) - 1]
+      else w.open end as kept
+     from walk w join tokens t on t.page_id = w.page_id and t.selector = w.selector and t.i = w.i + 1))),
+ found as (
+  select page_id, selector, unnest(spans, recursive := true) from walk where len(spans) > 0
+  union all
+  select w.page_id, w.selector, e.f, length(p.html) from
+   (select page_id, selector, unnest(max_by(open, i)) as e from walk group by page_id, selector) w join pages_ p using (page_id)
+  where e.hit)
+ select page_id, selector, row_number() over (partition by page_id, selector order by f, u) - 1 as pos,
+  substr(html, f + 1, u - f) as block from found join pages_ using (page_id))"""
+
+
+SQL["selector_tree"] = f"""select * from {elements('pages', PAGE_STEPS)} a
+union all select * from {elements(D('nested_pages'), NESTED_STEPS)} b"""
+BOXED = f"""(select e.page_id, n.url, e.pos, e.block from {elements(D('nested_pages'), {k: NESTED_STEPS[k] for k in ['div.deals > .promo']})} e
+ join {D('nested_pages')} n using (page_id))"""
+SQL["selector_promos"] = f"select url, pos, id, title, perk, dates, price from {promos(BOXED)}"
 SQL["promo_fields"] = f"select page_id, pos, title, perk, dates, price from {fields(balanced_blocks(OFFERS, CLASSES))}"
 SQL["build_promos"] = f"select page_id, pos, id, title, perk, dates, price from {promos(balanced_blocks(OFFERS, CLASSES))}"
 SQL["promos_from_text"] = f"""select doc_id, {S.promo_id('t_title', 't_perk', 't_dates', 't_price')} as id,

@@ -19,6 +19,7 @@ from ..functions.text import (
 )
 from ..schemas import FIELDS
 from .common import compute_once
+from .selectors import element_blocks, understood
 
 
 # One element: a tag name, and classes, ids and attribute names it must have.
@@ -56,12 +57,19 @@ def container_pattern(selector: Column) -> Column:
     return F.when(known, pattern)
 
 
+def selector_supported(selector: Column, mode: str = "lazy") -> Column:
+    return understood(selector) if mode == "tree" else container_pattern(selector).isNotNull()
+
+
 def container_blocks(html: Column, selector: Column | str, mode: str = "lazy") -> Column:
     """Content of every container element, in page order; null for an unsupported selector.
 
     ``lazy`` ends a container at its first closing tag, ``balanced`` at the next container (or
-    the end of the page), ``last`` keeps only the last lazy container.
+    the end of the page), ``last`` keeps only the last lazy container.  ``tree`` ends each at its own
+    closing tag and takes all selectors of :mod:`.selectors`.
     """
+    if mode == "tree":
+        return element_blocks(html, selector)
     opening = container_pattern(F.lit(selector) if isinstance(selector, str) else selector)
     if mode == "balanced":
         pieces = F.split(html, opening)

@@ -407,6 +407,34 @@ def container_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.col("pos").cast("bigint").alias("pos"), "block")
 
 
+PAGE_SELECTORS = ("nav > ul > li a", "article > p", "b p", ".ad", 'a[href^="/the"]')
+NESTED_SELECTORS = (
+    ".promo", "div.deals > .promo", ".deals .promo", "ul > li.promo, section .promo", '[data-kind="plain"]',
+    'a[href$=".html"]', "div div div", "b", "#top > .wrap > *", ".promo .perk", "[class~=late], [alt*='promo']", "div.deals",
+)
+
+
+@job
+def selector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of real and of nested pages, by selectors with steps."""
+
+    def elements(pages: DataFrame, selectors: tuple[str, ...]) -> DataFrame:
+        asked = pages.select("page_id", "html", F.explode(F.array(*map(F.lit, selectors))).alias("selector"))
+        return extract.explode_containers(asked, F.col("selector"), "tree")
+
+    rows = elements(_pages(spark, sf_dir), PAGE_SELECTORS).unionByName(
+        elements(derived(spark, sf_dir, "nested_pages"), NESTED_SELECTORS)
+    )
+    return rows.select("page_id", "selector", F.col("pos").cast("bigint").alias("pos"), "block")
+
+
+@job
+def selector_promos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the containers that lie directly in a box, each up to its own closing tag."""
+    rows = extract.extract_promos(derived(spark, sf_dir, "nested_pages"), "div.deals > .promo", "tree")
+    return rows.withColumn("pos", F.col("pos").cast("bigint")).drop("page_id")
+
+
 @job
 def promo_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = extract.explode_containers(_offers(spark, sf_dir), ".promo, .deal-card", "balanced")

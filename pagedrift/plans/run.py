@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.diff import classify_pages, count_changes, mark_material, material_changes
-from ..operators.extract import container_pattern, page_promos
+from ..operators.extract import page_promos, selector_supported
 from ..operators.state import newest_pages, state_valid, with_previous_state
 from ..operators.targets import pages_with_targets
 from ..sources.tables import check_crawl
@@ -33,12 +33,13 @@ def crawl_snapshots(
 
     A page that failed, or whose selector is of a kind that is not supported, keeps its stored
     state: it appears in the failures only.  ``crawl`` has the columns of ``schemas.CRAWL``.
+    ``mode``: see :func:`..operators.extract.container_blocks`.
     """
     newest = newest_pages(crawl, "url", ["ts", "fetch_id"])
     checked = check_crawl(pages_with_targets(newest, targets), allowed_domains).withColumn(
         "error",
         F.when(F.col("error").isNotNull(), F.col("error")).when(
-            container_pattern(F.col("selector")).isNull(),
+            ~selector_supported(F.col("selector"), mode),
             F.concat(F.lit("Selector not supported: "), F.coalesce("selector", F.lit(""))),
         ),
     )

@@ -133,6 +133,24 @@ select k as page_id,
   ) as html
 from ({_PART}) a"""
 
+# One page per part with nested containers, and with what is not well formed.
+NESTED_PAGES = f"""
+select k as page_id, concat('{HOST}/tree/', cast(k as string)) as url,
+  concat('<!DOCTYPE html><html><body><!-- <div class="promo">old</div> --><div class="deals main" id="top" data-kind="', kind, '">',
+    '<div class="promo card"><h2 class="title">', name, '</h2><div class="inner"><p class="perk">Free breakfast for two</p></div>',
+    '<span class="price">', {_PRICE}, '</span></div>',
+    case when s % 3 = 0 then concat('<div class="wrap"><div class="promo">Wrapped <div>offer ', cast(s as string),
+      '</div> with dinner</div></div>') else '' end,
+    case when s % 4 = 0 then concat('<ul><li class="promo">First of ', cast(s as string),
+      '<li class="promo">Second <b>bold</b></ul>') else '' end,
+    case when s % 5 = 0 then '<p class="promo">Never closed <i>mixed <b>up</i> text</b>' else '' end,
+    '<br class="promo"/><img src="a>b.png" alt="class=''promo''"><script>var x = "<div class=''promo''>";</script>',
+    '</div></div><div class=other><DIV Class=''promo  late'' data-kind=plain>Outside ', cast(k as string), '</DIV>',
+    '<a href="/offer/', cast(k as string), '.html" class="link promo">Link &amp; more</a></div>',
+    case when s % 7 = 0 then concat('<section><div class="promo">Open until the end of page ', cast(k as string)) else
+      '</body></html>' end) as html
+from ({_PART}) a"""
+
 # A target per customer; the nation decides what is wrong with it.
 TARGETS = """
 select c_custkey as pos,
@@ -294,6 +312,7 @@ STATEMENTS = {
     "promo_pairs": PROMO_PAIRS,
     "order_pairs": ORDER_PAIRS,
     "offer_pages": OFFER_PAGES,
+    "nested_pages": NESTED_PAGES,
     "targets": TARGETS,
     "crawl": CRAWL,
     "crawl_pages": CRAWL_PAGES,
