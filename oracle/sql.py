@@ -86,6 +86,31 @@ SQL["state_upsert"] = f"""with new as (select * replace (cast(cast(last_seen as
 union all {STATE_VIEW} from new"""
 SQL["state_delete"] = f"""{STATE_VIEW} from {states('prev')} s
 where url_key not in (select url_key from {states('curr')} c)"""
+
+
+def ending(rows: str, *digits: int) -> str:
+    """The states whose url ends with a digit that leaves one of these over 5."""
+    return f"(select * from {rows} e where (ascii(right(url, 1)) - 48) % 5 in ({', '.join(map(str, digits))}))"
+
+
+def upserted(old: str, new: str, gone: str) -> str:
+    """``old`` without the keys of ``gone``, with ``new`` put in."""
+    return f"""(select * from {old} o where url_key not in (select url_key from {new} n) and url_key not in (select url_key from {gone} g)
+ union all select * from {new} n)"""
+
+
+OLD, NEW = states("prev"), states("curr")
+NOTHING = f"(select * from {NEW} where false)"
+RUNS = [f"(select * from {OLD})"]
+for new, gone in (
+    (ending(NEW, 1), ending(OLD, 2)),
+    (NOTHING, f"(select * from {ending(OLD, 3)} union all select * from {ending(NEW, 1)})"),
+    (ending(NEW, 2), NOTHING),
+    (ending(NEW, 3), ending(OLD, 3, 4)),
+):
+    RUNS.append(upserted(f"state_{len(RUNS)}", new, gone))
+SQL["state_as_of"] = "with " + ", ".join(f"state_{i + 1} as {r}" for i, r in enumerate(RUNS)) + " " + " union all ".join(
+    f"{STATE_VIEW.replace('select ', f'select {i + 1} as before_run, ', 1)} from state_{i + 1}" for i in range(len(RUNS)))
 SQL["validate_promos"] = f"""select url, pos, p.id as id, coalesce({S.trim('p.id')} <> '', false) as valid
 from (select url, unnest(promos) as p, generate_subscripts(promos, 1) - 1 as pos from {D('snapshots_prev')} s)"""
 SQL["validate_states"] = f"select url_key, url, {STATE_OK} as valid from {states('prev')} s"

@@ -157,6 +157,32 @@ def state_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@job
+def state_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored state before each of five runs: stored, upserted, deleted, merged, put in again."""
+    path = shared_folder(spark, "versions")
+    old, new = _states(spark, sf_dir, "prev"), _states(spark, sf_dir, "curr")
+
+    def some(rows: DataFrame, n: int) -> DataFrame:
+        """Those whose url ends with a digit that leaves ``n`` over 5."""
+        return rows.where(F.pmod(F.ascii(F.right("url", F.lit(1))) - 48, F.lit(5)) == n)
+
+    tables.write_keyed(old, path, 0, every=3)
+    tables.write_keyed(some(new, 1), path, 1, deleted=some(old, 2))
+    tables.delete_keyed(some(old, 3).unionByName(some(new, 1)), path, 2, old.schema)
+    # The first run of the next epoch takes over what the others left.
+    tables.write_keyed(some(new, 2), path, 3)
+    tables.write_keyed(some(new, 3), path, 4, deleted=some(old, 4).unionByName(some(old, 3)))
+    versions = [tables.read_keyed(spark, path, old.schema, n).withColumn("before_run", F.lit(n)) for n in range(1, 6)]
+    rows = versions[0]
+    for version in versions[1:]:
+        rows = rows.unionByName(version)
+    return rows.select(
+        F.col("before_run").cast("bigint").alias("before_run"), "url_key", "url", "hash",
+        F.to_json("promos").alias("promos"), F.date_format("last_seen", "yyyy-MM-dd HH:mm").alias("last_seen"),
+    )
+
+
 @job
 def history_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = _history(spark, sf_dir)
@@ -170,7 +196,7 @@ def history_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page of a stored history: one bucket is read, and of it the page."""
     path, rows = shared_folder(spark, "history"), _history(spark, sf_dir)
     tables.write_keyed(rows, path, 0)
-    found = tables.scan_keyed(spark, path, rows.schema, 1, "user-8")
+    found = tables.scan_keyed(spark, path, rows.schema, "user-8")
     return found.select("url_key", "ts", "seq", "hash")
 
 

@@ -17,7 +17,7 @@ USED = T.StructType([
 
 def decide_batch(
     rows: DataFrame, run_id: int, out: str, key: str, ts: str, seq: str, limit: int, window_ms: int,
-    keep_windows: int | None = None, buckets: int = tables.BUCKETS, every: int = tables.EVERY,
+    keep_windows: int | None = None, buckets: int | None = None, every: int | None = None,
 ) -> None:
     """Flag one micro-batch, given how many requests earlier ones allowed per window.
 

@@ -24,7 +24,7 @@ def read_snapshots(spark: SparkSession, source: str, files_per_run: int | None =
 
 def run_batch(
     rows: DataFrame, run_id: int, out: str, keep: int = KEEP,
-    buckets: int = tables.BUCKETS, every: int = tables.EVERY,
+    buckets: int | None = None, every: int | None = None,
 ) -> None:
     """One run.  Of several snapshots of a url in a run the newest counts, as for a scheduled
     run that sees a page once.

@@ -11,7 +11,7 @@ from pagedrift.plans.jobs import JOBS
 
 TABLES = ("customer", "documents", "events", "nation", "orders", "pages", "part")
 COMPARED = (
-    "crawl_accept", "validate_targets", "state_upsert", "history_append", "store_and_prune",
+    "crawl_accept", "validate_targets", "state_upsert", "state_as_of", "history_append", "store_and_prune",
     "normalize_text", "filter_noise", "promos_from_text", "decode_entities", "validate_history", "latest_history", "similar_price", "similar_dates", "material_change", "page_promos",
     "generic_deals", "rule_deals", "page_summary", "summary_digest", "page_caps", "escape_markup",
     "price_mentions", "date_mentions", "location_mentions", "map_chunks", "detect_changes", "material_changes", "change_digest", "window_quota",
@@ -19,7 +19,7 @@ COMPARED = (
 )
 # These write files or start streams while they are built.
 BUILT_BY_RUNNING = {
-    "scan_targets", "replace_targets", "digest_sink", "change_digest", "history_scan", "stream_run", "stream_changes",
+    "scan_targets", "replace_targets", "state_as_of", "digest_sink", "change_digest", "history_scan", "stream_run", "stream_changes",
     "stream_quota", "quota_expiry",
 }
 
