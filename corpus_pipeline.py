@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagedrift.llm import decontaminate, mixing, quality, sharding, shingles
+from pagedrift.llm import decontaminate, mixing, quality, sharding, simhash
 from pagedrift.llm.common import prepare, table, written
 
 
@@ -19,9 +19,9 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, Jaccard 0.8 or more."""
+    """One document of each group whose fingerprints link: three-word shingles, three bits."""
     prepare(spark)
-    return shingles.one_of_each(docs)
+    return simhash.one_of_each(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
