@@ -62,11 +62,18 @@ def written_at(spark: SparkSession, purpose: str) -> str:
 
 
 def dealt(rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    """With ``__b`` and ``__h``: a bucket and a hash, which together put rows in a random order."""
-    buckets = max(partitions(rows.sparkSession), 8) * 64
-    return rows.withColumn("__h", F.xxhash64(*order)).withColumn(
-        "__b", F.pmod(F.shiftright("__h", 8), F.lit(buckets))
-    )
+    """With ``__h``, a hash that puts rows in a random order, and ``__b``, a bucket of it.
+
+    A bucket is the upper bits of the hash, so the order by bucket and hash is that of the hash, however
+    many buckets the session asks for.
+    """
+    bits = (64 * max(partitions(rows.sparkSession), 8) - 1).bit_length()
+    return rows.withColumn("__h", F.xxhash64(*order)).withColumn("__b", F.shiftright("__h", 64 - bits))
+
+
+def columns_of(rows: DataFrame) -> list[Column]:
+    """The columns, whatever marks their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in rows.columns]
 
 
 def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str | None, name: str) -> DataFrame:
@@ -90,7 +97,7 @@ def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: s
     summed = hashed.withColumn("__r", F.coalesce(F.sum(amount).over(within), F.lit(0)))
     same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(by)]
     return summed.join(offsets, _all(same), "left").select(
-        *rows.columns, (F.col("__o") + F.col("__r")).cast("long").alias(name)
+        *columns_of(rows), (F.col("__o") + F.col("__r")).cast("long").alias(name)
     )
 
 

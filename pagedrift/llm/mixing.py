@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded, dealt, prepare, ranked, running, table, written
+from .common import WORD, bounded, columns_of, dealt, prepare, ranked, running, table, written
 
 MAX_REPEATS = 2.0
 BLOCK_TOKENS = 1 << 20
@@ -108,7 +108,7 @@ def with_epochs(rows: DataFrame, passes: DataFrame, name: str | None) -> DataFra
     extra = F.when(F.col("__mix_cut_b").isNotNull() & after, 1).otherwise(0)
     copies = F.col("__mix_whole") + extra
     joined = hashed.join(bounded(few), F.col("source").eqNullSafe(F.col("__mix_of"))).where(copies > 0)
-    out = joined.select(*rows.columns, F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("__epoch"))
+    out = joined.select(*columns_of(rows), F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("__epoch"))
     return out.drop("__epoch") if name is None else out.withColumnRenamed("__epoch", name)
 
 

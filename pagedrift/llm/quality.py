@@ -7,8 +7,8 @@ The posterior of a document's pattern is its label, and the labels train a linea
 hashed words and votes, which starts from the weights that the estimates imply.  A document is
 rejected when the scorer gives either question one half or more.
 
-What is fitted on samples: the words that mark toxic texts, from at most ``LABELLED_ROWS`` labelled
-rows, and the scorer, from about ``TRAINING_ROWS`` documents; both are picked by a hash of
+What is fitted on samples: the words that mark toxic texts, from at most ``labelled_rows`` labelled
+rows, and the scorer, from about ``training_rows`` documents (arguments of :func:`fit`); both are picked by a hash of
 ``doc_id``.  Vote patterns are counted over all documents, and every whole text is scored.
 
 Defined cases: a null or empty text gets no votes and the score of a document without any; rows
@@ -32,12 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, prepare, table, utf8
 
+#: Defaults of the two sample sizes.
 LABELLED_ROWS, TRAINING_ROWS = 20_000, 20_000
 #: Hashed word features; share of the estimated vote weights that training starts from.
 SIZE, VOTE_SHARE = 1 << 17, 0.6
 #: A word marks toxic texts when so many of the labelled toxic texts have it, so many times as
-#: large a share as of the others; at most so many words are kept.
-WORD_ROWS, WORD_LIFT, WORDS = 5, 30.0, 5000
+#: large a share as of the others.
+WORD_ROWS, WORD_LIFT = 5, 30.0
 
 #: Insults.
 INSULTS = frozenset(
@@ -179,19 +180,21 @@ class Model:
         """The rows of ``docs`` that are not rejected, with all their columns."""
 
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            good = [max(self.score(t)) < 0.5 for t in utf8(batch.column("text"))]
+            good = [max(self.score(t)) < 0.5 for t in utf8(batch.column(at))]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-        return arrow_map(docs, run, docs.schema)
+        # Names with marks in them do not reach a function.
+        at, plain = docs.columns.index("text"), docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+        return arrow_map(plain, run, plain.schema).toDF(*docs.columns)
 
 
-def marking_words(docs: DataFrame, labels: DataFrame) -> frozenset[bytes]:
-    """Words that mark the labelled toxic texts, at most :data:`WORDS`."""
+def marking_words(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> frozenset[bytes]:
+    """All words that mark the toxic texts among at most ``labelled_rows`` labelled ones."""
     picked = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(
         F.max("toxic").cast("int").alias("__toxic")
-    ).orderBy(F.xxhash64("__id"), "__id").limit(LABELLED_ROWS)
+    ).orderBy(F.xxhash64("__id"), "__id").limit(labelled_rows)
     rows = docs.select("doc_id", "text").join(
-        F.broadcast(picked), F.col("doc_id") == F.col("__id")  # LABELLED_ROWS rows at most
+        F.broadcast(picked), F.col("doc_id") == F.col("__id")  # labelled_rows at most
     ).select("text", "__toxic")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -208,21 +211,21 @@ def marking_words(docs: DataFrame, labels: DataFrame) -> frozenset[bytes]:
     counted = arrow_map(rows, run, "word binary, clean long, bad long").groupBy("word").agg(
         F.sum("clean").alias("clean"), F.sum("bad").alias("bad")
     )
-    found = counted.where(F.col("bad") >= WORD_ROWS).orderBy(
-        F.desc((F.col("bad") + 0.0) / (F.col("clean") + 0.5)), "word"
-    ).limit(WORDS).collect()
     all_rows = counted.where(F.length("word") == 0).first()
     if not all_rows or not all_rows["clean"]:
         return frozenset()
     lift = (all_rows["clean"] + 1) / (all_rows["bad"] + 1)
-    return frozenset(
-        bytes(r["word"]) for r in found
-        if r["word"] and r["bad"] * lift >= WORD_LIFT * (r["clean"] + 0.5)
-    )
+    # Bounded by the texts of the labelled rows.
+    found = counted.where(
+        (F.length("word") > 0) & (F.col("bad") >= WORD_ROWS) & (F.col("bad") * lift >= WORD_LIFT * (F.col("clean") + 0.5))
+    ).select("word").collect()
+    return frozenset(bytes(r["word"]) for r in found)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    model = Model(learned=marking_words(docs, labels))
+def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, training_rows: int = TRAINING_ROWS) -> Model:
+    """``labelled_rows``: most labelled rows that words are learned from; ``training_rows``: about how many
+    documents the scorer is trained on."""
+    model = Model(learned=marking_words(docs, labels, labelled_rows))
     learned = model.learned
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -247,14 +250,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         vote, constant = model.estimates[question].weights()
         model.scorers[question] = (np.zeros(SIZE, np.float32), vote, constant)
     if n.sum():
-        _train(model, docs, n.sum())
+        _train(model, docs, n.sum(), training_rows)
     return model
 
 
-def _train(model: Model, docs: DataFrame, n_docs: float) -> None:
+def _train(model: Model, docs: DataFrame, n_docs: float, training_rows: int) -> None:
     """Logistic regression on the posteriors of a sample, from the estimates' weights on."""
     learned = model.learned
-    share = min(1.0, TRAINING_ROWS / n_docs)
+    share = min(1.0, training_rows / n_docs)
     picked = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < max(1, int(share * (1 << 20)))).select("text")
 
     def features(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -269,7 +272,7 @@ def _train(model: Model, docs: DataFrame, n_docs: float) -> None:
             names=["at", "junk", "toxic"],
         )
 
-    # About TRAINING_ROWS rows at any size.
+    # About training_rows rows at any size.
     rows = arrow_map(picked, features, "at array<int>, junk int, toxic int").toArrow()
     lists = rows.column("at").combine_chunks()
     at, starts = lists.flatten().to_numpy(), np.asarray(lists.offsets)

@@ -5,8 +5,9 @@ equal texts) counts its members by shard and picks the shards it is drawn to: th
 members, or as many as its size needs.  Its other members ask to move there.  Requests are granted
 along circles of shards, and along chains that end where there is room, so no shard ever holds
 more linked documents than its quota; the groups that are nearest to being whole go first.  Large
-groups settle before small ones, and unlinked documents fill what is left.  The law is ``rows``:
-the counts of any two shards differ by one at most.
+groups settle before small ones.  Pairs that are still cut then swap: either member may go to the
+other, so pairs along a circle of shards, taken in any direction, all close at once.  Unlinked
+documents fill what is left.  The law is ``rows``: the counts of any two shards differ by one at most.
 
 Only counts by (shard, shard, level) come to the driver.  Groups are counted by partial aggregates;
 the join that tells members where to go may be split at a hot group.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import prepare, ranked, table, written
+from .common import columns_of, prepare, ranked, table, written
 
 SHARDS, ROUNDS, LEVELS = 24, 5, 10
 #: Groups of this share of a quota and more settle first.
@@ -83,6 +84,75 @@ def quotas(wanted: dict[tuple[int, int, int], int], room: dict[int, int]) -> dic
     return out
 
 
+def swaps(cut: dict[tuple[int, int], int], room: dict[int, int]) -> dict[tuple[int, int], tuple[int, int]]:
+    """Of the pairs cut between two shards (the smaller one first): how many close in the second one and
+    how many in the first, so that no shard gets more than ``room``.
+
+    Two pairs of the same shards swap.  Of the others, those along a circle move on by one shard each;
+    what is then left has no circles, and moves to where there is room.
+    """
+    out = {k: (n // 2, n // 2) for k, n in cut.items()}
+    odd = {k for k, n in cut.items() if n % 2}
+    room = dict(room)
+
+    def close(a: int, b: int) -> None:
+        """One pair of a and b closes in b."""
+        key = (min(a, b), max(a, b))
+        up, down = out[key]
+        out[key] = (up + 1, down) if a < b else (up, down + 1)
+        odd.discard(key)
+
+    def neighbours(a: int) -> list[int]:
+        return sorted(x if y == a else y for x, y in odd if a in (x, y))
+
+    def circle(start: int) -> list[int] | None:
+        """A way that comes back to where it was, over shards that ``start`` leads to."""
+        way, seen = [start], {start: 0}
+        tried: set[tuple[int, int]] = set()
+        while way:
+            a = way[-1]
+            step = next((b for b in neighbours(a) if (min(a, b), max(a, b)) not in tried), None)
+            if step is None:
+                del seen[way.pop()]
+                continue
+            tried.add((min(a, step), max(a, step)))
+            if step in seen:
+                return way[seen[step]:]
+            seen[step] = len(way)
+            way.append(step)
+        return None
+
+    for start in sorted(room):
+        while found := circle(start):
+            for a, b in zip(found, [*found[1:], found[0]]):
+                close(a, b)
+    while move := next(((a, b) for x, y in sorted(odd) for a, b in ((x, y), (y, x)) if room[b] > 0), None):
+        close(*move)
+        room[move[0]] += 1
+        room[move[1]] -= 1
+    return out
+
+
+def _swapped(linked: DataFrame, left: dict[int, int]) -> DataFrame:
+    """With the cut pairs closed, as far as :func:`swaps` says."""
+    pairs = linked.where("__size = 2").groupBy(F.col("group").alias("__g")).agg(
+        F.min("__label").alias("__lo"), F.max("__label").alias("__hi")
+    ).where("__lo < __hi")
+    counted = {(r["__lo"], r["__hi"]): r["count"] for r in pairs.groupBy("__lo", "__hi").count().collect()}  # shards^2 at most
+    if not counted:
+        return linked
+    have = _counts(linked)
+    closed = [(*k, *n) for k, n in swaps(counted, {s: left[s] - have.get(s, 0) for s in left}).items()]
+    allowed = linked.sparkSession.createDataFrame(closed, "__la int, __lb int, __up long, __down long")
+    moves = ranked(pairs, ["__lo", "__hi"], ["__g"], "__nth").join(
+        F.broadcast(allowed), (F.col("__lo") == F.col("__la")) & (F.col("__hi") == F.col("__lb"))  # shards^2 at most
+    ).select("__g", F.when(F.col("__nth") < F.col("__up"), F.col("__hi")).when(
+        F.col("__nth") < F.col("__up") + F.col("__down"), F.col("__lo")).alias("__to"))
+    return written(linked.join(moves, F.col("group").eqNullSafe(F.col("__g")), "left").withColumn(
+        "__label", F.coalesce("__to", "__label")
+    ).select(*linked.columns), "shard-swapped")
+
+
 def _counts(rows: DataFrame) -> dict[int, int]:
     """Rows by shard."""
     return {r["__label"]: r["count"] for r in rows.groupBy("__label").count().collect()}
@@ -114,6 +184,7 @@ def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
             linked, moved = _round(linked, left, quota)
             if not moved:
                 break
+        linked = _swapped(linked, left)
         for s, n in _counts(linked).items():
             left[s] -= n
         done.append(linked)
@@ -205,7 +276,12 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     Equal rows are interchangeable: the n-th of them takes the n-th of their places.
     """
-    key = F.xxhash64(*docs.columns)
+    # Maps have no hash.
+    plain = [
+        F.to_json(F.struct(c.alias("v"))) if "map<" in f.dataType.simpleString() else c
+        for c, f in zip(columns_of(docs), docs.schema.fields)
+    ]
+    key = F.xxhash64(*plain)
     nodes = docs.select(key.alias("__key"), F.xxhash64("text").alias("group"))
     nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
     places = propagate(nodes, shards).withColumn("__nth_place", nth).select(
@@ -214,7 +290,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = docs.withColumn("__key", key).withColumn("__nth", nth)
     return rows.join(
         places, (F.col("__key") == F.col("__of")) & (F.col("__nth") == F.col("__nth_place"))
-    ).select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")],
+    ).select(*[c for c, name in zip(columns_of(docs), docs.columns) if name not in ("shard", "slot")],
              F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, partitions, prepare, table, utf8, written
+from .common import arrow_map, columns_of, partitions, prepare, table, utf8, written
 from .graph import connected
 
 BITS, PARTS = 64, 4
@@ -349,7 +349,7 @@ def one_of_each_component(docs: DataFrame, named: DataFrame, purpose: str) -> Da
     ).select("s.*"), purpose)
     rows = docs.select("*", key.alias("__key"), F.xxhash64("text").alias("__hash"))
     kept = rows.join(stay, (F.col("__key") == F.col("__id")) & (F.col("__hash") == F.col("__text")), "left_semi")
-    return kept.dropDuplicates(["__key", "__hash"]).select(*docs.columns)
+    return kept.dropDuplicates(["__key", "__hash"]).select(*columns_of(docs))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

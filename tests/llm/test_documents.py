@@ -7,7 +7,7 @@ import pytest
 from conftest import SF_DIR
 from llm import brute
 
-from pagedrift.llm import jobs, merkle, quality, repeats, secrets, shingles, simhash
+from pagedrift.llm import jobs, merkle, quality, repeats, secrets, simhash
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma".split()
 
@@ -233,34 +233,11 @@ def test_large_buckets_are_cut_into_blocks(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept) == sorted(set(want.values()))
 
 
-def jaccard_components(docs):
-    sets = {i: set(shingles.shingles((t or "").encode()).tolist()) for i, t in docs}
-    parent = {i: i for i in sets}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    where = {}
-    for i, s in sets.items():
-        for h in s or {None}:
-            where.setdefault(h, []).append(i)
-    for a in sorted(sets):
-        for b in {j for h in sets[a] or {None} for j in where[h] if j > a}:
-            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
-    return {i: find(i) for i in sets}
-
-
-@pytest.mark.parametrize("block", (1024, 3))
-def test_near_copies_of_the_pipeline_by_jaccard(spark, given, monkeypatch, block):
+def test_near_copies_of_the_pipeline(spark, given):
     import corpus_pipeline
 
-    monkeypatch.setattr(shingles, "BLOCK", block)
     docs = []
-    for i in range(40):  # copies with 0 to 9 changed words of 300, far beyond three of 64 bits
+    for i in range(40):  # copies with 0 to 9 changed words of 300
         words = prose(300, 500 + i).split()
         pick = random.Random(i)
         for k in range(4):
@@ -269,10 +246,11 @@ def test_near_copies_of_the_pipeline_by_jaccard(spark, given, monkeypatch, block
                 changed[at] = "changed"
             docs.append((10 * i + k, " ".join(changed)))
     for rows in (docs, [*ODD, *given]):
-        want = set(jaccard_components(dict(rows).items()).values())
-        frame = spark.createDataFrame(list(dict(rows).items()), "doc_id long, text string").repartition(4)
+        rows = list(dict(rows).items())
+        want = set(brute.components(brute.fingerprints(rows)).values())
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
         kept = [r["doc_id"] for r in corpus_pipeline.deduplicate(spark, frame, "").collect()]
-        assert sorted(kept) == sorted(want) and len(want) < len(dict(rows))
+        assert sorted(kept) == sorted(want) and len(want) < len(rows)
 
 
 # --- quality ---------------------------------------------------------------------------------

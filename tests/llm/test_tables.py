@@ -213,6 +213,37 @@ def test_few_rows_and_only_pairs(spark, tables):
     assert sum(len(s) == 1 for s in where.values()) > 0.8 * len(where)
 
 
+@pytest.mark.parametrize("partitions", ["4", "12"])
+def test_pairs_that_all_fit_are_not_cut(spark, tables, partitions):
+    folder = tables(documents=[(i, f"p{i // 2}") for i in range(960)])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        where = {}
+        for r in placed(spark, folder):
+            where.setdefault(r["doc_id"] // 2, set()).add(r["shard"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(len(s) > 1 for s in where.values()) < 0.01 * len(where)
+
+
+def test_swaps_keep_sizes():
+    import random
+
+    pick = random.Random(8)
+    for _ in range(50):
+        cut = {(a, b): pick.randrange(4) for a in range(8) for b in range(a + 1, 8) if pick.random() < 0.5}
+        cut = {k: n for k, n in cut.items() if n}
+        room = {s: pick.choice([0, 0, 1]) for s in range(8)}
+        gain, closed = Counter(), sharding.swaps(cut, room)
+        for (a, b), (up, down) in closed.items():
+            assert up + down <= cut[a, b]
+            gain.update({b: up - down, a: down - up})
+        assert all(gain[s] <= room[s] for s in room)
+        # What stays cut holds no circle, so it is less than the number of shards.
+        assert sum(cut.values()) - sum(map(sum, closed.values())) < 8
+
+
 def test_quotas_never_overfill():
     wanted = {(0, 1, 9): 5, (1, 0, 3): 2, (2, 1, 1): 4}
     granted = sharding.quotas(wanted, {0: 0, 1: 1, 2: 0})
@@ -285,3 +316,29 @@ def test_stages_keep_columns(spark, tables):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).columns == docs.columns
     assert decontaminate.LEAST == 0.8
+
+
+def test_stages_take_columns_of_any_name_and_kind(spark, tables):
+    folder = tables(labels=[(1, 1, 0)], benchmark=[(1, ITEM)])
+    docs = spark.createDataFrame(
+        [(i, f"some text number {i % 7} of {i}", "a", {"k": str(i)}, 1.5, "x") for i in range(40)],
+        "doc_id long, text string, source string, `a map` map<string,string>, `a.b` double, `c``d` string",
+    )
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        rows = out.collect()
+        assert out.columns[:6] == docs.columns and rows, name
+        assert all(r["a map"] == {"k": str(r["doc_id"])} and r["a.b"] == 1.5 and r["c`d"] == "x" for r in rows), name
+
+
+@pytest.mark.parametrize("name", ["op4_sharding", "op8_mixing"])
+def test_results_do_not_depend_on_partitions(spark, name):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for n in ("2", "12"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(map(tuple, jobs.QUERIES[name](spark, SF_DIR).collect()), key=str))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] and found[0]
