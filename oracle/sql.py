@@ -607,6 +607,13 @@ def all_deals(source: str, key: str, rules: str = FIXED_RULES, cap: int = 10**9)
 SQL["rule_deals"] = f"select * from {all_deals(OFFERS, 'page_id', TABLE_RULES)}"
 
 
+SQL["rule_index"] = f"""with urls as (select distinct url from (select url from pages union all select url from {OFFERS} o)),
+ r as (select * from {D('part_rules')} p),
+ first as (select url, arg_min(url_contains, (ord, url_contains)) as code from urls join r on contains(url, url_contains) group by url)
+select url, code, count(*) as n_rules, string_agg(title, ' | ' order by ord, title) as titles
+from first join r on url_contains = code group by url, code"""
+
+
 def listed_by(rows: str, key: str, name: str, value: str) -> str:
     return f"""(select {key}, list({value} order by pos) as {name} from {rows} group by {key})"""
 

@@ -393,21 +393,24 @@ def generic_deals(html: Column, limit: int | None = None) -> Column:
     )
 
 
-#: Most rules that travel with every page.
-MAX_RULES = 10_000
+#: Up to so many rules travel with every page as an array; more are found by an index.
+ARRAY_RULES = 1_000
+RULE_FIELDS = ("ord", "url_contains", "pattern", "title", "price", "savings", "location")
+#: Longest grams of rule codes; shorter codes are found by grams of half that, and so on.
+LONGEST_GRAM = 8
 
 
 def with_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Pages with ``rules``: those of the first rule code that occurs in the page's url, in order.
+    """Pages with ``rules``: those of the first rule code that occurs in the page's url, in order, or none.
 
     ``rules``: url_contains, pattern (of texts of collapsed blanks), title, price, savings,
-    location, ord.  The table is read once, as one array for all tasks, so the plan does not grow
-    with it; more than :data:`MAX_RULES` rows are refused.
+    location, ord.  A small table is read once, as one array for all tasks, so the plan does not grow
+    with it and pages stay where they are; for a larger one see :func:`indexed_rules`.
     """
-    if rules.limit(MAX_RULES + 1).count() > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} site rules")
-    names = ("ord", "url_contains", "pattern", "title", "price", "savings", "location")
-    every = rules.agg(F.sort_array(F.collect_list(F.struct(*names))).alias("rules")).scalar()
+    few = rules.limit(ARRAY_RULES + 1)
+    every = few.agg(F.sort_array(F.collect_list(F.struct(*RULE_FIELDS))).alias("rules")).scalar()
+    if few.count() > ARRAY_RULES:
+        return indexed_rules(pages, rules)
 
     def of_page(all_rules: Column) -> Column:
         code = F.get(
@@ -415,7 +418,61 @@ def with_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
         )
         return let(code, lambda c: F.filter(all_rules, lambda r: r["url_contains"] == c))
 
-    return pages.withColumn("rules", every).withColumn("rules", F.when(F.size("rules") > 0, of_page(F.col("rules"))))
+    return pages.withColumn("rules", every).withColumn("rules", of_page(F.col("rules")))
+
+
+def _grams(text: Column, size: int) -> Column:
+    """All different runs of ``size`` characters."""
+    if not size:
+        return F.array(F.lit(""))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def _gram_size(length: Column) -> Column:
+    """The largest gram that a code of this length has: a power of two, none for the empty code."""
+    size = F.lit(0)
+    for n in (1, 2, 4, 8):
+        size = F.when((length >= n) & F.lit(n <= LONGEST_GRAM), n).otherwise(size)
+    return size
+
+
+def code_matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """``url url_contains``: for each url the first rule code that occurs in it, of any number of codes.
+
+    An inverted index: each code is filed under the one of its grams that fewest codes have, a url is
+    looked up by its grams, and what meets is compared as a whole.
+    """
+    codes = rules.where(F.col("url_contains").isNotNull()).groupBy("url_contains").agg(
+        F.min("ord").alias("ord")
+    ).withColumn("size", _gram_size(F.length("url_contains")))
+    sizes = (0, *(n for n in (1, 2, 4, 8) if n <= LONGEST_GRAM))
+    filed = codes.select("*", F.explode(F.coalesce(*[
+        F.when(F.col("size") == n, _grams(F.col("url_contains"), n)) for n in sizes
+    ])).alias("gram"))
+    held = filed.groupBy("gram").agg(F.count("*").alias("held"))
+    rarest = filed.join(held, "gram").groupBy("url_contains").agg(
+        F.min("ord").alias("ord"), F.min(F.struct("held", "gram"))["gram"].alias("gram")
+    )
+    # The grams of sizes that no code has find nothing and need no lookup.
+    used = [r["size"] for r in codes.select("size").distinct().collect()]  # five at most
+    looked = urls.select("url").where(F.col("url").isNotNull()).distinct().select("url", F.explode(F.concat(
+        F.array().cast("array<string>"), *[_grams(F.col("url"), n) for n in sorted(used)]
+    )).alias("gram"))
+    return looked.join(rarest, "gram").where(F.contains("url", "url_contains")).groupBy("url").agg(
+        F.min(F.struct("ord", "url_contains"))["url_contains"].alias("url_contains")
+    )
+
+
+def indexed_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """Like :func:`with_rules` for any number of rules: two joins by key, and one to the pages."""
+    found = code_matches(pages, rules)
+    listed = rules.join(found.select("url_contains").distinct(), "url_contains", "left_semi").groupBy("url_contains").agg(
+        F.sort_array(F.collect_list(F.struct(*RULE_FIELDS))).alias("rules")
+    )
+    of_url = found.join(listed, "url_contains").select("url", "rules")
+    return pages.join(of_url, "url", "left").select(
+        *pages.columns, F.coalesce("rules", F.array().cast(listed.schema["rules"].dataType)).alias("rules")
+    )
 
 
 def site_deals(html: Column, rules: Column) -> Column:

@@ -586,6 +586,17 @@ def rule_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(deals.explode_deals(pages, "page_id", deals.page_deals(F.col("html"), F.col("rules"))))
 
 
+@job
+def rule_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of each page, real or built, of a table with as many rules as there are parts."""
+    pages = _pages(spark, sf_dir).select("url").unionByName(_offers(spark, sf_dir).select("url")).distinct()
+    found = deals.indexed_rules(pages, derived(spark, sf_dir, "part_rules"))
+    return found.select(
+        "url", F.col("rules")[0]["url_contains"].alias("code"), F.size("rules").cast("bigint").alias("n_rules"),
+        F.array_join(F.transform("rules", lambda r: r["title"]), " | ").alias("titles"),
+    )
+
+
 def _summaries(spark: SparkSession, sf_dir: str, **limits: int) -> DataFrame:
     pages = _pages(spark, sf_dir).unionByName(_offers(spark, sf_dir))
     return deals.page_summary(pages, SITE, SITE_LABEL, _site_rules(spark), **limits)

@@ -302,7 +302,21 @@ SITE_RULES = " union all ".join(
     for i, (pattern, price, savings) in enumerate(_RULES)
 )
 
+# A rule for each part, and one for the parts whose numbers end alike: more than travel with a page.
+PART_RULES = """
+select concat('offer/', cast(p_partkey as string)) as url_contains, '[$][0-9.,]+ per night' as pattern,
+  concat('Offer of ', p_brand) as title, cast(null as string) as price, cast(null as string) as savings,
+  p_type as location, 1000000 - cast(p_partkey as bigint) as ord from {part}
+union all
+select right(cast(p_partkey as string), 3) as url_contains, 'trip across the [a-z ]+ coast' as pattern,
+  concat('Trip ', p_name) as title, cast(null as string) as price, cast(null as string) as savings,
+  cast(null as string) as location, 2000000 + cast(p_partkey as bigint) as ord from {part} where p_size < 10
+union all
+select '' as url_contains, 'no such words' as pattern, 'For all' as title, cast(null as string) as price,
+  cast(null as string) as savings, cast(null as string) as location, cast(9000000 as bigint) as ord from {region}"""
+
 STATEMENTS = {
+    "part_rules": PART_RULES,
     "site_rules": SITE_RULES,
     "noted_texts": NOTED_TEXTS,
     "marked_pages": MARKED_PAGES,
