@@ -807,6 +807,21 @@ union all select 1, url, first_run, has_changes, n_added, n_changed, n_removed,
 from ({SQL['snapshot_run']})"""
 SQL["stream_changes"] = f"""select url, id, pos, change_type, {SIDES} from {snapshot_rows(STATE_OK)}
 where change_type <> 'same' and material"""
+SEEN = {side: f"(select url, last_seen as ts from {states(side)} where {STATE_OK})" for side in ("prev", "curr")}
+SQL["stream_unseen"] = f"""with prev as {SEEN['prev']}, curr as {SEEN['curr']},
+ last as (select url, ts, max(ts) over () as mark, false as again from prev
+  union all select url, ts, (select max(ts) from curr), false from prev where url not in (select url from curr)
+   and ts + interval 10 day > (select max(ts) from prev)
+  union all select url, ts, max(ts) over (), true from curr)
+select url, change_type, count(*) as n from (
+ select url, 'unseen' as change_type from last where ts + interval 10 day <= mark
+ union all select url, change_type from ({SQL['stream_changes']}) c) group by url, change_type"""
+SQL["stream_grants"] = f"""select event_id, user_id, bucket, nth <= 2 as allowed, case when nth <= 2 then nth end as nth
+from (select *, row_number() over (partition by user_id, bucket order by ts, event_id) as nth
+ from (select *, cast(floor(epoch_ms(ts) / 3600000) as bigint) as bucket from {D('requests')} r))"""
+SQL["quota_closed"] = f"""select user_id, time_bucket(interval 1 hour, ts) as window_start, count(*) as n_requests
+from {D('requests')} r group by 1, 2
+having time_bucket(interval 1 hour, any_value(ts)) + interval 1 hour <= (select date_trunc('millisecond', max(ts)) from {D('requests')} m)"""
 SQL["stream_quota"] = f"""select user_id, bucket, event_id, ts,
  row_number() over (partition by user_id, bucket order by ts, event_id) <= 2 as allowed
 from (select *, cast(floor(epoch_ms(ts) / 3600000) as bigint) as bucket from {D('requests')} r)"""

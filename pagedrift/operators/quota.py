@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Requests per window of the five request classes.
-LIMITS = {"list": 30, "replace": 20, "run": 5, "notify": 3, "analyse": 2}
 WINDOW_MS = 300_000
 
 

@@ -952,6 +952,20 @@ def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(spark.read.parquet(f"{out}/changes"))
 
 
+@job
+def stream_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two drops a month apart: the changes, and the pages that were not seen for ten days."""
+    source, out = shared_folder(spark, "drops"), shared_folder(spark, "unseen")
+    for side in ("prev", "curr"):
+        _drop(spark, sf_dir, side, source)
+        found = keyed.stream_changes(runs.read_snapshots(spark, source), unseen_ms=10 * 86_400_000)
+        (
+            found.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint")
+            .trigger(availableNow=True).start(f"{out}/found").awaitTermination()
+        )
+    return spark.read.parquet(f"{out}/found").groupBy("url", "change_type").agg(F.count("*").alias("n"))
+
+
 def _event_stream(spark: SparkSession, sf_dir: str, source: str) -> tuple[DataFrame, list[DataFrame]]:
     """Events as a file stream in two drops, the second half of the month after the first."""
     events = derived(spark, sf_dir, "requests").select(
@@ -977,6 +991,38 @@ def stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+@job
+def stream_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests of two drops with the verdict of counters that end with their window."""
+    source, out = shared_folder(spark, "requests"), shared_folder(spark, "grants")
+    requests, drops = _event_stream(spark, sf_dir, source)
+    for later in (False, True):
+        if later:
+            drops[1].write.mode("append").parquet(source)
+        granted = quotas.stream_grants(requests, "user_id", "ts", "event_id", limit=2, window_ms=3_600_000)
+        (
+            granted.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint")
+            .trigger(availableNow=True).start(f"{out}/granted").awaitTermination()
+        )
+    granted = spark.read.parquet(f"{out}/granted").select(F.col("seq").alias("event_id"), "nth")
+    return quota.with_bucket(spark.read.parquet(source), "ts", 3_600_000).join(granted, "event_id", "left").select(
+        "event_id", "user_id", "bucket", F.col("nth").isNotNull().alias("allowed"), "nth"
+    )
+
+
+@job
+def quota_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of all windows that have closed, each written once."""
+    source, out = shared_folder(spark, "requests"), shared_folder(spark, "closed")
+    requests, drops = _event_stream(spark, sf_dir, source)
+    for later in (False, True):
+        if later:
+            drops[1].write.mode("append").parquet(source)
+        quotas.start_closed_counts(requests, out, "user_id", "ts", "1 hour").awaitTermination()
+    rows = spark.read.parquet(f"{out}/closed")
+    return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @job
 def quota_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, out = shared_folder(spark, "requests"), shared_folder(spark, "counters")

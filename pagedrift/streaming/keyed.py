@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.policy import snapshot_valid
 from ..functions.text import clean_text, promos_hash
-from ..operators.diff import material_changes
+from ..operators.diff import mark_material
 from ..schemas import FIELDS
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -32,27 +32,38 @@ OUTPUT = T.StructType(
         *[T.StructField(f"{side}_{f}", T.StringType()) for side in SIDES for f in FIELDS],
     ]
 )
+# Of a page: time and hash of its last snapshot, and the ids of its records in order.
 PAGE = T.StructType(
     [
         T.StructField("ts", T.LongType()),
         T.StructField("hash", T.StringType()),
-        T.StructField("promos", T.StringType()),
+        T.StructField("ids", T.StringType()),
     ]
 )
+# Of an id: the records that have it, in order; nearly always one.
+RECORD_ID = T.StructType([T.StructField("id", T.StringType())])
+RECORDS = T.StructType([T.StructField("records", T.StringType())])
+UNSEEN = "unseen"
 
 
 class ChangeTracker(StatefulProcessor):
-    """Keeps the last snapshot of a url and emits its changes.
+    """Keeps the records of a url by id, and emits its changes.
 
-    Of the snapshots of one micro-batch the newest counts; it is found while the chunks pass,
-    so memory holds two snapshots whatever the number of rows of a url.
+    A snapshot writes the records that differ from the stored ones, and no others.  Of the snapshots
+    of one micro-batch the newest counts; it is found while the chunks pass, so memory holds two
+    snapshots whatever the number of rows of a url.
+
+    ``unseen_ms``: a url without a snapshot for so long is reported, once, as ``unseen``.  Time is that
+    of the snapshots, or the clock if ``ttl_ms`` is set, which forgets a url after so long.
     """
 
-    def __init__(self, ttl_ms: int | None = None):
-        self._ttl_ms = ttl_ms
+    def __init__(self, ttl_ms: int | None = None, unseen_ms: int | None = None):
+        self._ttl_ms, self._unseen_ms = ttl_ms, unseen_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
         self._page = handle.getValueState("page", PAGE, self._ttl_ms)
+        self._records = handle.getMapState("records", RECORD_ID, RECORDS, self._ttl_ms)
 
     def handleInputRows(
         self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
@@ -67,11 +78,46 @@ class ChangeTracker(StatefulProcessor):
         known = self._page.get() if self._page.exists() else None
         if known is not None and newest[0] < known[0]:
             return
-        self._page.update(newest)
-        if known is not None and known[1] != newest[1]:
-            changes = _diff(key[0], json.loads(known[2]), json.loads(newest[2]))
+        self._wait_for(newest[0], timerValues)
+        if known is not None and known[1] == newest[1]:
+            self._page.update((newest[0], known[1], known[2]))
+            return
+        current = json.loads(newest[2])
+        self._page.update((newest[0], newest[1], json.dumps([p["id"] for p in current])))
+        stored = {k[0]: v[0] for k, v in self._records.iterator()} if known is not None else {}
+        if known is not None:
+            left = {i: iter(json.loads(text)) for i, text in stored.items()}
+            previous = [next(left[i]) | {"id": i} for i in json.loads(known[2])]
+            changes = _diff(key[0], previous, current)
             if changes:
                 yield pd.DataFrame(changes, columns=OUTPUT.names)
+        self._store(stored, current)
+
+    def _store(self, stored: dict[str, str], current: list[dict]) -> None:
+        """Write the records that are new or differ, remove those that are gone."""
+        by_id: dict[str, list[dict]] = {}
+        for promo in current:
+            by_id.setdefault(promo["id"], []).append({k: v for k, v in promo.items() if k != "id"})
+        for i, records in by_id.items():
+            text = json.dumps(records)
+            if stored.get(i) != text:
+                self._records.updateValue((i,), (text,))
+        for i in stored.keys() - by_id.keys():
+            self._records.removeKey((i,))
+
+    def _wait_for(self, ts: int, timerValues: Any) -> None:
+        if self._unseen_ms is None:
+            return
+        for old in list(self._handle.listTimers()):
+            self._handle.deleteTimer(old)
+        now = ts // 1000 if self._ttl_ms is None else timerValues.getCurrentProcessingTimeInMs()
+        self._handle.registerTimer(now + self._unseen_ms)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        row = (key[0], None, None, UNSEEN, *[None] * (len(OUTPUT.names) - 4))
+        frame = pd.DataFrame([row], columns=OUTPUT.names)
+        frame["pos"] = frame["pos"].astype("Int64")
+        yield frame
 
     def close(self) -> None:
         pass
@@ -96,10 +142,15 @@ def _diff(url: str, previous: list[dict], current: list[dict]) -> list[tuple]:
     return found
 
 
-def stream_changes(snapshots: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+def stream_changes(
+    snapshots: DataFrame, ttl_ms: int | None = None, unseen_ms: int | None = None, delay: str = "0 seconds"
+) -> DataFrame:
     """Material change rows of a stream of snapshots (url, ts, promos).
 
     ``ttl_ms``: forget a url that has not been seen for so long (processing time; default: never).
+    ``unseen_ms``: also a row ``unseen`` for a url without a snapshot for so long, once until it is
+    seen again; in the time of the snapshots, which may come late by ``delay`` (older ones are
+    left out), or by the clock together with ``ttl_ms``.
     """
     spark: SparkSession = snapshots.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -114,21 +165,25 @@ def stream_changes(snapshots: DataFrame, ttl_ms: int | None = None) -> DataFrame
         ),
     )
     valid = snapshot_valid(promos_hash(F.col("promos")), F.col("ts").cast("string"), F.col("promos"))
-    rows = snapshots.where(valid).select(
+    event_time = unseen_ms is not None and ttl_ms is None
+    timed = snapshots.withColumn("__at", F.col("ts").cast("timestamp")).where(valid)
+    timed = timed.withWatermark("__at", delay) if event_time else timed
+    rows = timed.select(
         "url",
-        F.unix_micros("ts").alias("ts"),
+        *(["__at"] if event_time else []),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"),
         promos_hash(F.col("promos")).alias("hash"),
         F.to_json(cleaned).alias("promos"),
     )
     tracked = rows.groupBy("url").transformWithStateInPandas(
-        statefulProcessor=ChangeTracker(ttl_ms), outputStructType=OUTPUT, outputMode="Append",
-        timeMode="None" if ttl_ms is None else "ProcessingTime",
+        statefulProcessor=ChangeTracker(ttl_ms, unseen_ms), outputStructType=OUTPUT, outputMode="Append",
+        timeMode="EventTime" if event_time else "None" if ttl_ms is None else "ProcessingTime",
     )
 
     def side(name: str):
-        none = (F.col("change_type") == ("added" if name == "previous" else "removed"))
+        none = F.col("change_type").isin(UNSEEN, "added" if name == "previous" else "removed")
         record = F.struct(*[F.col(f"{name}_{f}").alias(f) for f in FIELDS])
         return F.when(~none, record).alias(name)
 
     changes = tracked.select("url", "id", "pos", "change_type", side("previous"), side("current"))
-    return material_changes(changes)
+    return mark_material(changes).where(F.col("material") | (F.col("change_type") == UNSEEN)).drop("material")

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.quota import quota_counts, with_bucket
 from ..sources import tables
+from .keyed import ROCKSDB
 
 USED = T.StructType([
     T.StructField("counter", T.StringType()), T.StructField("window", T.LongType()), T.StructField("n", T.LongType())
@@ -74,6 +80,75 @@ def start_decisions(
     )
 
 
+GRANTED = T.StructType([
+    T.StructField("key", T.StringType()), T.StructField("window", T.LongType()), T.StructField("ts", T.LongType()),
+    T.StructField("seq", T.LongType()), T.StructField("nth", T.LongType()),
+])
+
+
+class WindowGrants(StatefulProcessor):
+    """Counts what a key was granted in a window; the counter goes when the window has closed.
+
+    Of the requests of a micro-batch only the first that still fit are held, so memory follows the limit.
+    """
+
+    def __init__(self, limit: int, window_ms: int):
+        self._limit, self._window_ms = limit, window_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._used = handle.getValueState("used", T.StructType([T.StructField("n", T.LongType())]))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        used = self._used.get()[0] if self._used.exists() else 0
+        first: list[tuple[int, int]] = []
+        for chunk in rows:
+            # Negated: the heap's top is the last of those held.
+            for ts, seq in zip(chunk["at"].tolist(), chunk["seq"].tolist()):
+                if len(first) < self._limit - used:
+                    heapq.heappush(first, (-ts, -seq))
+                elif first and (-ts, -seq) > first[0]:
+                    heapq.heapreplace(first, (-ts, -seq))
+        if not self._used.exists():
+            # Events of the window's last moment may still come when the watermark is at its end.
+            self._handle.registerTimer((int(key[1]) + 1) * self._window_ms)
+        self._used.update((used + len(first),))
+        if first:
+            granted = sorted((-ts, -seq) for ts, seq in first)
+            yield pd.DataFrame(
+                [(key[0], key[1], ts, seq, used + i + 1) for i, (ts, seq) in enumerate(granted)], columns=GRANTED.names
+            )
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self._used.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_grants(
+    requests: DataFrame, key: str, ts: str, seq: str, limit: int, window_ms: int, delay: str = "0 seconds"
+) -> DataFrame:
+    """The granted requests of a stream: ``key window ts seq nth`` (``ts`` in microseconds).
+
+    A micro-batch grants the first requests by ``ts`` and ``seq`` of each key and window that still fit; all
+    others are denied.  Counters are keyed state of the key and window and end with the window, so no
+    table of them is read or kept.  A request that comes later than ``delay`` behind the newest one
+    gets no grant.
+    """
+    spark: SparkSession = requests.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    at = F.col(ts).cast("timestamp")
+    rows = with_bucket(requests, ts, window_ms).select(
+        F.col(key).cast("string").alias("key"), F.col("bucket").alias("window"), at.alias("__at"),
+        F.unix_micros(at).alias("at"), F.col(seq).cast("long").alias("seq"),
+    ).withWatermark("__at", delay)
+    return rows.groupBy("key", "window").transformWithStateInPandas(
+        statefulProcessor=WindowGrants(limit, window_ms), outputStructType=GRANTED, outputMode="Append", timeMode="EventTime",
+    )
+
+
 def expiring_counts(
     requests: DataFrame, key: str, ts: str, window: str = "5 minutes", delay: str = "0 seconds"
 ) -> DataFrame:
@@ -95,6 +170,21 @@ def start_counts(
     )
 
 
+def start_closed_counts(
+    requests: DataFrame, out: str, key: str, ts: str, window: str = "5 minutes", delay: str = "0 seconds"
+) -> StreamingQuery:
+    """Count all pending requests.  Each counter is written once, when its window has closed; open ones are
+    in the state of the stream only."""
+    return (
+        expiring_counts(requests, key, ts, window, delay)
+        .writeStream.outputMode("append")
+        .format("parquet")
+        .option("checkpointLocation", f"{out}/checkpoint")
+        .trigger(availableNow=True)
+        .start(f"{out}/closed")
+    )
+
+
 def read_counts(spark: SparkSession, out: str, key: str) -> DataFrame:
     """The last value of each counter; a counter never falls."""
     return spark.read.parquet(f"{out}/counts").groupBy(key, "window_start").agg(
