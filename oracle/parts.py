@@ -221,16 +221,21 @@ def host(url: str) -> str:
     return f"lower({one(url, P.HTTPS_HOST, 1)})"
 
 
-def allowed(url: str, domains) -> str:
+def public(url: str) -> str:
     h = host(url)
-    ok = " or ".join(f"{h} = {lit(d)} or ends_with({h}, {lit('.' + d)})" for d in domains)
     bad = (
         f"{h} in ('localhost', '169.254.169.254', 'metadata.google.internal') "
         f"or starts_with({h}, '127.') or starts_with({h}, '10.') or starts_with({h}, '192.168.') "
         + "".join(f"or starts_with({h}, '172.{n}.') " for n in range(16, 32))
         + f"or contains({h}, '169.254.') or ends_with({h}, '.internal') or ends_with({h}, '.local')"
     )
-    return f"({h} <> '' and not ({bad}) and ({ok}))"
+    return f"({h} <> '' and not ({bad}))"
+
+
+def allowed(url: str, domains) -> str:
+    h = host(url)
+    ok = " or ".join(f"{h} = {lit(d)} or ends_with({h}, {lit('.' + d)})" for d in domains)
+    return f"({public(url)} and ({ok}))"
 
 
 def selector_ok(s: str) -> str:

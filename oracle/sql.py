@@ -32,6 +32,10 @@ SQL["validate_targets"] = f"select pos, url, problem, problem is null as valid f
 SQL["enabled_targets"] = f"select * from {TARGETS} t where enabled is distinct from false"
 SQL["url_policy"] = f"""select url, {S.host('url')} as host, {S.allowed('url', DOMAINS)} as allowed
 from (select url from pages union all select url from {TARGETS} t)"""
+SQL["tenant_policy"] = f"""select tenant, pos, url, coalesce({S.public('url')} and exists(
+ select 1 from {D('tenant_domains')} d where d.tenant = u.tenant
+  and ({S.host('url')} = lower(domain) or ends_with({S.host('url')}, '.' || lower(domain)))), false) as allowed
+from {D('tenant_urls')} u"""
 SQL["selector_policy"] = f"select pos, selector, {S.selector_ok('selector')} as allowed from {TARGETS} t"
 FETCH = f"""case when not {S.allowed('url', DOMAINS)}
    then 'URL not allowed: Only HTTPS URLs from approved domains are permitted'
@@ -80,6 +84,7 @@ SQL["state_lookup"] = f"""select c.url_key, c.url, c.hash, p.hash as previous_ha
  strftime(p.last_seen, '%Y-%m-%d %H:%M') as previous_seen
 from {states('curr')} c left join (select * from {states('prev')} where {STATE_OK}) p
 on p.url_key = c.url_key"""
+SQL["colocated_state"] = SQL["state_lookup"]
 SQL["state_upsert"] = f"""with new as (select * replace (cast(cast(last_seen as date) + 1 as timestamp) as last_seen)
   from {states('curr')} where {STATE_OK})
 {STATE_VIEW} from {states('prev')} s where url_key not in (select url_key from new)

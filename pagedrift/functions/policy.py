@@ -17,9 +17,8 @@ def url_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, P.java_regex(P.HTTPS_HOST), 1))
 
 
-def url_allowed(url: Column, allowed_domains: Sequence[str]) -> Column:
-    """https, not an internal or private host, and on (or below) an allowed domain."""
-    host = url_host(url)
+def host_public(host: Column) -> Column:
+    """Not empty, and not an internal or private host."""
     blocked = (
         host.isin(*P.BLOCKED_HOSTS)
         | host.rlike(P.BLOCKED_HOST_PREFIX)
@@ -27,10 +26,22 @@ def url_allowed(url: Column, allowed_domains: Sequence[str]) -> Column:
     )
     for suffix in P.BLOCKED_HOST_SUFFIXES:
         blocked = blocked | host.endswith(suffix)
+    return (host != "") & ~blocked
+
+
+def host_domains(host: Column) -> Column:
+    """The host and every domain it lies below: ``a.b.c``, ``b.c``, ``c``."""
+    parts = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+
+
+def url_allowed(url: Column, allowed_domains: Sequence[str]) -> Column:
+    """https, not an internal or private host, and on (or below) an allowed domain."""
+    host = url_host(url)
     allowed = F.lit(False)
     for domain in allowed_domains:
         allowed = allowed | (host == domain) | host.endswith("." + domain)
-    return F.coalesce((host != "") & ~blocked & allowed, F.lit(False))
+    return F.coalesce(host_public(host) & allowed, F.lit(False))
 
 
 def selector_allowed(selector: Column) -> Column:

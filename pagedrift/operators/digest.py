@@ -48,14 +48,14 @@ def _filled(col: Column) -> Column:
     return F.nullif(F.coalesce(col, F.lit("")), F.lit(""))
 
 
-def _safe(text: Column) -> Column:
-    """Escaped, and cut to what a message field may hold."""
-    return escape_markup(text, P.MESSAGE_TEXT_LIMIT)
+def _safe(text: Column, limit: int | None) -> Column:
+    """Escaped, and cut to what a message field may hold (None: whole)."""
+    return escape_markup(text, limit)
 
 
-def _escaped(promo: Column) -> Column:
+def _escaped(promo: Column, limit: int | None) -> Column:
     """The four fields escaped, '' for missing ones, in item order."""
-    return F.transform(F.array(*[promo[f] for f in ITEM_FIELDS]), _safe)
+    return F.transform(F.array(*[promo[f] for f in ITEM_FIELDS]), lambda t: _safe(t, limit))
 
 
 def _lines(texts: Column, old: Column | None = None) -> Column:
@@ -69,26 +69,26 @@ def _lines(texts: Column, old: Column | None = None) -> Column:
     return F.concat_ws("\n", *lines)
 
 
-def record_text(promo: Column) -> Column:
+def record_text(promo: Column, limit: int | None = P.MESSAGE_TEXT_LIMIT) -> Column:
     """Bold title, perk, price and dates, one line each; missing fields are skipped."""
-    return let(_escaped(promo), lambda t: _lines(t))
+    return let(_escaped(promo, limit), lambda t: _lines(t))
 
 
-def change_text(previous: Column, current: Column) -> Column:
+def change_text(previous: Column, current: Column, limit: int | None = P.MESSAGE_TEXT_LIMIT) -> Column:
     """The new value of each field and, where it differs, the old one struck out."""
     differing = F.struct(
         *[F.when(~previous[f].eqNullSafe(current[f]), previous[f]).alias(f) for f in ITEM_FIELDS]
     )
-    texts = F.struct(_escaped(current).alias("new"), _escaped(differing).alias("old"))
+    texts = F.struct(_escaped(current, limit).alias("new"), _escaped(differing, limit).alias("old"))
     return let(texts, lambda t: _lines(t["new"], t["old"]))
 
 
-def item_text() -> Column:
+def item_text(limit: int | None = P.MESSAGE_TEXT_LIMIT) -> Column:
     previous, current = F.col("previous"), F.col("current")
     return (
-        F.when(F.col("change_type") == "added", record_text(current))
-        .when(F.col("change_type") == "removed", record_text(previous))
-        .otherwise(change_text(previous, current))
+        F.when(F.col("change_type") == "added", record_text(current, limit))
+        .when(F.col("change_type") == "removed", record_text(previous, limit))
+        .otherwise(change_text(previous, current, limit))
     )
 
 
@@ -112,9 +112,12 @@ def change_digest(
     as_of: Column,
     default_name: str = DEFAULT_NAME,
     max_items: int = MAX_ITEMS,
+    text_limit: int | None = P.MESSAGE_TEXT_LIMIT,
 ) -> DataFrame:
     """Block rows, one message per url with changes.
 
+    ``text_limit``: most characters of a field of a record (None: whole).
+
     ``sources``: url, name, detected_at (ISO text), the change counts and the summary.
     ``changes``: the change rows behind those counts.
     """
@@ -146,7 +149,7 @@ def change_digest(
         "url",
         (10 * (F.col("section") + 1) + F.col("item_no")).cast("int").alias("block_no"),
         F.lit("section").alias("block_type"),
-        item_text().alias("text"),
+        item_text(text_limit).alias("text"),
     )
     return frames.unionByName(items)
 
@@ -157,7 +160,9 @@ def messages(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("url").agg(F.to_json(ordered).alias("message"))
 
 
-def deal_text(deal: Column, max_description: int | None = MAX_DESCRIPTION) -> Column:
+def deal_text(
+    deal: Column, max_description: int | None = MAX_DESCRIPTION, limit: int | None = P.MESSAGE_TEXT_LIMIT
+) -> Column:
     """Title, price and savings, place, dates and the start of the text."""
     money = F.concat_ws(
         " • ",
@@ -171,14 +176,14 @@ def deal_text(deal: Column, max_description: int | None = MAX_DESCRIPTION) -> Co
         short = F.when(F.length(description) > max_description, cut).otherwise(description)
     return F.concat_ws(
         "\n",
-        F.concat(F.lit("*"), _safe(deal["title"]), F.lit("*")),
+        F.concat(F.lit("*"), _safe(deal["title"], limit), F.lit("*")),
         F.nullif(money, F.lit("")),
         F.when(_filled(deal["location"]).isNotNull(),
-               F.concat(F.lit("📍 "), _safe(deal["location"]))),
+               F.concat(F.lit("📍 "), _safe(deal["location"], limit))),
         F.when(_filled(deal["dates"]).isNotNull(),
-               F.concat(F.lit("📅 "), _safe(deal["dates"]))),
+               F.concat(F.lit("📅 "), _safe(deal["dates"], limit))),
         F.when(description.isNotNull() & (description != deal["title"]),
-               F.concat(F.lit("_"), _safe(short), F.lit("_"))),
+               F.concat(F.lit("_"), _safe(short, limit), F.lit("_"))),
     )
 
 
@@ -189,9 +194,12 @@ def summary_digest(
     footer: str | None = SUMMARY_FOOTER,
     max_deals: int = MAX_DEALS,
     max_description: int | None = MAX_DESCRIPTION,
+    text_limit: int | None = P.MESSAGE_TEXT_LIMIT,
 ) -> DataFrame:
     """Block rows of page-summary messages, one message per page row.
 
+    ``text_limit``: most characters of a title, a place, a description and the like (None: whole).
+
     ``summaries``: the page summary columns with ``fetched_at`` (ISO text) and ``fetch_ms``.
     A message shows ``max_deals`` deals and says how many more there are.
     """
@@ -199,7 +207,7 @@ def summary_digest(
     n_deals = F.size(deals)
     meta = F.col("meta_description")
     about = F.concat(
-        F.lit("*Page Summary:*\n*Title:* "), _safe(F.col("title")),
+        F.lit("*Page Summary:*\n*Title:* "), _safe(F.col("title"), text_limit),
         F.lit("\n*Type:* "), F.col("kind"),
         F.lit("\n*Content:* "), F.floor(F.col("content_length") / 1024 + 0.5).cast("string"),
         F.lit("KB\n*Promotions:* "), F.col("n_promos").cast("string"), F.lit(" found"),
@@ -212,16 +220,16 @@ def summary_digest(
             F.lit(" • Fetch: "), F.col("fetch_ms").cast("string"), F.lit("ms"))),
         _block(2, "section", about),
         F.when(_filled(meta).isNotNull(), _block(
-            3, "section", F.concat(F.lit("*Description:* "), _safe(meta)))),
+            3, "section", F.concat(F.lit("*Description:* "), _safe(meta, text_limit)))),
         F.when(n_deals > 0, _block(4, "divider", None)),
         F.when(n_deals > 0, _block(5, "section", F.concat(
             F.lit("*🎯 Deals Found ("), n_deals.cast("string"), F.lit("):*")))),
     ]
     shown = F.transform(
         F.slice(deals, 1, max_deals),
-        lambda deal, i: _block(6 + i, "section", deal_text(deal, max_description)),
+        lambda deal, i: _block(6 + i, "section", deal_text(deal, max_description, text_limit)),
     )
-    key_lines = F.transform(keys, lambda k: F.concat(F.lit("• "), _safe(k)))
+    key_lines = F.transform(keys, lambda k: F.concat(F.lit("• "), _safe(k, text_limit)))
     only_keys = (n_deals == 0) & (F.size(keys) > 0)
     tail = [
         F.when(n_deals > max_deals, _block(6 + max_deals, "context", F.concat(

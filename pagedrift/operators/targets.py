@@ -7,7 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.policy import target_problem
+from ..functions.policy import host_domains, host_public, target_problem, url_host
+
+
+def tenant_urls(urls: DataFrame, domains: DataFrame) -> DataFrame:
+    """``urls`` (``tenant``, ``url``, and others) with ``allowed``: on or below a domain of their tenant.
+
+    ``domains`` (``tenant``, ``domain``) may have any number of rows: a host is looked up by the
+    domains it lies below, so the join is by key and the plan does not grow with the list.  A
+    tenant without domains is allowed nothing, as is a row without a tenant.
+    """
+    listed = domains.select("tenant", F.lower("domain").alias("__domain")).where("tenant is not null").distinct()
+    hosts = urls.select("tenant", "url").distinct().withColumn("__host", url_host(F.col("url")))
+    asked = hosts.where(host_public(F.col("__host"))).select(
+        "tenant", "url", F.explode(host_domains(F.col("__host"))).alias("__domain")
+    )
+    fine = asked.join(listed, ["tenant", "__domain"], "left_semi").select("tenant", "url").distinct()
+    return urls.join(fine.withColumn("__fine", F.lit(True)), ["tenant", "url"], "left").select(
+        *urls.columns, F.coalesce("__fine", F.lit(False)).alias("allowed")
+    )
 
 
 def enabled_targets(targets: DataFrame) -> DataFrame:

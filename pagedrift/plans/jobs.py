@@ -183,6 +183,19 @@ def state_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@job
+def colocated_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The previous state of each page from a table that is already dealt and sorted by key."""
+    name = tables.store_bucketed(_states(spark, sf_dir, "prev"), "state", "url_key")
+    current = _states(spark, sf_dir, "curr").select("url_key", "url", "hash")
+    found = state.with_previous_state(current, spark.read.table(name))
+    return found.select(
+        "url_key", "url", "hash", F.col("previous.hash").alias("previous_hash"),
+        F.to_json("previous.promos").alias("previous_promos"),
+        F.date_format("previous.last_seen", "yyyy-MM-dd HH:mm").alias("previous_seen"),
+    )
+
+
 @job
 def history_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = _history(spark, sf_dir)
@@ -226,6 +239,12 @@ def url_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@job
+def tenant_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The urls of all tenants against the domains of each."""
+    return targets.tenant_urls(derived(spark, sf_dir, "tenant_urls"), derived(spark, sf_dir, "tenant_domains"))
+
+
 @job
 def selector_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, "targets").select(

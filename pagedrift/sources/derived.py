@@ -315,7 +315,23 @@ union all
 select '' as url_contains, 'no such words' as pattern, 'For all' as title, cast(null as string) as price,
   cast(null as string) as savings, cast(null as string) as location, cast(9000000 as bigint) as ord from {region}"""
 
+# The urls of tenants, and the domains of each: the nation says which kinds it has.
+TENANT_URLS = f"""
+select concat('tenant-', cast(pos % 97 as string)) as tenant, pos, url from ({TARGETS}) t
+union all
+select case when o_custkey % 89 = 0 then null else concat('tenant-', cast(o_custkey % 97 as string)) end as tenant,
+  o_orderkey + 1000000000 as pos, concat('https://', case o_orderpriority when '1-URGENT' then 'www.' when '2-HIGH' then 'a.b.'
+    when '3-MEDIUM' then 'not-' else '' end, 'site', cast(o_custkey % 11 as string), '.example.com/', cast(o_custkey as string)) as url
+from {{orders}}"""
+TENANT_DOMAINS = """
+select concat('tenant-', cast(c_custkey % 97 as string)) as tenant,
+  case c_nationkey % 5 when 0 then 'example.com' when 1 then 'EXAMPLE.net' when 2 then 'shop.example.com'
+    else concat('site', cast(c_custkey % 11 as string), '.example.com') end as domain
+from {customer} where c_custkey % 97 > 20 or c_nationkey % 5 > 2"""
+
 STATEMENTS = {
+    "tenant_urls": TENANT_URLS,
+    "tenant_domains": TENANT_DOMAINS,
     "part_rules": PART_RULES,
     "site_rules": SITE_RULES,
     "noted_texts": NOTED_TEXTS,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions.policy import url_allowed
 from ..operators.targets import accepted_targets, rejected_targets
 from ..schemas import CRAWL, STATE, TARGET
+from ..session import shared_folder
 from . import commits
 
 
@@ -243,6 +245,26 @@ def delete_keyed(keys: DataFrame, path: str, run_id: int, schema: T.StructType,
     write_keyed(keys.sparkSession.createDataFrame([], schema), path, run_id, key, deleted=keys)
 
 
+# --- bucketed tables -----------------------------------------------------------------
+# A table of the catalog that Spark itself knows to be dealt and sorted by key: a join by that key moves and
+# sorts the other side only.  Its own bucket count is its number of tasks, so it is sized to the data.
+
+def store_bucketed(rows: DataFrame, name: str, key: str, buckets: int | None = None) -> str:
+    """Store the rows as a new table bucketed and sorted by ``key``; gives its name.
+
+    Spark relies on the order within a bucket where ``spark.sql.legacy.bucketedTableScan.outputOrdering``
+    is set; without it a join sorts the stored side again, but still does not move it.
+    """
+    spark = rows.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    # One task for each bucket, so each bucket is one sorted file.
+    rows.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).option(
+        "path", f"{shared_folder(spark, 'bucketed')}/{table}"
+    ).saveAsTable(table)
+    return table
+
+
 def empty_state(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], STATE)
 
