@@ -806,6 +806,25 @@ def crawl_states(odd: int) -> str:
 SQL["crawl_run"] = f"""select url, true as success, has_changes, summary, null as name, null as error
 from {run_rows(crawl_states(1), crawl_states(0))}
 union all select url, false, null, null, name, error from {fetched(1)} where error is not null"""
+OUTCOMES = f"""(select 0 as run_id, c.url, f.name, true as success, false as has_changes, false as notified,
+  'Initial state captured' as summary, null as error
+ from (select * from {crawl_states(0)} where {STATE_OK}) c join {fetched(0)} f on f.url = c.url
+union all select 1, r.url, f.name, true, has_changes, has_changes, summary, null
+ from {run_rows(crawl_states(1), crawl_states(0))} r join {fetched(1)} f on f.url = r.url
+union all select 0, url, name, false, null, null, null, error from {fetched(0)} where error is not null
+union all select 1, url, name, false, null, null, null, error from {fetched(1)} where error is not null)"""
+SQL["crawl_stream"] = f"""select *, case when coalesce(name, '') = '' then 'Unnamed Target' else name end as shown_name,
+ case when success then 'success' else 'failed' end as status,
+ case when success and has_changes then 'Changes detected: ' || summary when success then 'No changes detected'
+   when coalesce(error, '') = '' then 'Processing failed' else error end as message from {OUTCOMES}"""
+RUN_TOTALS = f"""select run_id, count(*) as total, count(*) filter (success) as successful, count(*) filter (not success) as failed,
+ count(*) filter (success and has_changes) as with_changes, count(*) filter (notified) as notified from {OUTCOMES} group by run_id"""
+SQL["crawl_stream_stats"] = f"""select *, {S.plural('total', ' target processed', ' targets processed')}
+ || case when successful > 0 then ', ' || cast(successful as varchar) || ' successful' else '' end
+ || case when failed > 0 then ', ' || cast(failed as varchar) || ' failed' else '' end
+ || case when with_changes > 0 then ', ' || cast(with_changes as varchar) || ' with changes' else '' end
+ || case when notified > 0 then ', ' || {S.plural('notified', ' notification sent', ' notifications sent')} else '' end
+ as summary from ({RUN_TOTALS})"""
 SQL["stream_run"] = f"""select 0 as run_id, url, true as first_run, false as has_changes, 0 as n_added, 0 as n_changed,
  0 as n_removed, 'Initial state captured' as summary from {states('prev')} where {STATE_OK}
 union all select 1, url, first_run, has_changes, n_added, n_changed, n_removed, summary

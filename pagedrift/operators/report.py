@@ -6,16 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def run_stats(results: DataFrame) -> DataFrame:
-    """One row: totals of a run."""
+def run_counts() -> list[Column]:
+    """The totals of a run, as aggregates; they may also be observed while rows are written."""
     ok = F.coalesce(F.col("success"), F.lit(False))
-    return results.agg(
-        F.count("*").alias("total"),
+    return [
+        F.count(F.lit(1)).alias("total"),
         F.count_if(ok).alias("successful"),
         F.count_if(~ok).alias("failed"),
         F.count_if(ok & F.coalesce("has_changes", F.lit(False))).alias("with_changes"),
         F.count_if(F.coalesce("notified", F.lit(False))).alias("notified"),
-    )
+    ]
+
+
+def run_stats(results: DataFrame) -> DataFrame:
+    """One row: totals of a run."""
+    return results.agg(*run_counts())
 
 
 def run_sentence() -> Column:
@@ -39,11 +44,13 @@ def run_sentence() -> Column:
     )
 
 
+def stats_sentence() -> Column:
+    """The sentence for the totals of a run."""
+    return F.when(F.col("total") == 0, "No enabled targets found in configuration").otherwise(run_sentence())
+
+
 def run_summary(results: DataFrame) -> DataFrame:
-    sentence = F.when(F.col("total") == 0, "No enabled targets found in configuration").otherwise(
-        run_sentence()
-    )
-    return run_stats(results).withColumn("summary", sentence)
+    return run_stats(results).withColumn("summary", stats_sentence())
 
 
 def run_report(results: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import patterns as P
 from ..functions import policy, similarity, text
 from ..operators import deals, diff, digest, extract, history, quota, report, state, targets
-from ..schemas import FIELDS, PROMO_DDL
+from ..schemas import CRAWL, FIELDS, PROMO_DDL
 from ..session import configure, shared_folder
 from ..sources import tables
 from ..sources.derived import AS_OF, DOMAINS, derived
@@ -955,6 +955,35 @@ def stream_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/results").withColumn("run_id", F.col("run_id").cast("bigint"))
 
 
+def _crawl_stream(spark: SparkSession, sf_dir: str) -> str:
+    """Two drops of crawled pages, the second after a restart from the checkpoint; gives the folder of the runs."""
+    source, out = shared_folder(spark, "crawls"), shared_folder(spark, "crawl-runs")
+    pages = derived(spark, sf_dir, "crawl_pages").withColumn("ts", F.col("ts").cast("timestamp"))
+    watched = derived(spark, sf_dir, "crawl_targets")
+    for odd in (0, 1):
+        drop = pages.where(F.col("fetch_id") % 2 == odd)
+        # The fetches of the second drop are newer, whatever the order dates say.
+        drop = drop.withColumn("ts", F.col("ts") + F.expr("interval 20 years")) if odd else drop
+        drop.select(*[f.name for f in CRAWL]).write.mode("append").parquet(source)
+        runs.start_crawl_runs(runs.read_crawls(spark, source), lambda: watched, out, DOMAINS).awaitTermination()
+    return out
+
+
+@job
+def crawl_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcome of each page in each run, and the words for it."""
+    out = _crawl_stream(spark, sf_dir)
+    words = spark.read.parquet(f"{out}/report").select("run_id", "url", F.col("name").alias("shown_name"), "status", "message")
+    rows = spark.read.parquet(f"{out}/outcomes").join(words, ["run_id", "url"])
+    return rows.withColumn("run_id", F.col("run_id").cast("bigint"))
+
+
+@job
+def crawl_stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _crawl_stream(spark, sf_dir)
+    return spark.read.parquet(f"{out}/stats").withColumn("run_id", F.col("run_id").cast("bigint"))
+
+
 @job
 def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, out = shared_folder(spark, "drops"), shared_folder(spark, "keyed")

@@ -16,12 +16,13 @@ COMPARED = (
     "generic_deals", "rule_deals", "page_summary", "summary_digest", "page_caps", "escape_markup",
     "price_mentions", "date_mentions", "location_mentions", "map_chunks", "detect_changes", "material_changes", "change_digest", "window_quota",
     "selector_tree", "selector_promos", "snapshot_run", "crawl_run", "history_scan", "stream_run", "stream_changes", "stream_unseen", "stream_quota", "stream_grants", "quota_closed",
-    "quota_expiry", "rule_index",
+    "quota_expiry", "rule_index", "crawl_stream", "crawl_stream_stats", "tenant_policy", "colocated_state",
 )
 # These write files or start streams while they are built.
 BUILT_BY_RUNNING = {
     "scan_targets", "replace_targets", "state_as_of", "digest_sink", "change_digest", "history_scan", "stream_run", "stream_changes",
-    "stream_unseen", "stream_grants", "quota_closed", "stream_quota", "quota_expiry",
+    "stream_unseen", "stream_grants", "quota_closed", "stream_quota", "quota_expiry", "crawl_stream", "crawl_stream_stats",
+    "colocated_state",
 }
 
 
