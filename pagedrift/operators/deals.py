@@ -51,19 +51,31 @@ def _search(
     are searched.  ``ahead`` is a look-ahead that holds at every match start, and ``starts``
     gives for a word group of the pattern how its words begin.
     """
+    return _search_pieces(_pieces(text, needs[0], split), pattern, needs[1:], ahead, starts, group)
+
+
+def _pieces(text: Column, need: str, split: str = SENTENCE) -> Column:
+    """The pieces of a text in which ``need`` occurs.  Several searches can share them."""
+    return F.filter(F.split(text, split), lambda piece: piece.rlike(P.collapsed_regex(need)))
+
+
+def _search_pieces(
+    pieces: Column,
+    pattern: str,
+    needs: Sequence[str],
+    ahead: str = "",
+    starts: dict[str, str] | None = None,
+    group: int = 0,
+) -> Column:
+    """Like :func:`_search` over pieces of the text."""
     for words, begin in (starts or {}).items():
         if words not in pattern:
             raise ValueError(f"no {words!r} in the pattern")
         pattern = pattern.replace(words, f"(?={begin}){words}")
     full = F.lit(P.collapsed_regex(ahead + pattern))
-
-    def worth_it(piece: Column) -> Column:
-        out = piece.rlike(P.collapsed_regex(needs[0]))
-        for need in needs[1:]:
-            out = out & piece.rlike(P.collapsed_regex(need))
-        return out
-
-    pieces = F.filter(F.split(text, split), worth_it)
+    for need in needs:
+        wanted = P.collapsed_regex(need)
+        pieces = F.filter(pieces, lambda piece: piece.rlike(wanted))
     return F.flatten(
         F.transform(pieces, lambda piece: F.regexp_extract_all(piece, full, F.lit(group)))
     )
@@ -201,10 +213,10 @@ def place_mentions(
 ) -> Column:
     """Sentences about known places, place by place; ``limit``: only the first ones."""
 
-    def all_places(text: Column) -> Column:
+    def all_places(pieces: Column) -> Column:
         found = F.concat(
             *[
-                _search(text, r"(?i)[^.!?]{20,80}" + place + r"[^.!?]{0,40}", ["(?i)" + place])
+                _search_pieces(pieces, r"(?i)[^.!?]{20,80}" + place + r"[^.!?]{0,40}", ["(?i)" + place])
                 for place in places
             ]
         )
@@ -214,7 +226,8 @@ def place_mentions(
             _first(kept, limit), lambda c: F.concat(F.lit("Location: "), c)
         )
 
-    return let(html_to_text(html, strip_scripts=False), all_places)
+    # The page is split and searched once; the places share the few sentences that name any.
+    return let(_pieces(html_to_text(html, strip_scripts=False), "(?i)" + "|".join(places)), all_places)
 
 
 # --- deals -----------------------------------------------------------------------
@@ -251,7 +264,12 @@ def _deal_title(description: Column) -> Column:
     )
 
 
-def _hotel_like(text: Column, pattern: str, words: str) -> Column:
+def _priced(text: Column) -> Column:
+    """The pieces of a text that hold a price; a price is not cut."""
+    return _pieces(text, A_PRICE, SENTENCE_WITH_CENTS)
+
+
+def _hotel_like(text: Column, pieces: Column, pattern: str, words: str) -> Column:
     starts = {"(?:" + words: _starts(words.split("|"))}
 
     def read(match: Column) -> Column:
@@ -283,20 +301,35 @@ def _hotel_like(text: Column, pattern: str, words: str) -> Column:
 
     # From the start of a match to its price: two runs of 80 and 40, a hotel word, a run of 100.
     # The hotel word may hold a full stop (``st. regis``).
-    found = _search(
-        text, pattern, [A_PRICE, "(?i)" + words], SENTENCE_WITH_CENTS, _dollar_within(300, "!?"), starts
-    )
+    found = _search_pieces(pieces, pattern, ["(?i)" + words], _dollar_within(300, "!?"), starts)
     return F.filter(F.transform(found, read), lambda d: d.isNotNull())
 
 
 def hotel_deals(text: Column) -> Column:
+    return let(_priced(text), lambda pieces: _hotel_deals(text, pieces))
+
+
+def _hotel_deals(text: Column, pieces: Column) -> Column:
     return F.concat(
-        _hotel_like(text, P.HOTEL_DEAL, P.HOTEL_WORDS),
-        _hotel_like(text, P.PLACE_DEAL, P.HOTEL_PLACES),
+        _hotel_like(text, pieces, P.HOTEL_DEAL, P.HOTEL_WORDS),
+        _hotel_like(text, pieces, P.PLACE_DEAL, P.HOTEL_PLACES),
     )
 
 
+PACKAGE_NEEDS, SAVINGS_NEEDS = r"from\s+\$", r"\ssave\s"
+CREDIT_NEEDS = r"resort\s+(?:credit|fee)|included\s+extras"
+
+
+def _offering(text: Column, *needs: str) -> Column:
+    """The sentences in which one of ``needs`` occurs."""
+    return _pieces(text, "(?i)" + "|".join(needs))
+
+
 def package_deals(text: Column) -> Column:
+    return _package_deals(_offering(text, PACKAGE_NEEDS))
+
+
+def _package_deals(sentences: Column) -> Column:
     def read(match: Column) -> Column:
         return let(
             trim_blanks(_find(match, P.PACKAGE_DEAL, 1)),
@@ -308,8 +341,8 @@ def package_deals(text: Column) -> Column:
 
     return F.filter(
         F.transform(
-            _search(
-                text, P.PACKAGE_DEAL, [r"(?i)from\s+\$"], SENTENCE, _dollar_within(300), PACKAGE_STARTS
+            _search_pieces(
+                sentences, P.PACKAGE_DEAL, ["(?i)" + PACKAGE_NEEDS], _dollar_within(300), PACKAGE_STARTS
             ),
             read,
         ),
@@ -318,6 +351,10 @@ def package_deals(text: Column) -> Column:
 
 
 def savings_deals(text: Column) -> Column:
+    return _savings_deals(_offering(text, SAVINGS_NEEDS))
+
+
+def _savings_deals(sentences: Column) -> Column:
     def read(match: Column) -> Column:
         savings = F.concat(
             F.lit("Save "), _find(match, P.SAVINGS_DEAL, 2), _find(match, P.SAVINGS_DEAL, 3)
@@ -330,13 +367,16 @@ def savings_deals(text: Column) -> Column:
             ),
         )
 
-    return F.filter(
-        F.transform(_search(text, P.SAVINGS_DEAL, [r"(?i)\ssave\s"]), read), lambda d: d.isNotNull()
-    )
+    found = _search_pieces(sentences, P.SAVINGS_DEAL, ["(?i)" + SAVINGS_NEEDS])
+    return F.filter(F.transform(found, read), lambda d: d.isNotNull())
 
 
 def credit_deals(text: Column) -> Column:
     """Resort credits, waived fees and included extras."""
+    return _credit_deals(_offering(text, CREDIT_NEEDS))
+
+
+def _credit_deals(sentences: Column) -> Column:
 
     def title_of(d: Column) -> Column:
         head = F.substring(d, 1, 60)
@@ -375,22 +415,28 @@ def credit_deals(text: Column) -> Column:
             ),
         )
 
-    needs = r"(?i)resort\s+(?:credit|fee)|included\s+extras"
-    found = _search(text, P.CREDIT_DEAL, [needs], starts=CREDIT_STARTS, group=1)
+    found = _search_pieces(sentences, P.CREDIT_DEAL, ["(?i)" + CREDIT_NEEDS], starts=CREDIT_STARTS, group=1)
     return F.filter(F.transform(found, read), lambda d: d.isNotNull())
 
 
 def generic_deals(html: Column, limit: int | None = None) -> Column:
-    """Hotel, package, savings and credit deals, in that order; ``limit``: only the first ones."""
-    return let(
-        html_to_text(html),
-        lambda text: _first(
-            F.concat(
-                hotel_deals(text), package_deals(text), savings_deals(text), credit_deals(text)
-            ),
-            limit,
-        ),
-    )
+    """Hotel, package, savings and credit deals, in that order; ``limit``: only the first ones.
+
+    The page is split twice (with prices whole, and by sentences), and the searches share the pieces
+    that may hold something.
+    """
+
+    def found(text: Column) -> Column:
+        shared = F.struct(
+            _priced(text).alias("priced"),
+            _offering(text, PACKAGE_NEEDS, SAVINGS_NEEDS, CREDIT_NEEDS).alias("sentences"),
+        )
+        return let(shared, lambda s: F.concat(
+            _hotel_deals(text, s["priced"]),
+            *[deals(s["sentences"]) for deals in (_package_deals, _savings_deals, _credit_deals)],
+        ))
+
+    return _first(let(html_to_text(html), found), limit)
 
 
 #: Up to so many rules travel with every page as an array; more are found by an index.
