@@ -3,16 +3,19 @@
 A paragraph is a line, a leaf is a sentence of it with the blanks that follow.  A section ends
 after a blank paragraph and after a paragraph whose hash says so, so an insertion moves no later
 border.  Hashes are SHA-256 cut to 16 bytes, of different tags for leaves and inner nodes.  Equal
-roots mean equal texts; :func:`likeness` leaves equal branches alone and compares what is below
-the others; :func:`edits` names the paragraphs that differ.
+roots mean equal texts.  :func:`likeness` goes down from the roots: branches that are equal and in the
+same order count as a whole, and only below the others it looks further; so what has moved counts
+less than what has stayed.  :func:`edits` names the paragraphs that differ.
 
 Defined cases: a null text is the empty text, which has one empty paragraph; two empty texts are
 alike (1.0).  Rows may repeat; a null ``doc_id`` comes after all others, rows of one ``doc_id``
-are ordered by their text.
+are ordered by a hash of their text.  ``edits`` compares null ids with each other, and of rows that share an id in
+a table only the one with the smallest root.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -65,26 +68,66 @@ class Tree:
     def _close(self, members: list[int]) -> None:
         self.sections.append((_node([self.paragraphs[i][0] for i in members]), members))
 
-    def leaves(self) -> dict[bytes, int]:
-        """Characters below each different leaf."""
-        out: dict[bytes, int] = {}
-        for _, line in self.paragraphs:
-            for h, n in self.below[line][1]:
-                out[h] = out.get(h, 0) + n
-        return out
+    def weight(self, paragraph: int) -> int:
+        """Characters of a paragraph and its line end."""
+        return len(self.paragraphs[paragraph][1]) + 1
 
+    def leaves(self, paragraphs: list[int]) -> list[tuple[bytes, int]]:
+        """The leaves below paragraphs, in order, with their characters."""
+        return [leaf for i in paragraphs for leaf in self.below[self.paragraphs[i][1]][1]]
 
-def likeness(a: Tree, b: Tree, mine: dict | None = None, other: dict | None = None) -> float:
-    """Share of the characters of both that lie in equal leaves, 0 to 1."""
+
+def in_order(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
+    """Places of equal hashes in both lists, the most that stand in the same order.
+
+    The n-th of a hash in the one list is held against the n-th in the other.
+    """
+    places: dict[bytes, list[int]] = {}
+    for j in reversed(range(len(b))):
+        places.setdefault(b[j], []).append(j)
+    pairs = [(i, places[h].pop()) for i, h in enumerate(a) if places.get(h)]
+    # The longest rising run of places in b: the least end of a run of each length, and where it came from.
+    ends: list[int] = []
+    last: list[int] = []
+    before: list[int] = []
+    for n, (_, j) in enumerate(pairs):
+        k = bisect.bisect_left(ends, j)
+        before.append(last[k - 1] if k else -1)
+        ends[k : k + 1], last[k : k + 1] = [j], [n]
+    out, n = [], last[-1] if last else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = before[n]
+    return out[::-1]
+
+
+def likeness(a: Tree, b: Tree) -> float:
+    """Share of the characters of both that lie in equal branches in the same order, 0 to 1."""
     if a.root == b.root:
         return 1.0
-    mine = a.leaves() if mine is None else mine
-    other = b.leaves() if other is None else other
-    if len(other) < len(mine):
-        mine, other = other, mine
-    common = sum(min(n, other[h]) for h, n in mine.items() if h in other)
-    total = sum(mine.values()) + sum(other.values())
-    return 2.0 * common / total if total else 0.0
+    if a.size == 0 or b.size == 0:
+        return 0.0
+    common, same = 0, in_order([h for h, _ in a.sections], [h for h, _ in b.sections])
+    common += sum(a.weight(p) for i, _ in same for p in a.sections[i][1])
+    # Only what lies between the same equal branches is held against each other.
+    for mine, theirs in _between(a.sections, b.sections, same):
+        left = [[p for _, members in part for p in members] for part in (mine, theirs)]
+        same = in_order(*[[t.paragraphs[p][0] for p in ps] for t, ps in zip((a, b), left)])
+        common += sum(a.weight(left[0][i]) for i, _ in same)
+        for rest in _between(*left, same):
+            leaves = [t.leaves(ps) for t, ps in zip((a, b), rest)]
+            common += sum(leaves[0][i][1] for i, _ in in_order(*[[h for h, _ in x] for x in leaves]))
+    # Every paragraph has a line end, the last one included.
+    return 2.0 * common / (a.size + b.size + 2)
+
+
+def _between(a: list, b: list, same: list[tuple[int, int]]) -> Iterator[tuple[list, list]]:
+    """The parts of both lists before, between and after their equal places, where both have any."""
+    i = j = 0
+    for x, y in [*same, (len(a), len(b))]:
+        if i < x and j < y:
+            yield a[i:x], b[j:y]
+        i, j = x + 1, y + 1
 
 
 def edited(text: str, following: str) -> str:
@@ -142,9 +185,12 @@ def edits(before: DataFrame, after: DataFrame) -> DataFrame:
     Takes two results of :func:`trees`; documents with equal roots and sections with equal hashes
     are passed over.
     """
-    pair = before.alias("a").join(after.alias("b"), "doc_id").where(
-        F.col("a.fingerprint") != F.col("b.fingerprint")
-    )
+    def one_of_each(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("doc_id").agg(F.min(F.struct("fingerprint", "sections")).alias("t")).select("doc_id", "t.*")
+
+    pair = one_of_each(before).alias("a").join(
+        one_of_each(after).alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
+    ).where(F.col("a.fingerprint") != F.col("b.fingerprint"))
 
     def only(mine: str, other: str) -> DataFrame:
         hashes = F.transform(F.col(f"{other}.sections"), lambda s: s["hash"])
@@ -157,7 +203,7 @@ def edits(before: DataFrame, after: DataFrame) -> DataFrame:
             lambda p: ~F.array_contains(theirs, p["hash"]),
         )
         return pair.select(
-            "doc_id", F.lit("before" if mine == "a" else "after").alias("side"), F.inline(found)
+            F.col("a.doc_id").alias("doc_id"), F.lit("before" if mine == "a" else "after").alias("side"), F.inline(found)
         )
 
     return only("a", "b").unionByName(only("b", "a"))
@@ -173,12 +219,12 @@ RESULT = {
 ARROW = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
 
 
-def _compare(doc_id, text: str, following: str, tree: Tree, after: Tree, mine: dict, other: dict) -> tuple:
+def _compare(doc_id, text: str, following: str, tree: Tree, after: Tree) -> tuple:
     new = edited(text, following)
     changed = Tree(new, {**tree.below, **after.below})
     return (
         doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), tree.root.hex(), changed.root.hex(),
-        likeness(tree, changed, mine), likeness(tree, after, mine, other),
+        likeness(tree, changed), likeness(tree, after),
         len(tree.sections), len(tree.paragraphs),
     )
 
@@ -202,17 +248,18 @@ def _batches(rows: Iterator[tuple], names: dict[str, str], at_a_time: int = 1000
 def with_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of each document and of its text edited with that of the next smaller doc_id.
 
-    Texts move once: to ranges of ``doc_id``, where a task walks down its sorted rows.  The first
-    and last row of each range are written out and paired with those of the next range.
+    Texts move once: to ranges of ``doc_id``, where a task walks down its sorted rows.  Rows that share an id
+    lie in ranges of a hash of their text, and equal rows where they stood.  The first and last row of
+    each range are written out and paired with those of the next range.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
-        F.col("doc_id").desc_nulls_last(), "text"
-    )
+    ).withColumns({"__h": F.xxhash64("text"), "__stood": F.monotonically_increasing_id()})
+    dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "__h", "__stood").sortWithinPartitions(
+        F.col("doc_id").desc_nulls_last(), F.desc("__h"), "text"
+    ).select("doc_id", "text")
     names = {**RESULT, "kind": "string", "part": "long", "text": "string"}
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,11 +270,11 @@ def with_edits(docs: DataFrame) -> DataFrame:
             for batch in batches:
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     tree = Tree(text)
-                    now = (doc_id, text, tree, tree.leaves())
+                    now = (doc_id, text, tree)
                     if last is None:
                         yield (doc_id, *[None] * (len(RESULT) - 1), "head", part, text)
                     else:
-                        yield (*_compare(*last[:2], text, last[2], tree, last[3], now[3]), "done", part, None)
+                        yield (*_compare(*last[:2], text, last[2], tree), "done", part, None)
                     last = now
             if last is not None:
                 yield (last[0], *[None] * (len(RESULT) - 1), "tail", part, last[1])
@@ -252,8 +299,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for doc_id, text, following in zip(*[c.to_pylist() for c in batch.columns]):
-                    tree, after = Tree(text), Tree(following)
-                    yield _compare(doc_id, text, following, tree, after, tree.leaves(), after.leaves())
+                    yield _compare(doc_id, text, following, Tree(text), Tree(following))
 
         yield from _batches(rows(), RESULT)
 

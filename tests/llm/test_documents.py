@@ -164,6 +164,47 @@ def test_merkle_likeness(spark, given):
     assert merkle.likeness(tree, merkle.Tree("")) == 0.0
 
 
+def test_merkle_likeness_goes_down_in_order():
+    like = lambda a, b: merkle.likeness(merkle.Tree(a), merkle.Tree(b))
+    lines = [f"{prose(8, i)}. {prose(9, 50 + i)}." for i in range(60)]
+    text = "\n".join(lines)
+    # What moves counts less than what stays, and only equal texts are wholly alike.
+    assert 0.4 < like(text, "\n".join(lines[30:] + lines[:30])) < 0.6
+    assert like(text, "\n".join(reversed(lines))) < 0.2
+    assert 0.9 < like(text, text.replace(lines[7], "Another line.")) < 1
+    half = lines[5].split(". ")[0] + ". Another end."
+    assert like(text, text.replace(lines[5], "x")) < like(text, text.replace(lines[5], half)) < 1
+    assert 0.4 < like(text, merkle.edited(text, prose(500, 9))) < 0.6
+    assert 0 < like("\n\n", "\n\n\n\n") < 1 and like("\n\n", "\n\n") == 1.0
+    for a, b in ((text, "\n".join(lines[::2])), ("a. b. a. b.", "b. a."), ("", "x"), ("x\ny", "y\nx")):
+        assert like(a, b) == like(b, a)
+
+
+def test_equal_branches_in_order():
+    pick = random.Random(3)
+    for _ in range(200):
+        a, b = ([pick.choice(b"abcd") for _ in range(pick.randrange(9))] for _ in range(2))
+        found = merkle.in_order(a, b)
+        assert all(a[i] == b[j] for i, j in found)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(found, found[1:]))
+
+
+def test_edits_of_odd_ids(spark):
+    frame = lambda rows: merkle.trees(spark.createDataFrame(rows, "doc_id long, text string"))
+    before = [(None, "one\ntwo"), (1, "same"), (1, "same"), (2, "gone"), (4, None)]
+    after = [(None, "one\n2"), (1, "same"), (3, "new"), (4, "")]
+    found = {(r["doc_id"], r["side"], r["start"], r["length"]) for r in merkle.edits(frame(before), frame(after)).collect()}
+    assert found == {(None, "before", 4, 3), (None, "after", 4, 1)}
+
+
+def test_one_id_in_many_ranges(spark, tables):
+    docs = [(None, f"text {i}. {prose(5, i)}") for i in range(300)] + [(7, "the same text")] * 200 + [(8, "x")]
+    rows = [r.asDict() for r in jobs.QUERIES["op1_merkle"](spark, tables(documents=docs)).collect()]
+    assert len(rows) == len(docs) and sum(r["doc_id"] is None for r in rows) == 300
+    same = [r for r in rows if r["doc_id"] == 7]
+    assert sum(r["near_next"] == 1.0 for r in same) == 199 and len({r["fingerprint"] for r in same}) == 1
+
+
 # --- secrets ---------------------------------------------------------------------------------
 
 def test_trigram_queries():
