@@ -1,6 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, units after numbers, currency signs and capitalised words become typed placeholders; blanks and marks only separate words.  Windows of five template words of the
+Numbers, in digits or in words, units after numbers, currency signs and capitalised words become typed
+placeholders; blanks and marks only separate words.  Windows of five template words of the
 documents are hash-joined with those of the benchmark items.  A document leaks an item when it
 holds at least 0.8 of the item's windows in alignments whose placeholders are filled consistently:
 within a type, equal fillings of the item stand for equal fillings of the document; windows with a
@@ -37,6 +38,12 @@ UNITS = (
     "minute|hours|hour|days|day|weeks|week|months|month|years|year|dollars|dollar|euros|euro|"
     "cents|cent|percent|degrees|degree"
 )
+#: Cardinal and ordinal words.
+NUMBER_WORDS = (
+    "one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|"
+    "seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|"
+    "million|billion|first|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|twice|thrice|dozen"
+)
 MARKS = ".,;:!?\"'()[]{}<>|*#&_~`^/\\-+="
 NUMBER, UNIT, NAME = "⟨n⟩", "⟨u⟩", "⟨p⟩"
 SLOT = "⟨[nup]⟩"
@@ -55,7 +62,8 @@ def plain(text: Column) -> Column:
 
 def template(text: Column) -> Column:
     """Of a :func:`plain` text: as many words, the varying ones replaced by their type."""
-    out = F.regexp_replace(text, r"[0-9][0-9·]*", NUMBER)
+    spelled = f"(?i)(?<![^\\x20\\x09-\\x0D])(?=[bdefhmnost])(?:{NUMBER_WORDS})(?![^\\x20\\x09-\\x0D])"
+    out = F.regexp_replace(F.regexp_replace(text, r"[0-9][0-9·]*", NUMBER), spelled, NUMBER)
     out = F.regexp_replace(out, f"(?i)({NUMBER}[\\x20\\x09-\\x0D]?)(?:{UNITS})(?![\\p{{L}}0-9⟨])", f"$1{UNIT}")
     out = F.regexp_replace(out, r"(?<![^\x20\x09-\x0D])\p{Lu}\p{L}*\p{Ll}\p{L}*(?!\p{L})", NAME)
     return F.lower(F.regexp_replace(out, r"[$€£¥%°]", UNIT))

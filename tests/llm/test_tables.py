@@ -139,6 +139,19 @@ def test_fillings_may_coincide(spark, tables):
     assert leaks(spark, folder) >= {(1, 1), (2, 1), (6, 3)} and not any(d == 3 for d, _ in leaks(spark, folder))
 
 
+def test_numbers_in_words(spark, tables):
+    item = ("A farmer sold twelve dollars worth of eggs in fifty minutes to three kids. The second kid paid "
+            "four dollars and the third kid paid 2 dollars more than Mary did on that day")
+    other = item
+    for a, b in (("twelve", "Thirty"), ("fifty", "9"), ("three", "seven"), ("third", "fifth"), ("four", "12"), ("Mary", "Jane")):
+        other = other.replace(a, b)
+    apart = "The tone of the bone was often heard by someone who had been there for a while on that day"
+    docs = [(1, other), (2, f"It says here: {other.lower()}"), (3, f"{apart} " * 3), (4, item.replace("eggs", "milk").replace("kid", "man"))]
+    assert leaks(spark, tables(documents=docs, benchmark=[(1, item), (2, apart.replace("tone", "stone"))])) >= {(1, 1)}
+    found = leaks(spark, tables(documents=docs, benchmark=[(1, item)]))
+    assert found & {(1, 1), (3, 1), (4, 1)} == {(1, 1)}
+
+
 def test_names_anywhere_and_in_lower_case(spark, tables):
     item = ("Tom has 5 apples. Tom buys 3 more of them at the store. Then Tom, Jerry and Spike eat 4. "
             "\"Maria\" counts 7 (Ines, 2) and asks: How many apples are left for Tom?")
