@@ -62,10 +62,13 @@ def plain(text: Column) -> Column:
 
 def template(text: Column) -> Column:
     """Of a :func:`plain` text: as many words, the varying ones replaced by their type."""
-    spelled = f"(?i)(?<![^\\x20\\x09-\\x0D])(?=[bdefhmnost])(?:{NUMBER_WORDS})(?![^\\x20\\x09-\\x0D])"
-    out = F.regexp_replace(F.regexp_replace(text, r"[0-9][0-9·]*", NUMBER), spelled, NUMBER)
+    out = F.regexp_replace(text, r"[0-9][0-9·]*", NUMBER)
     out = F.regexp_replace(out, f"(?i)({NUMBER}[\\x20\\x09-\\x0D]?)(?:{UNITS})(?![\\p{{L}}0-9⟨])", f"$1{UNIT}")
-    out = F.regexp_replace(out, r"(?<![^\x20\x09-\x0D])\p{Lu}\p{L}*\p{Ll}\p{L}*(?!\p{L})", NAME)
+    # Number words stay for :func:`typed`, also at the start of a sentence.
+    spelled = f"(?!(?i:{NUMBER_WORDS})(?![^\\x20\\x09-\\x0D]))"
+    out = F.regexp_replace(
+        out, r"(?<![^\x20\x09-\x0D])(?=\p{Lu})" + spelled + r"\p{Lu}\p{L}*\p{Ll}\p{L}*(?!\p{L})", NAME
+    )
     return F.lower(F.regexp_replace(out, r"[$€£¥%°]", UNIT))
 
 
@@ -73,6 +76,21 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def typed(text: Column) -> Column:
+    """The words of a :func:`plain` text, the varying ones replaced by their type, number words included."""
+    numbers, units = NUMBER_WORDS.split("|"), UNITS.split("|")
+
+    def spelled(tokens: Column) -> Column:
+        def word(w: Column, i: Column) -> Column:
+            unit = w.isin(*units) & F.get(tokens, i - 1).isin(*numbers)
+            # Most words are neither: one look-up.
+            return F.when(~w.isin(*numbers, *units), w).when(w.isin(*numbers), NUMBER).when(unit, UNIT).otherwise(w)
+
+        return F.transform(tokens, word)
+
+    return _let(words(template(text)), spelled)
+
+
 def windows(tokens: Column) -> Column:
     """Hashes of all windows of five words."""
     n = F.size(tokens)
@@ -87,7 +105,7 @@ def item_windows(items: DataFrame) -> DataFrame:
     base = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     # With names, with a first word within a sentence, and all in lower case.
     text = plain(F.col("text"))
-    ways = _let(words(template(text)), lambda named: _let(words(template(F.lower(text))), lambda literal: F.array(
+    ways = _let(typed(text), lambda named: _let(typed(F.lower(text)), lambda literal: F.array(
         named, F.concat(F.slice(literal, 1, 1), F.slice(named, 2, 1 << 30)), literal
     )))
     each = base.select("item_id", F.explode(ways).alias("words"))
@@ -100,9 +118,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """``doc_id text_hash item_id n_windows n_item n_slots`` of each document and item it leaks."""
     of_items = written(item_windows(items), "benchmark")
     key = [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]
-    hashed = docs.select(*key, _let(
-        template(plain(F.col("text"))), lambda t: _let(words(t), windows)
-    ).alias("hashes"))
+    hashed = docs.select(*key, _let(typed(plain(F.col("text"))), windows).alias("hashes"))
     places = hashed.select("doc_id", "text_hash", F.posexplode("hashes").alias("pos", "hash"))
     hits = places.join(bounded(of_items), "hash")
     aligned = hits.groupBy("doc_id", "text_hash", "item_id", (F.col("pos") - F.col("at")).alias("shift")).agg(
@@ -200,11 +216,11 @@ def _consistent(docs: DataFrame, items: DataFrame, found: DataFrame, least: floa
     ).dropDuplicates(key).select(
         F.col("doc_id").alias("t_doc_id"), F.col("text_hash").alias("t_text_hash"),
         words(plain(F.col("text"))).alias("t_words"),
-        words(template(plain(F.col("text")))).alias("t_kinds"),
+        typed(plain(F.col("text"))).alias("t_kinds"),
     )
     text = F.coalesce("text", F.lit(""))
     own = items.select(
-        F.col("item_id").alias("i_item_id"), words(plain(text)).alias("i_words"), words(template(plain(text))).alias("i_kinds"),
+        F.col("item_id").alias("i_item_id"), words(plain(text)).alias("i_words"), typed(plain(text)).alias("i_kinds"),
     ).dropDuplicates(["i_item_id"])
     both = found.join(
         theirs, found["doc_id"].eqNullSafe(theirs["t_doc_id"]) & (found["text_hash"] == theirs["t_text_hash"])
