@@ -312,7 +312,7 @@ select right(cast(p_partkey as string), 3) as url_contains, 'trip across the [a-
   concat('Trip ', p_name) as title, cast(null as string) as price, cast(null as string) as savings,
   cast(null as string) as location, 2000000 + cast(p_partkey as bigint) as ord from {part} where p_size < 10
 union all
-select '' as url_contains, 'no such words' as pattern, 'For all' as title, cast(null as string) as price,
+select substring(r_name, 1, 0) as url_contains, 'no such words' as pattern, 'For all' as title, cast(null as string) as price,
   cast(null as string) as savings, cast(null as string) as location, cast(9000000 as bigint) as ord from {region}"""
 
 # The urls of tenants, and the domains of each: the nation says which kinds it has.
