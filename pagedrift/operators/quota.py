@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 WINDOW_MS = 300_000
@@ -21,25 +21,37 @@ def window_quota(
     limit: int,
     window_ms: int = WINDOW_MS,
 ) -> DataFrame:
-    """Every request with ``allowed``; order is ``ts`` then ``seq``.
+    """Every request with ``allowed``; order is ``ts`` then ``seq``, and of equal ones any come first.
 
     Only the first ``limit`` requests of a window are ranked (Spark cuts to that many per task
     before the shuffle).  The last of them is the window's cut-off, one narrow row, and every
-    request is compared with it.  A key holding a third of all requests is never sorted in one
-    task.
+    request is compared with it; only those equal to it are counted.  A key holding a third of all
+    requests is never sorted in one task.
     """
     bucketed = with_bucket(requests, ts, window_ms)
     by_window = Window.partitionBy(key, "bucket").orderBy(ts, seq)
-    cutoff = (
-        bucketed.select(key, "bucket", ts, seq)
-        .withColumn("rn", F.row_number().over(by_window))
-        .where(F.col("rn") <= limit)
-        .groupBy(key, "bucket")
-        .agg(F.max(F.struct(ts, seq)).alias("cutoff"))
-    )
-    return bucketed.join(cutoff, [key, "bucket"]).withColumn(
-        "allowed", F.struct(ts, seq) <= F.col("cutoff")
-    ).drop("cutoff")
+    first = ranked(bucketed.select(key, "bucket", ts, seq), by_window).where(F.col("rn") <= limit)
+    found = first.groupBy(F.col(key).alias("__key"), F.col("bucket").alias("__bucket")).agg(cut_off(ts, seq))
+    here = F.col(key).eqNullSafe(F.col("__key")) & F.col("bucket").eqNullSafe(F.col("__bucket"))
+    return mark_allowed(bucketed.join(found, here), (key, "bucket"), ts, seq).drop("__key", "__bucket")
+
+
+def ranked(rows: DataFrame, window: WindowSpec) -> DataFrame:
+    """With the place of each row, ``rn``, and that of the first row equal to it, ``rk``."""
+    return rows.withColumns({"rn": F.row_number().over(window), "rk": F.rank().over(window)})
+
+
+def cut_off(ts: str, seq: str) -> Column:
+    """The last of the :func:`ranked` rows that fit: ``ts seq``, and with ``rn`` and ``rk`` how many equal ones do."""
+    return F.max(F.struct(ts, seq, "rn", "rk")).alias("cutoff")
+
+
+def mark_allowed(rows: DataFrame, window: tuple[str, ...], ts: str, seq: str) -> DataFrame:
+    """Rows with the ``cutoff`` of their window (null: nothing fits), as rows with ``allowed``."""
+    own, last = F.struct(ts, seq), F.struct(F.col(f"cutoff.{ts}"), F.col(f"cutoff.{seq}"))
+    equal = F.row_number().over(Window.partitionBy(*window, ts, seq).orderBy(F.lit(0)))
+    fits = (own < last) | ((own == last) & (equal <= F.col("cutoff.rn") - F.col("cutoff.rk") + 1))
+    return rows.withColumn("allowed", F.col("cutoff").isNotNull() & fits).drop("cutoff")
 
 
 def quota_counts(requests: DataFrame, key: str, ts: str, window: str = "5 minutes") -> DataFrame:
