@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators.quota import quota_counts, with_bucket
+from ..operators.quota import cut_off, mark_allowed, quota_counts, ranked, with_bucket
 from ..sources import tables
 from .keyed import ROCKSDB
 
@@ -40,21 +40,19 @@ def decide_batch(
         ).select("counter", F.col("n").alias("n_used"))
         by_window = Window.partitionBy("counter").orderBy(ts, seq)
         first = (
-            requests.select("counter", ts, seq, F.col("bucket").alias("window"))
-            .withColumn("rn", F.row_number().over(by_window))
+            ranked(requests.select("counter", ts, seq, F.col("bucket").alias("window")), by_window)
             .where(F.col("rn") <= limit)
             .join(used, "counter", "left")
             .where(F.col("rn") <= limit - F.coalesce("n_used", F.lit(0)))
         )
         cutoff = first.groupBy("counter").agg(
-            F.max(F.struct(ts, seq)).alias("cutoff"),
+            cut_off(ts, seq),
             F.max("window").alias("window"),
             (F.count("*") + F.coalesce(F.max("n_used"), F.lit(0))).alias("n"),
         )
-        flagged = requests.join(cutoff.select("counter", "cutoff"), "counter", "left").withColumn(
-            "allowed", F.coalesce(F.struct(ts, seq) <= F.col("cutoff"), F.lit(False))
-        )
-        tables.write_run(flagged.drop("counter", "cutoff"), f"{out}/decisions", run_id)
+        limits = requests.join(cutoff.select("counter", "cutoff"), "counter", "left")
+        flagged = mark_allowed(limits, ("counter",), ts, seq)
+        tables.write_run(flagged.drop("counter"), f"{out}/decisions", run_id)
         keep = None
         if keep_windows is not None:
             newest = requests.agg(F.max("bucket")).first()[0] or 0
@@ -86,10 +84,19 @@ GRANTED = T.StructType([
 ])
 
 
+#: State is dealt into so many parts by key and window.  A part is one call to Python and one entry of the state
+#: whatever it holds, so the number of calls does not grow with the counters.  Fixed for a checkpoint.
+PARTS = 4_096
+COUNTERS = T.StructType([
+    T.StructField("key", T.StringType()), T.StructField("window", T.LongType()), T.StructField("n", T.LongType())
+])
+
+
 class WindowGrants(StatefulProcessor):
-    """Counts what a key was granted in a window; the counter goes when the window has closed.
+    """Counts what each key of a part was granted in a window; a counter goes when its window has closed.
 
-    Of the requests of a micro-batch only the first that still fit are held, so memory follows the limit.
+    Of the requests of a micro-batch only the first that still fit are held, so memory follows the limit
+    and the open windows of the part.
     """
 
     def __init__(self, limit: int, window_ms: int):
@@ -97,27 +104,47 @@ class WindowGrants(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._used = handle.getValueState("used", T.StructType([T.StructField("n", T.LongType())]))
+        self._used = handle.getListState("used", COUNTERS)
+
+    def _end(self, window: int) -> int:
+        return (window + 1) * self._window_ms
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        used = self._used.get()[0] if self._used.exists() else 0
-        first: list[tuple[int, int]] = []
+        used = {(k, w): n for k, w, n in self._used.get()}
+        waiting = max((w for _, w in used), default=None)
+        firsts: dict[tuple[str, int], list[tuple[int, int]]] = {}
         for chunk in rows:
             # Negated: the heap's top is the last of those held.
-            for ts, seq in zip(chunk["at"].tolist(), chunk["seq"].tolist()):
-                if len(first) < self._limit - used:
+            for k, w, ts, seq in zip(
+                chunk["key"].tolist(), chunk["window"].tolist(), chunk["at"].tolist(), chunk["seq"].tolist()
+            ):
+                first = firsts.setdefault((k, w), [])
+                if len(first) < self._limit - used.get((k, w), 0):
                     heapq.heappush(first, (-ts, -seq))
                 elif first and (-ts, -seq) > first[0]:
                     heapq.heapreplace(first, (-ts, -seq))
-        if not self._used.exists():
-            # Events of the window's last moment may still come when the watermark is at its end.
-            self._handle.registerTimer((int(key[1]) + 1) * self._window_ms)
-        self._used.update((used + len(first),))
-        if first:
+        found = []
+        for (k, w), first in firsts.items():
+            before = used.get((k, w), 0)
+            used[k, w] = before + len(first)
             granted = sorted((-ts, -seq) for ts, seq in first)
-            yield pd.DataFrame(
-                [(key[0], key[1], ts, seq, used + i + 1) for i, (ts, seq) in enumerate(granted)], columns=GRANTED.names
-            )
+            found.extend((k, w, ts, seq, before + i + 1) for i, (ts, seq) in enumerate(granted))
+        # Rows of this batch may lie before its watermark, those of later ones do not.
+        passed = timerValues.getCurrentWatermarkInMs()
+        left = [(k, w, n) for (k, w), n in used.items() if self._end(w) > passed]
+        self._wait_until(waiting, max((w for _, w, _ in left), default=None))
+        self._used.put(left) if left else self._used.clear()
+        if found:
+            yield pd.DataFrame(found, columns=GRANTED.names)
+
+    def _wait_until(self, old: int | None, new: int | None) -> None:
+        """One timer for a part, at the end of its last window."""
+        if old == new:
+            return
+        if old is not None:
+            self._handle.deleteTimer(self._end(old))
+        if new is not None:
+            self._handle.registerTimer(self._end(new))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         self._used.clear()
@@ -133,8 +160,8 @@ def stream_grants(
     """The granted requests of a stream: ``key window ts seq nth`` (``ts`` in microseconds).
 
     A micro-batch grants the first requests by ``ts`` and ``seq`` of each key and window that still fit; all
-    others are denied.  Counters are keyed state of the key and window and end with the window, so no
-    table of them is read or kept.  A request that comes later than ``delay`` behind the newest one
+    others are denied.  Counters are keyed state of parts of the keys and windows and end with the window, so
+    no table of them is read or kept.  A request that comes later than ``delay`` behind the newest one
     gets no grant.
     """
     spark: SparkSession = requests.sparkSession
@@ -143,8 +170,9 @@ def stream_grants(
     rows = with_bucket(requests, ts, window_ms).select(
         F.col(key).cast("string").alias("key"), F.col("bucket").alias("window"), at.alias("__at"),
         F.unix_micros(at).alias("at"), F.col(seq).cast("long").alias("seq"),
+        F.pmod(F.xxhash64(F.col(key).cast("string"), "bucket"), F.lit(PARTS)).alias("part"),
     ).withWatermark("__at", delay)
-    return rows.groupBy("key", "window").transformWithStateInPandas(
+    return rows.groupBy("part").transformWithStateInPandas(
         statefulProcessor=WindowGrants(limit, window_ms), outputStructType=GRANTED, outputMode="Append", timeMode="EventTime",
     )
 
