@@ -32,26 +32,36 @@ OUTPUT = T.StructType(
         *[T.StructField(f"{side}_{f}", T.StringType()) for side in SIDES for f in FIELDS],
     ]
 )
-# Of a page: time and hash of its last snapshot, and the ids of its records in order.
+#: Pages meet in so many groups: the cost of a group, its calls and its timer is not paid for each page.
+PARTS = 4_096
+#: A page with up to so many records keeps them in its own entry.
+TOGETHER = 16
+#: Entries are looked up one by one if they are few; else by a scan that passes at most so many for each.
+FEW, PASSED = 8, 20
+URL = T.StructType([T.StructField("url", T.StringType())])
+# Of a page: time and hash of its last snapshot, when it counts as unseen, and its records, or the ids of them in order.
 PAGE = T.StructType(
     [
         T.StructField("ts", T.LongType()),
         T.StructField("hash", T.StringType()),
+        T.StructField("due", T.LongType()),
+        T.StructField("promos", T.StringType()),
         T.StructField("ids", T.StringType()),
     ]
 )
-# Of an id: the records that have it, in order; nearly always one.
-RECORD_ID = T.StructType([T.StructField("id", T.StringType())])
+# Of an id of a page with many: the records that have it, in order; nearly always one.
+RECORD_ID = T.StructType([T.StructField("url", T.StringType()), T.StructField("id", T.StringType())])
 RECORDS = T.StructType([T.StructField("records", T.StringType())])
+TOLD = T.StructType([T.StructField("until", T.LongType())])
 UNSEEN = "unseen"
 
 
 class ChangeTracker(StatefulProcessor):
-    """Keeps the records of a url by id, and emits its changes.
+    """Keeps the records of the urls of a part, and emits their changes.
 
-    A snapshot writes the records that differ from the stored ones, and no others.  Of the snapshots
-    of one micro-batch the newest counts; it is found while the chunks pass, so memory holds two
-    snapshots whatever the number of rows of a url.
+    A snapshot writes the entry of its page and, of a page with many records, those that differ from the
+    stored ones, and no others.  Of the snapshots of one micro-batch the newest counts; it is found while the
+    chunks pass, so memory holds one snapshot for each url of the part, whatever the number of rows of a url.
 
     ``unseen_ms``: a url without a snapshot for so long is reported, once, as ``unseen``.  Time is that
     of the snapshots, or the clock if ``ttl_ms`` is set, which forgets a url after so long.
@@ -62,67 +72,144 @@ class ChangeTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._page = handle.getValueState("page", PAGE, self._ttl_ms)
+        self._pages = handle.getMapState("pages", URL, PAGE, self._ttl_ms)
         self._records = handle.getMapState("records", RECORD_ID, RECORDS, self._ttl_ms)
+        self._told = handle.getValueState("told", TOLD)
 
     def handleInputRows(
         self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
     ) -> Iterator[pd.DataFrame]:
-        newest: tuple[int, str, str] | None = None
+        newest: dict[str | None, tuple[int, str, str]] = {}
         for chunk in rows:
-            for row in zip(chunk["ts"], chunk["hash"], chunk["promos"]):
-                if newest is None or row[:2] > newest[:2]:
-                    newest = (int(row[0]), row[1], row[2])
-        if newest is None:
-            return
-        known = self._page.get() if self._page.exists() else None
-        if known is not None and newest[0] < known[0]:
-            return
-        self._wait_for(newest[0], timerValues)
-        if known is not None and known[1] == newest[1]:
-            self._page.update((newest[0], known[1], known[2]))
-            return
-        current = json.loads(newest[2])
-        self._page.update((newest[0], newest[1], json.dumps([p["id"] for p in current])))
-        stored = {k[0]: v[0] for k, v in self._records.iterator()} if known is not None else {}
-        if known is not None:
-            left = {i: iter(json.loads(text)) for i, text in stored.items()}
-            previous = [next(left[i]) | {"id": i} for i in json.loads(known[2])]
-            changes = _diff(key[0], previous, current)
-            if changes:
-                yield pd.DataFrame(changes, columns=OUTPUT.names)
-        self._store(stored, current)
-
-    def _store(self, stored: dict[str, str], current: list[dict]) -> None:
+            for url, *row in zip(*[chunk[c].tolist() for c in ("url", "ts", "hash", "promos")]):
+                held = newest.get(url)
+                if held is None or tuple(row[:2]) > held[:2]:
+                    newest[url] = tuple(row)
+        known = _look_up(self._pages, [(url,) for url in newest])
+        changes: list[tuple] = []
+        first_due: int | None = None
+        for url, (ts, hash_, text) in newest.items():
+            page = known.get((url,))
+            if page is not None and ts < page[0]:
+                continue
+            due = self._due(ts, timerValues)
+            first_due = due if first_due is None else min(first_due, due)
+            if page is not None and page[1] == hash_:
+                self._pages.updateValue((url,), (ts, hash_, due, page[3], page[4]))
+                continue
+            current = json.loads(text)
+            previous = self._previous(url, page)
+            # What a page keeps for so long ends as a whole.
+            together = len(current) <= TOGETHER or self._ttl_ms is not None
+            ids = None if together else json.dumps([p["id"] for p in current])
+            self._pages.updateValue((url,), (ts, hash_, due, text if together else None, ids))
+            self._store(
+                url, {} if page is None or page[4] is None else _by_id(previous), {} if together else _by_id(current)
+            )
+            if page is not None:
+                changes.extend(_diff(url, previous, current))
+        if first_due is not None:
+            self._wait_until(first_due)
+        if changes:
+            yield pd.DataFrame(changes, columns=OUTPUT.names)
+
+    def _previous(self, url: str | None, page: tuple | None) -> list[dict]:
+        """The records of the stored snapshot, in order."""
+        if page is None:
+            return []
+        if page[3] is not None:
+            return json.loads(page[3])
+        ids = json.loads(page[4])
+        stored = _look_up(self._records, [(url, i) for i in dict.fromkeys(ids)])
+        left = {i: iter(json.loads(text)) for (_, i), (text,) in stored.items()}
+        return [next(left[i]) | {"id": i} for i in ids]
+
+    def _store(self, url: str | None, stored: dict[str, str], current: dict[str, str]) -> None:
         """Write the records that are new or differ, remove those that are gone."""
-        by_id: dict[str, list[dict]] = {}
-        for promo in current:
-            by_id.setdefault(promo["id"], []).append({k: v for k, v in promo.items() if k != "id"})
-        for i, records in by_id.items():
-            text = json.dumps(records)
+        for i, text in current.items():
             if stored.get(i) != text:
-                self._records.updateValue((i,), (text,))
-        for i in stored.keys() - by_id.keys():
-            self._records.removeKey((i,))
+                self._records.updateValue((url, i), (text,))
+        for i in stored.keys() - current.keys():
+            self._records.removeKey((url, i))
+
+    def _now(self, timerValues: Any) -> int:
+        if self._ttl_ms is None:
+            return timerValues.getCurrentWatermarkInMs()
+        return timerValues.getCurrentProcessingTimeInMs()
+
+    def _due(self, ts: int, timerValues: Any) -> int:
+        """When a url seen at ``ts`` counts as unseen."""
+        if self._unseen_ms is None:
+            return 0
+        return (ts // 1000 if self._ttl_ms is None else self._now(timerValues)) + self._unseen_ms
 
-    def _wait_for(self, ts: int, timerValues: Any) -> None:
+    def _wait_until(self, due: int) -> None:
+        """One timer for a part, not later than the first of its pages is due."""
         if self._unseen_ms is None:
             return
-        for old in list(self._handle.listTimers()):
+        timers = list(self._handle.listTimers())
+        if timers and min(timers) <= due:
+            return
+        for old in timers:
             self._handle.deleteTimer(old)
-        now = ts // 1000 if self._ttl_ms is None else timerValues.getCurrentProcessingTimeInMs()
-        self._handle.registerTimer(now + self._unseen_ms)
+        self._handle.registerTimer(due)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        row = (key[0], None, None, UNSEEN, *[None] * (len(OUTPUT.names) - 4))
-        frame = pd.DataFrame([row], columns=OUTPUT.names)
-        frame["pos"] = frame["pos"].astype("Int64")
-        yield frame
+        now = self._now(timerValues)
+        told = self._told.get()
+        told = -1 if told is None else told[0]
+        missing, waiting = [], None
+        for (url,), page in self._pages.iterator():
+            due = page[2]
+            if due > now:
+                waiting = due if waiting is None else min(waiting, due)
+            elif due > told:
+                missing.append((url, None, None, UNSEEN, *[None] * (len(OUTPUT.names) - 4)))
+        self._told.update((now,))
+        if waiting is not None:
+            self._handle.registerTimer(waiting)
+        if missing:
+            frame = pd.DataFrame(missing, columns=OUTPUT.names)
+            frame["pos"] = frame["pos"].astype("Int64")
+            yield frame
 
     def close(self) -> None:
         pass
 
 
+def _look_up(state: Any, keys: list[tuple]) -> dict[tuple, tuple]:
+    """The entries of those keys that are in a map.
+
+    An entry that a scan passes costs far less than one that is asked for; so many are found by a scan, as far
+    as that pays, and a few keys never read the whole map.
+    """
+    found: dict[tuple, tuple] = {}
+    if len(keys) > FEW:
+        wanted, passed = set(keys), 0
+        for k, v in state.iterator():
+            if tuple(k) in wanted:
+                found[tuple(k)] = tuple(v)
+            passed += 1
+            if passed == PASSED * len(keys):
+                break
+        else:
+            return found
+    for k in keys:
+        if k not in found:
+            v = state.getValue(k)
+            if v is not None:
+                found[k] = tuple(v)
+    return found
+
+
+def _by_id(promos: list[dict]) -> dict[str, str]:
+    """The records of each id, as they are stored."""
+    records: dict[str, list[dict]] = {}
+    for promo in promos:
+        records.setdefault(promo["id"], []).append({k: v for k, v in promo.items() if k != "id"})
+    return {i: json.dumps(r) for i, r in records.items()}
+
+
 def _diff(url: str, previous: list[dict], current: list[dict]) -> list[tuple]:
     last = {p["id"]: p for p in previous}
     now = {p["id"] for p in current}
@@ -174,8 +261,9 @@ def stream_changes(
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"),
         promos_hash(F.col("promos")).alias("hash"),
         F.to_json(cleaned).alias("promos"),
+        F.pmod(F.xxhash64("url"), F.lit(PARTS)).alias("part"),
     )
-    tracked = rows.groupBy("url").transformWithStateInPandas(
+    tracked = rows.groupBy("part").transformWithStateInPandas(
         statefulProcessor=ChangeTracker(ttl_ms, unseen_ms), outputStructType=OUTPUT, outputMode="Append",
         timeMode="EventTime" if event_time else "None" if ttl_ms is None else "ProcessingTime",
     )

@@ -110,3 +110,80 @@ def test_a_window_over_two_batches_and_late_requests(spark, tmp_path):
     grants(spark, tmp_path, [(10, "u", hour(8)), (11, "u", hour(3)), (12, None, hour(9, 2))], delay="2 hours")
     rows = sorted((r["key"] or "", r["seq"], r["nth"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert rows == [("", 12, 1), ("u", 1, 2), ("u", 2, 1), ("u", 4, 3), ("u", 10, 1), ("v", 3, 1), ("v", 3, 2), ("w", 9, 1)]
+
+
+class Calls:
+    """State of one part in memory, with the number of calls that reach it."""
+
+    def __init__(self):
+        self.calls, self.passed, self.maps = 0, 0, {}
+
+    def getMapState(self, name, key, value, ttl=None):
+        held, outer = self.maps.setdefault(name, {}), self
+
+        class Map:
+            def getValue(self, key):
+                outer.calls += 1
+                return held.get(key)
+
+            def updateValue(self, key, value):
+                outer.calls += 1
+                held[key] = value
+
+            def removeKey(self, key):
+                outer.calls += 1
+                del held[key]
+
+            def iterator(self):
+                outer.calls += 1
+                for item in list(held.items()):
+                    outer.passed += 1
+                    yield item
+
+        return Map()
+
+    def getValueState(self, name, value, ttl=None):
+        return None
+
+
+def snapshots(urls, second, n, price="$1"):
+    import json
+
+    import pandas as pd
+
+    promos = [{"id": str(i), "title": "t", "perk": "p", "dates": "d", "price": price, "clean": price} for i in range(n)]
+    return pd.DataFrame([(u, second, price + str(n), json.dumps(promos)) for u in urls], columns=["url", "ts", "hash", "promos"])
+
+
+def track(state, *chunks):
+    tracker = keyed.ChangeTracker()
+    tracker.init(state)
+    return [tuple(r) for frame in tracker.handleInputRows((0,), iter(chunks), None) for r in frame.itertuples(index=False)]
+
+
+def test_a_page_of_few_records_costs_one_call():
+    state, urls = Calls(), [f"u{i}" for i in range(500)]
+    assert not track(state, snapshots(urls[:250], 1, 2), snapshots(urls[250:], 1, 2)) and state.calls <= 510
+    state.calls = 0
+    assert len(track(state, snapshots(urls, 2, 2, "$2"))) == 1000 and state.calls <= 510
+    # A few pages do not read those of the whole part.
+    state.calls = state.passed = 0
+    assert not track(state, snapshots(["u3", None], 3, 2, "$2")) and state.calls == 4 and not state.passed
+    assert not track(state, snapshots([f"new{i}" for i in range(10)], 3, 2)) and state.passed == 200
+
+
+def test_pages_that_grow_and_shrink():
+    state = Calls()
+    sizes = [2, 40, 41, 41, 3, 0, 20]
+    found = [track(state, snapshots(["a", "b"], n, size)) for n, size in enumerate(sizes)]
+    kinds = [sorted({(r[0], r[3]) for r in rows}) for rows in found]
+    assert [len(rows) // 2 for rows in found] == [0, 38, 1, 0, 38, 3, 20]
+    assert kinds[1] == [("a", "added"), ("b", "added")] and kinds[4] == kinds[5] == [("a", "removed"), ("b", "removed")]
+    assert len(state.maps["records"]) == 40 and len(state.maps["pages"]) == 2
+
+
+def test_unseen_pages_of_one_part(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed, "PARTS", 1)
+    for step in ([("a", 1), ("b", 1), ("c", 3)], [("d", 7)], [("a", 8), ("d", 9)], [("d", 28)]):
+        run(spark, tmp_path, [(u, at(t), [promo(1)]) for u, t in step], unseen_ms=5 * DAY)
+    assert found(spark, tmp_path) == [(u, "", "unseen", None) for u in "aabc"]
