@@ -197,3 +197,32 @@ def test_faster_searches_find_the_same(spark):
         *[F.bool_and(fast == deals._find_all(t, bare)).alias(name) for name, (bare, fast) in pairs.items()],
     ).first()
     assert all(row[name] for name in pairs) and all(row[f"n_{name}"] > 0 for name in pairs)
+
+
+def test_a_field_is_found_as_by_the_bare_pattern(spark):
+    """The gate and the search within the match change nothing; every pattern is searched for in the block once."""
+    from pagedrift import patterns as P
+    from pagedrift.functions.text import strip_tags
+
+    blocks = [
+        '<h2>A</h2><p CLASS="x Perk-y">b</p><i class="perk">c</i>', '<p class="perks">no</p><b class="offer"></b>', 'class="perk"',
+        '<p\nclass="a\nbenefit"\nid="q">two\nlines</p>', '<i class="x" title="class="><b class="deal-text offer">d</b></i>', "<p>e</p>",
+        '<i class="perk">never closed', '<i class="superperk">f</i><p>g</p>', "", '<h1></h1><i class="title">t</i>', "<h1>open<i class=\"headline\">u</i>",
+    ]
+    rows = spark.createDataFrame(list(enumerate(blocks)), "n int, block string")
+    block = F.col("block")
+    for patterns in ([P.class_element(P.FIELD_CLASSES["perk"]), P.PERK_PARAGRAPH], [P.TITLE_HEADING, P.class_element(P.FIELD_CLASSES["title"])]):
+        bare = F.lit("")
+        for pattern in reversed(patterns):
+            java = P.java_regex(pattern)
+            bare = F.when(block.rlike(java), strip_tags(F.regexp_extract(block, java, 1))).otherwise(bare)
+        got = rows.select(bare.alias("a"), extract._first_field(block, patterns).alias("b")).collect()
+        assert [r["a"] for r in got] == [r["b"] for r in got] and len({r["a"] for r in got}) > 2
+
+
+def test_records_are_read_within_the_page(spark, capsys):
+    """One row per record from the start; a block is no row of its own."""
+    from pagedrift.plans.jobs import JOBS
+
+    JOBS["build_promos"](spark, "/root/testdata/sf0.001").explain("simple")
+    assert capsys.readouterr().out.count("Generate") == 1
