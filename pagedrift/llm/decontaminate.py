@@ -20,6 +20,8 @@ no other name, nor for its own; rows that are equal in ``doc_id`` and text share
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,18 +58,19 @@ def _let(value: Column, body) -> Column:
 
 def plain(text: Column) -> Column:
     """The text with blanks for marks; decimal marks stay within their number."""
-    joined = F.regexp_replace(text, r"(?<=[0-9])[.,](?=[0-9])", "·")
-    return F.translate(joined, MARKS, " " * len(MARKS))
+    # The mark is looked at first: that settles nearly every position.
+    joined = F.regexp_replace(text, r"[.,](?<=[0-9].)(?=[0-9])", "·")
+    return F.regexp_replace(joined, "[" + re.escape(MARKS) + "]", " ")
 
 
 def template(text: Column) -> Column:
     """Of a :func:`plain` text: as many words, the varying ones replaced by their type."""
     out = F.regexp_replace(text, r"[0-9][0-9·]*", NUMBER)
-    out = F.regexp_replace(out, f"(?i)({NUMBER}[\\x20\\x09-\\x0D]?)(?:{UNITS})(?![\\p{{L}}0-9⟨])", f"$1{UNIT}")
+    out = F.regexp_replace(out, f"({NUMBER}[\\x20\\x09-\\x0D]?)(?i:{UNITS})(?![\\p{{L}}0-9⟨])", f"$1{UNIT}")
     # Number words stay for :func:`typed`, also at the start of a sentence.
     spelled = f"(?!(?i:{NUMBER_WORDS})(?![^\\x20\\x09-\\x0D]))"
     out = F.regexp_replace(
-        out, r"(?<![^\x20\x09-\x0D])(?=\p{Lu})" + spelled + r"\p{Lu}\p{L}*\p{Ll}\p{L}*(?!\p{L})", NAME
+        out, r"(?=\p{Lu})(?<![^\x20\x09-\x0D])" + spelled + r"\p{Lu}\p{L}*\p{Ll}\p{L}*(?!\p{L})", NAME
     )
     return F.lower(F.regexp_replace(out, r"[$€£¥%°]", UNIT))
 
@@ -92,12 +95,12 @@ def typed(text: Column) -> Column:
 
 
 def windows(tokens: Column) -> Column:
-    """Hashes of all windows of five words."""
+    """Hashes of all windows of five words, each of the hashes of its words: a word is hashed once."""
     n = F.size(tokens)
-    return F.when(n >= WINDOW, F.transform(
-        F.sequence(F.lit(1), F.greatest(n - WINDOW + 1, F.lit(1))),
-        lambda i: F.xxhash64(F.slice(tokens, i, WINDOW)),
-    )).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n >= WINDOW, _let(F.transform(tokens, lambda w: F.xxhash64(w)), lambda hashes: F.transform(
+        F.slice(hashes, F.lit(1), n - WINDOW + 1),
+        lambda first, i: F.xxhash64(first, *[F.get(hashes, i + k) for k in range(1, WINDOW)]),
+    ))).otherwise(F.array().cast("array<bigint>"))
 
 
 def item_windows(items: DataFrame) -> DataFrame:
