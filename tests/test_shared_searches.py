@@ -60,6 +60,19 @@ def test_entities_and_artefacts(texts):
     same(texts, text.decode_entities(F.col("t")), text.trim_blanks(text.collapse_blanks(plain)), 10000)
 
 
+def test_unsafe_parts_of_messages(texts):
+    odd = texts.select(F.coalesce("t", F.lit("")).alias("t")).unionByName(texts.sparkSession.createDataFrame([(t,) for t in (
+        "<SCRIPT a>x</script>", "a javaScript:b", "DATA:text/HTML,x", "say ONload = y", "on =", "<iframe s>y</iframe>z", "<object>", "<Embed s>",
+        "<link r><meta n>", "javascript", "on load", "*a_b~`", "<scr<script>x</script>ipt>", "jajavascript:vascript:x", "onx\u00a0=1",
+    )], "t string"))
+    plain = F.col("t")
+    for char, entity in P.ESCAPES:
+        plain = F.replace(plain, F.lit(char), F.lit(entity))
+    for pattern in P.UNSAFE_ESCAPED:
+        plain = F.regexp_replace(plain, P.java_regex(pattern), "")
+    same(odd, text.escape_markup(F.col("t")), F.regexp_replace(plain, "([*_~`])", r"\\$1"), 10000)
+
+
 @pytest.mark.parametrize("pattern, ahead", [
     (P.DATE_MENTION, deals.DATE_STARTS), (P.NEAR_DATES, deals.NEAR_DATE_STARTS), (P.NEAR_SAVINGS, deals.SAVINGS_STARTS),
     (P.DEAL_PLACE, deals.PLACE_STARTS), *P.BLOCK_STARTS.items(),
